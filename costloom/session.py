@@ -9,10 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Session settings the package relies on: day buckets and clock rules are defined in UTC, and ranked
+# filters up to this many rows per key are applied before the shuffle too.
+PINNED = {"spark.sql.session.timeZone": "UTC", "spark.sql.optimizer.windowGroupLimitThreshold": "2000"}
+
+
 def pin_utc(spark: SparkSession) -> SparkSession:
-    """Every day bucket and clock rule in this package is defined in UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in PINNED.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
