@@ -59,27 +59,27 @@ def add_seconds(ts: Column, seconds: Column) -> Column:
 # ---------------------------------------------------------------- session fold
 
 
-def merge_sessions(rows: DataFrame, order: str = "ord", zero_cost: bool = True) -> DataFrame:
+def merge_sessions(rows: DataFrame, order: str = "ord", keys: tuple[str, ...] = ()) -> DataFrame:
     """Many rows of one session to one run keyed (session_id, agent_id='').
 
+    Further `keys` (an envelope, say) give one run per session and key, and stay in the result.
+
     Tokens are summed, the time span is min start to max end; external id, persona, model, status and
     source come from the row with the highest cost, the earliest by `order` on ties (null cost counts
     as 0). The reported cost is 0, not null, when no row carries one.
     """
     label = F.struct("source", "handle", "persona", "model_slug", "status")
     rank = F.struct(F.coalesce(F.col("cost_usd"), F.lit(0)).alias("c"), (-F.col(order)).alias("o"))
-    reported = F.sum("cost_usd")
-    folded = rows.groupBy("session_id").agg(
+    folded = rows.groupBy(*keys, "session_id").agg(
         F.max_by(label, rank).alias("_best"),
         F.min("started_at").alias("started_at"),
         F.max("ended_at").alias("ended_at"),
         *[F.sum(F.coalesce(F.col(f), F.lit(0))).alias(f) for f in money.TOKEN_FIELDS],
-        (F.coalesce(reported, F.lit(0)) if zero_cost else reported)
-        .cast(schemas.MONEY)
-        .alias("reported_cost_usd"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0)).cast(schemas.MONEY).alias("reported_cost_usd"),
     )
     return to_runs(
         folded.select(
+            *keys,
             "session_id",
             F.col("_best.source").alias("source"),
             blank_to_null("_best.handle").alias("external_id"),
@@ -90,7 +90,8 @@ def merge_sessions(rows: DataFrame, order: str = "ord", zero_cost: bool = True)
             "ended_at",
             *money.TOKEN_FIELDS,
             "reported_cost_usd",
-        )
+        ),
+        extra=keys,
     )
 
 
@@ -273,7 +274,7 @@ def transcript_events(lines: DataFrame) -> DataFrame:
     return lines.withColumn("at", parse_time("timestamp")).withColumn("msg", msg)
 
 
-def normalize_transcript_runs(events: DataFrame) -> DataFrame:
+def normalize_transcript_runs(events: DataFrame, keep_file: bool = False) -> DataFrame:
     """One run per transcript file: first session id, first and last time by line order, last type and
     model, summed usage. Files whose events carry no session are dropped."""
     line = F.col("line_no")
@@ -295,6 +296,7 @@ def normalize_transcript_runs(events: DataFrame) -> DataFrame:
     )
     return to_runs(
         folded.where(~is_blank("session_id")).select(
+            "file",
             "session_id",
             F.lit(SOURCE_TRANSCRIPT).alias("source"),
             "model_slug",
@@ -302,30 +304,36 @@ def normalize_transcript_runs(events: DataFrame) -> DataFrame:
             "started_at",
             "ended_at",
             *money.TOKEN_FIELDS,
-        )
+        ),
+        extra=("file",) if keep_file else (),
     )
 
 
+def _blocks(content: Column) -> Column:
+    """Object elements of a content block array (other elements are skipped); null for anything else."""
+    items = F.from_json(F.when(content.startswith("["), content), "array<string>")
+    objects = F.filter(items, lambda e: F.ltrim(e).startswith("{"))
+    return F.transform(objects, lambda e: F.from_json(e, schemas.CONTENT_BLOCK))
+
+
 def message_content(content: Column | str) -> Column:
     """Text as is; a block array gives its text blocks joined by newlines, null when it has none."""
     c = col(content)
-    blocks = F.from_json(c, schemas.CONTENT_BLOCKS)
     texts = F.transform(
-        F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]
+        F.filter(_blocks(c), lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]
     )
     joined = F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
-    return F.when(c.startswith("["), joined).when(c.startswith("{"), None).otherwise(c)
+    is_array = F.from_json(F.when(c.startswith("["), c), "array<string>").isNotNull()
+    return F.when(is_array, joined).when(c.startswith("{"), None).otherwise(c)
 
 
 def tool_name(content: Column | str) -> Column:
     """Name of the first tool_use block, if the content is a block array."""
-    c = col(content)
-    blocks = F.from_json(c, schemas.CONTENT_BLOCKS)
-    used = F.filter(blocks, lambda b: (b["type"] == "tool_use") & b["name"].isNotNull())
-    return F.when(c.startswith("["), F.get(used, F.lit(0))["name"])
+    used = F.filter(_blocks(col(content)), lambda b: (b["type"] == "tool_use") & b["name"].isNotNull())
+    return F.get(used, F.lit(0))["name"]
 
 
-def normalize_transcript_messages(events: DataFrame) -> DataFrame:
+def normalize_transcript_messages(events: DataFrame, keep_file: bool = False) -> DataFrame:
     """One row per line with a message object, numbered from 1 in line order.
 
     Lines are cut by the file split they were read from (`block`), so a huge transcript is numbered and
@@ -343,6 +351,7 @@ def normalize_transcript_messages(events: DataFrame) -> DataFrame:
     out = rows.join(first_at, "file").where(~is_blank("session_id"))
     rid = run_id("session_id")
     return out.select(
+        *(["file"] if keep_file else []),
         derived_id(rid, F.col("sequence")).alias("id"),
         rid.alias("run_id"),
         F.col("sequence").cast("int").alias("sequence"),

@@ -29,7 +29,7 @@ TRANSCRIPT = (
     "type string, timestamp string, sessionId string, message string"
 )
 TRANSCRIPT_MESSAGE = f"role string, model string, content string, usage {USAGE}"
-CONTENT_BLOCKS = "array<struct<type:string,text:string,name:string>>"
+CONTENT_BLOCK = "type string, text string, name string"
 USAGE_RING = (
     "record_type string, seq int, ts string, session_id string, handle string, model string, "
     f"usage {USAGE}, cost_usd string"
