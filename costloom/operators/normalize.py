@@ -33,7 +33,8 @@ SOURCE_USAGE_RING = "usage-ring"
 # pass the prefix your emitters write.
 ATTR_PREFIX = "agent"
 
-RUN_COLUMNS = schemas.columns(schemas.RUNS)
+RUN_TYPES = dict(f.split(" ", 1) for f in schemas.RUNS.split(", "))
+RUN_COLUMNS = list(RUN_TYPES)
 
 
 def attr(attrs: Column, key: str, kind: str = "stringValue") -> Column:
@@ -97,19 +98,15 @@ def merge_sessions(rows: DataFrame, order: str = "ord", keys: tuple[str, ...] =
 
 def to_runs(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Pads a normalized projection to the runs table: deterministic id, quarantined until priced."""
-    defaults = {
-        "id": run_id("session_id"),
-        "agent_id": F.lit(""),
-        "pricing_status": F.lit("Quarantined"),
-        "version": F.lit(1),
-    }
+    defaults = {"agent_id": "''", "pricing_status": "'Quarantined'", "version": "1"}
     have = set(df.columns)
-    types = dict(f.split(" ", 1) for f in schemas.RUNS.split(", "))
     out = []
-    for name in RUN_COLUMNS:
-        value = F.col(name) if name in have else defaults.get(name, F.lit(None))
-        out.append(value.cast(types[name]).alias(name))
-    return df.select(*out, *extra)
+    for name, kind in RUN_TYPES.items():
+        value = f"`{name}`" if name in have else defaults.get(name, "null")
+        out.append(f"cast({value} as {kind}) AS `{name}`")
+    if "id" not in have:
+        df, out[0] = df.withColumn("id", run_id("session_id")), "`id`"
+    return df.selectExpr(*out, *extra)
 
 
 # ---------------------------------------------------------------- OTLP traces

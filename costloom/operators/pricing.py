@@ -30,16 +30,11 @@ class PriceBook:
     small: bool
 
 
-def _versions(price: DataFrame) -> Column:
-    start = F.coalesce(F.unix_micros("effective_from"), F.lit(-(2**62)).cast("bigint"))
-    entry = F.struct(
-        (-start).alias("neg_from"),
-        F.col("service").alias("svc"),
-        F.col("effective_from"),
-        F.col("effective_to"),
-        F.struct(*PRICE_STRUCT).alias("price"),
-    )
-    return F.sort_array(F.collect_list(entry)).alias("versions")
+# All versions of a key, newest start first (an open start is the oldest), then by service.
+_VERSIONS = f"""sort_array(collect_list(struct(
+    -coalesce(unix_micros(effective_from), {-(2**62)}) AS neg_from,
+    service AS svc, effective_from, effective_to,
+    struct({", ".join(PRICE_STRUCT)}) AS price))) AS versions"""
 
 
 def price_book(
@@ -55,9 +50,11 @@ def price_book(
         return df.limit(max_rows + 1).count() <= max_rows
 
     small = known_rows <= max_rows if known_rows is not None else fits(prices) and fits(aliases)
-    by_slug = prices.groupBy(F.col("slug").alias("_slug")).agg(_versions(prices))
-    via = aliases.select(F.col("alias").alias("_slug"), F.col("service"), F.col("slug"))
-    by_alias = via.join(prices, ["slug", "service"]).groupBy("_slug").agg(_versions(prices))
+    if small:  # one task folds it without a shuffle
+        prices, aliases = prices.coalesce(1), aliases.coalesce(1)
+    by_slug = prices.groupBy(F.col("slug").alias("_slug")).agg(F.expr(_VERSIONS))
+    via = aliases.withColumnRenamed("alias", "_slug")
+    by_alias = via.join(prices, ["slug", "service"]).groupBy("_slug").agg(F.expr(_VERSIONS))
     return PriceBook(by_slug, by_alias, small)
 
 

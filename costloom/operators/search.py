@@ -139,15 +139,17 @@ def highlight(text: Column | str, q: str, size: int = 150, fragments: int = 2) -
 # ---------------------------------------------------------------- ranked legs
 
 
-def bm25_scores(docs: DataFrame, q: str, text: str, filters: Filters | None = None) -> DataFrame:
-    """Matching documents with their BM25 `score` (rounded, so that summation order cannot flip a tie).
+def bm25_scores(docs: DataFrame, q: str, text: str, id_col: str, filters: Filters | None = None) -> DataFrame:
+    """(id, `score`) of every document by BM25; null for those that hold no query term.
 
-    Document count, mean length and per-term document counts are one aggregate over the text column,
-    read back as scalar subqueries; scoring is a second scan.
+    Document count, mean length and per-term document counts are one aggregate over the text column, read
+    back as a scalar subquery; scoring is a second scan. Non-matching rows stay in (they sort last), since
+    filtering on a token test would tokenize each text once more. Scores are rounded, so that summation
+    order cannot flip a tie.
     """
     terms = query_terms(q)
     if not terms:
-        return docs.withColumn("score", F.lit(0.0)).where(F.lit(False))
+        return docs.select(id_col, F.lit(None).cast("double").alias("score")).where(F.lit(False))
     n_tokens = F.size("_t")
     stats = (
         docs.select(tokens(text).alias("_t"))
@@ -159,22 +161,31 @@ def bm25_scores(docs: DataFrame, q: str, text: str, filters: Filters | None = No
         .select(F.struct("n", "avgdl", *[f"df{i}" for i in range(len(terms))]).alias("s"))
         .scalar()
     )
-    scored = search_filters(docs, filters).withColumn("_t", tokens(text)).withColumn("_s", stats)
+    counted = (
+        search_filters(docs, filters)
+        .select(id_col, tokens(text).alias("_t"))
+        .select(
+            id_col,
+            n_tokens.alias("_dl"),
+            *[(n_tokens - F.size(F.array_remove("_t", t))).alias(f"_tf{i}") for i, t in enumerate(terms)],
+            stats.alias("_s"),
+        )
+    )
     n, avgdl = F.col("_s.n"), F.col("_s.avgdl")
-    norm = BM25_K1 * (1 - BM25_B + BM25_B * n_tokens / avgdl)
-    score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        df = F.col(f"_s.df{i}")
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("_dl") / avgdl)
+    score, hits = F.lit(0.0), F.lit(0)
+    for i in range(len(terms)):
+        df, tf = F.col(f"_s.df{i}"), F.col(f"_tf{i}")
         idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        tf = F.size(F.filter("_t", _equals(t))).cast("double")
         score = score + F.when(tf > 0, idf * tf / (tf + norm)).otherwise(F.lit(0.0))
-    hit = F.arrays_overlap("_t", F.array(*[F.lit(t) for t in terms]))
-    return scored.where(hit).withColumn("score", F.round(score, 6)).drop("_t", "_s")
+        hits = hits + tf
+    return counted.select(id_col, F.when(hits > 0, F.round(score, 6)).alias("score"))
 
 
 def top_ranked(scored: DataFrame, size: int, id_col: str) -> DataFrame:
-    """The best `size` rows by (score desc, id desc) with their 1-based `rank`."""
-    best = scored.orderBy(F.col("score").desc(), F.col(id_col).desc()).limit(size)
+    """The best `size` scored rows by (score desc, id desc) with their 1-based `rank`."""
+    best = scored.orderBy(F.col("score").desc_nulls_last(), F.col(id_col).desc()).limit(size)
+    best = best.where(F.col("score").isNotNull())
     w = Window.orderBy(F.col("score").desc(), F.col(id_col).desc())  # at most `size` rows left
     return best.withColumn("rank", F.row_number().over(w))
 
@@ -183,7 +194,7 @@ def keyword_leg(
     docs: DataFrame, q: str, size: int = KEYWORD_LEG, id_col: str = "id", text: str = "searchable_text",
     filters: Filters | None = None,
 ) -> DataFrame:
-    return top_ranked(bm25_scores(docs, q, text, filters).select(id_col, "score"), size, id_col)
+    return top_ranked(bm25_scores(docs, q, text, id_col, filters), size, id_col)
 
 
 def cosine(vector: Column | str, query: list[float]) -> Column:
@@ -202,7 +213,7 @@ def vector_leg(
 ) -> DataFrame:
     """Exact nearest neighbours by cosine: filters first, then score, then top-k."""
     scored = search_filters(vectors, filters).select(id_col, F.round(cosine(vector, query), 6).alias("score"))
-    return top_ranked(scored.where(F.col("score").isNotNull()), size, id_col)
+    return top_ranked(scored, size, id_col)
 
 
 def rrf(legs: list[DataFrame], k: int = RRF_K, id_col: str = "id") -> DataFrame:

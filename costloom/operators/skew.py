@@ -68,10 +68,18 @@ def number_blocked(df: DataFrame, keys: list[str], block: str, order: list[str],
 
 
 def number_rows(
-    df: DataFrame, keys: list[str], order: str, out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    out: str,
+    hot_rows: int = HOT_ROWS,
+    parts: tuple[DataFrame, DataFrame | None] | None = None,
 ) -> DataFrame:
-    """row_number() per key by a unique integer column; hot keys are numbered block by block."""
-    cold, hot = split_hot(df, keys, hot_rows)
+    """row_number() per key by a unique integer column; hot keys are numbered block by block.
+
+    `parts` is the result of `split_hot` where the caller has it already.
+    """
+    cold, hot = parts or split_hot(df, keys, hot_rows)
     plain = cold.withColumn(
         out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint")
     )
@@ -84,15 +92,15 @@ def number_rows(
 
 
 def with_previous_rows(
-    df: DataFrame, keys: list[str], order: str, span: int, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: str, span: int, hot_rows: int = HOT_ROWS, check: bool = True
 ) -> tuple[DataFrame, bool]:
     """Adds `_blk` and `_own` so that a window over (keys, _blk) sees the `span` rows before every own row.
 
     Ordinary keys are one block. Hot keys are cut by position; the last `span` rows of a block are copied
     into the next one with `_own` = false. Keep only own rows after the window. The second result tells
-    whether anything was cut.
+    whether anything was cut. `check` = False skips the hot check where no key is known to be hot.
     """
-    cold, hot = split_hot(df, keys, hot_rows)
+    cold, hot = split_hot(df, keys, hot_rows) if check else (df, None)
     plain = cold.withColumn("_blk", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
     if hot is None:
         return plain, False

@@ -50,27 +50,25 @@ _ROW = ("sequence", "role", "model_slug", *money.TOKEN_FIELDS, "cost_usd")
 
 @dataclass(frozen=True)
 class Frame:
-    """Messages with `prev`, the up to `span` earlier messages of the same run, oldest first."""
+    """Messages with `p1`, `p2`, ...: the one, two, ... positions earlier message of the same run (or null)."""
 
     rows: DataFrame
     cut: bool  # some hot run was cut into blocks
 
 
-def message_frame(messages: DataFrame, opts: WasteOptions = WasteOptions()) -> Frame:
+def message_frame(messages: DataFrame, opts: WasteOptions = WasteOptions(), check: bool = True) -> Frame:
     """One window over (run, block) serves both ordered detectors.
 
-    Its groups are bounded even when a single run owns most messages.
+    Its groups are bounded even when a single run owns most messages; pass `check` = False only where the
+    caller knows that no run has more than `opts.hot_rows` of them.
     """
     span = max(opts.replay_window, opts.loop_window)
     narrow = messages.select("run_id", *_ROW)
-    placed, cut = with_previous_rows(narrow, ["run_id"], "sequence", span, opts.hot_rows)
-    w = Window.partitionBy("run_id", "_blk").orderBy("sequence").rowsBetween(-span, -1)
+    placed, cut = with_previous_rows(narrow, ["run_id"], "sequence", span, opts.hot_rows, check)
+    w = Window.partitionBy("run_id", "_blk").orderBy("sequence")
     entry = F.struct(*_ROW, F.col("_own").alias("own"))
-    return Frame(placed.withColumn("prev", F.collect_list(entry).over(w)).where("_own"), cut)
-
-
-def _last(arr: Column, n: int) -> Column:
-    return F.slice(arr, F.greatest(F.size(arr) - (n - 1), F.lit(1)), F.lit(n))
+    earlier = {f"p{k}": F.lag("_e", k).over(w) for k in range(1, span + 1)}
+    return Frame(placed.withColumn("_e", entry).withColumns(earlier).where("_own").drop("_e"), cut)
 
 
 # ---------------------------------------------------------------- context replay
@@ -79,15 +77,15 @@ def _last(arr: Column, n: int) -> Column:
 def replay_pairs(frame: Frame, opts: WasteOptions = WasteOptions()) -> DataFrame:
     """(write, read) message pairs: a large cache write read back within the window."""
     reads = frame.rows.where(F.col("cache_read_tokens") >= opts.replay_min_read_tokens)
-    writes = F.filter(
-        _last(F.col("prev"), opts.replay_window), lambda m: m["cache_write_tokens"] >= opts.replay_min_write_tokens
-    )
-    return reads.select(
+    earlier = [F.col(f"p{k}") for k in range(1, opts.replay_window + 1)]
+    writes = F.array(*[F.when(m["cache_write_tokens"] >= opts.replay_min_write_tokens, m) for m in earlier])
+    pairs = reads.select(
         "run_id",
         F.explode(writes).alias("w"),
         F.col("sequence").alias("read_sequence"),
         F.col("cache_read_tokens").alias("read_tokens"),
     )
+    return pairs.where(F.col("w").isNotNull())
 
 
 def detect_context_replay(
@@ -122,13 +120,16 @@ def detect_context_replay(
 # ---------------------------------------------------------------- loops
 
 
-def _is_repeat(earlier: Column, opts: WasteOptions) -> Column:
-    same = earlier["role"].eqNullSafe(F.col("role")) & earlier["model_slug"].eqNullSafe(F.col("model_slug"))
-    tol = F.lit(opts.loop_tolerance)
-    for f in money.TOKEN_FIELDS:
-        a, b = earlier[f], F.col(f)
-        same = same & (F.abs(a - b) <= tol * F.greatest(a, b))
-    return same
+def _is_repeat(earlier: str, opts: WasteOptions) -> str:
+    """SQL condition: `earlier` has the row's role and model, and every counter within the tolerance.
+
+    The tolerance is compared as a ratio of integers, exactly.
+    """
+    top, bottom = opts.loop_tolerance.as_integer_ratio()
+    near = [
+        f"abs({earlier}.{f} - {f}) * {bottom}L <= greatest({earlier}.{f}, {f}) * {top}L" for f in money.TOKEN_FIELDS
+    ]
+    return " AND ".join([f"{earlier}.role <=> role", f"{earlier}.model_slug <=> model_slug", *near])
 
 
 def loop_links(frame: Frame, opts: WasteOptions = WasteOptions()) -> DataFrame:
@@ -138,8 +139,12 @@ def loop_links(frame: Frame, opts: WasteOptions = WasteOptions()) -> DataFrame:
     and `c` / `p`: cost and token counters of both ends.
     """
     current = frame.rows.where(F.col("input_tokens") >= opts.loop_min_input_tokens)
-    repeats = F.filter(_last(F.col("prev"), opts.loop_window), lambda m: _is_repeat(m, opts))
-    linked = current.withColumn("_p", F.try_element_at(repeats, F.lit(-1))).where(F.col("_p").isNotNull())
+    nearest = " ".join(
+        f"WHEN p{k} IS NOT NULL AND {_is_repeat(f'p{k}', opts)} THEN {k}" for k in range(1, opts.loop_window + 1)
+    )
+    at = F.expr(f"CASE {nearest} END")
+    parents = F.array(*[F.col(f"p{k}") for k in range(1, opts.loop_window + 1)])
+    linked = current.withColumn("_k", at).where(F.col("_k").isNotNull()).withColumn("_p", F.get(parents, F.col("_k") - 1))
     ends = ("cost_usd", *money.TOKEN_FIELDS)
     return linked.select(
         "run_id",
@@ -323,14 +328,14 @@ def to_findings(drafts: DataFrame, detected_at: Column, opts: WasteOptions = Was
 
 def detect_waste(
     runs: DataFrame,
-    messages: DataFrame,
+    messages: DataFrame | Frame,
     book: PriceBook,
     detected_at: Column,
     opts: WasteOptions = WasteOptions(),
 ) -> DataFrame:
     """All findings of ended runs. Same input gives the same ids and hashes, so reruns merge to nothing."""
     context = run_context(runs, book)
-    frame = message_frame(messages, opts)
+    frame = messages if isinstance(messages, Frame) else message_frame(messages, opts)
     drafts = (
         detect_context_replay(frame, context, opts)
         .unionByName(detect_loops(frame, context, opts))

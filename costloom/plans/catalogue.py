@@ -109,7 +109,7 @@ def slug_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asof_price(spark: SparkSession, d: str) -> DataFrame:
-    priced = pricing.asof_price(feeds.merged_runs(spark, d), feeds.book(spark))
+    priced = pricing.asof_price(feeds.merged_runs(spark, d), feeds.book(spark, d))
     p = F.col("price")
     return flat(
         priced, "session_id", "model_slug", p["slug"].alias("slug"), p["service"].alias("service"),
@@ -118,7 +118,7 @@ def asof_price(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_price(spark: SparkSession, d: str) -> DataFrame:
-    priced = pricing.resolve_price(feeds.merged_runs(spark, d), feeds.book(spark))
+    priced = pricing.resolve_price(feeds.merged_runs(spark, d), feeds.book(spark, d))
     p = F.col("price")
     return flat(
         priced, "session_id", "model_slug", p["slug"].alias("slug"), p["service"].alias("service"),
@@ -172,13 +172,13 @@ def _reconciled(spark: SparkSession, d: str) -> DataFrame:
     s = feeds.spans(spark, d)
     no = F.regexp_extract("session_id", r"^u(\d+)-", 1).cast("bigint")
     as_run = s.withColumn("service", F.lit(None).cast("string"))
-    listed = pricing.resolve_price(as_run, feeds.book(spark))
+    listed = pricing.resolve_price(as_run, feeds.book(spark, d))
     list_cost = money.cost_expr(money.token_columns(), F.col("price"), F.lit("1").cast("decimal(6,3)"))
     rows = listed.withColumn(
         "cost_usd", F.when((no % 2 == 0) & F.col("price").isNotNull(), list_cost).otherwise(F.col("cost_usd"))
     ).drop("price", "service")
     off = rows.groupBy("session_id").agg(F.bool_and(money.peak_multiplier("started_at") == 1).alias("off_peak"))
-    return pricing.reconcile_runs(normalize.merge_sessions(rows), off, feeds.book(spark))
+    return pricing.reconcile_runs(normalize.merge_sessions(rows), off, feeds.book(spark, d))
 
 
 def reconcile_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -291,11 +291,11 @@ def stale_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    return waste.run_context(feeds.runs(spark, d), feeds.book(spark))
+    return waste.run_context(feeds.merged_runs(spark, d), feeds.book(spark, d))
 
 
 def context_replay(spark: SparkSession, d: str) -> DataFrame:
-    pairs = waste.replay_pairs(waste.message_frame(feeds.priced_messages(spark, d))).join(_context(spark, d), "run_id")
+    pairs = waste.replay_pairs(feeds.message_frame(spark, d)).join(_context(spark, d), "run_id")
     tokens = [F.col(f"w.{f}") for f in TOK]
     wasted = F.coalesce(F.col("w.cost_usd"), money.cost_expr(tokens, F.col("price"), F.col("multiplier")))
     return flat(
@@ -307,7 +307,7 @@ def context_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def loops(spark: SparkSession, d: str) -> DataFrame:
-    drafts = waste.detect_loops(waste.message_frame(feeds.priced_messages(spark, d)), _context(spark, d))
+    drafts = waste.detect_loops(feeds.message_frame(spark, d), _context(spark, d))
     shape = (
         "sequences array<int>, occurrences bigint, "
         "tokens struct<input:bigint,cacheRead:bigint,cacheWrite:bigint,output:bigint>"
@@ -327,7 +327,7 @@ def cost_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
     return waste.detect_waste(
-        feeds.runs(spark, d), feeds.priced_messages(spark, d), feeds.book(spark), _time(DETECTED)
+        feeds.runs(spark, d), feeds.message_frame(spark, d), feeds.book(spark, d), _time(DETECTED)
     )
 
 
@@ -680,10 +680,11 @@ def embed_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
     docs = feeds.table(spark, d, "documents")
-    return docs.select(
+    whole = docs.select("doc_id", redaction.redact("text", ["lang"], max_chars=None).alias("safe"))
+    return whole.select(
         "doc_id",
-        text.content_hash(redaction.redact("text", ["lang"], max_chars=None)).alias("whole_hash"),
-        redaction.redact("text", ["lang"]).alias("excerpt"),
+        text.content_hash("safe").alias("whole_hash"),
+        F.left("safe", F.lit(redaction.MAX_EXCERPT_CHARS)).alias("excerpt"),
     )
 
 

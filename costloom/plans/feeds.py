@@ -5,12 +5,15 @@ Each view has a twin in `oracle.py`, written as SQL; the two must stay the same
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costloom import schemas
 from costloom.functions.text import derived_id, is_test_handle, ledger_status, run_id
-from costloom.operators import normalize, pricing
-from costloom.operators.skew import number_rows
+from costloom.operators import normalize, pricing, waste
+from costloom.operators.skew import number_rows, split_hot
 from costloom.session import pin_utc
 from costloom.sources import registry
 
@@ -32,9 +35,46 @@ MODELS = [
 STATUS_WORDS = {"purchase": "ok", "error": "error", "click": "stopped", "view": "orphaned", "signup": "timeout"}
 
 
+_plans: dict[tuple, object] = {}
+
+
+def shared(fn: Callable) -> Callable:
+    """One lazy plan per feed and query: a query that uses a feed twice builds it once. Holds no data."""
+
+    @wraps(fn)
+    def get(spark: SparkSession, sf_dir: str = "") -> object:
+        key = (fn.__name__, id(spark), sf_dir)
+        if key not in _plans:
+            _plans[key] = fn(spark, sf_dir)
+        return _plans[key]
+
+    return get
+
+
+def fresh(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered query starts without plans of earlier ones."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _plans.clear()
+        return query(spark, sf_dir)
+
+    return run
+
+
+# Key by which a table of few row groups is spread.
+SPREAD = {"events": "event_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. A scan with fewer tasks than cores is spread by its key before the per-row work; a
+    table of real size has far more splits than cores and is left as it is."""
     pin_utc(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, SPREAD[name])
+    return df
 
 
 def prices(spark: SparkSession) -> DataFrame:
@@ -45,45 +85,49 @@ def aliases(spark: SparkSession) -> DataFrame:
     return registry.alias_rows(spark)
 
 
-def book(spark: SparkSession) -> pricing.PriceBook:
+@shared
+def book(spark: SparkSession, _: str) -> pricing.PriceBook:
     rows = max(len(FEED_PRICES), len(registry.SEED_ALIASES))
     return pricing.price_book(prices(spark), aliases(spark), known_rows=rows)
 
 
+@shared
 def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as spans, test handles included; `ord` is the arrival number."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    ts = F.col("ts").cast("timestamp")
-    third = F.expr("(day(ts) - 1) div 10")
-    status = F.create_map(*[F.lit(x) for kv in STATUS_WORDS.items() for x in kv])
-    model = F.array(*[F.lit(m) for m in MODELS])
-    return e.select(
-        F.concat(F.lit("u"), F.col("user_id"), F.lit("-"), third).alias("session_id"),
-        F.lit(normalize.SOURCE_LEDGER).alias("source"),
-        F.concat(F.when(F.col("event_id") % 97 == 0, F.lit("test-")).otherwise(F.lit("h")), F.col("event_id")).alias("handle"),
-        F.when(k % 10 != 0, F.col("event_type")).alias("persona"),
-        F.get(model, (F.col("user_id") % len(MODELS)).cast("int")).alias("model_slug"),
-        F.try_element_at(status, F.col("event_type")).alias("status_word"),
-        F.col("event_type").alias("role"),
-        ts.alias("started_at"),
-        F.timestamp_micros(F.unix_micros(ts) + k.cast("bigint") * 1_000_000).alias("ended_at"),
-        (k.cast("bigint") * 1000).alias("input_tokens"),
-        (k.cast("bigint") * 7000).alias("cache_read_tokens"),
-        (k.cast("bigint") * 1500).alias("cache_write_tokens"),
-        (k.cast("bigint") * 200).alias("output_tokens"),
-        (F.col("value") / 1000).cast(schemas.MONEY).alias("cost_usd"),
-        k.alias("k"),
-        F.col("event_id").alias("ord"),
-        (F.col("user_id") * 3 + third).alias("session_no"),
+    words = ", ".join(f"'{k}', '{v}'" for k, v in STATUS_WORDS.items())
+    models = ", ".join(f"'{m}'" for m in MODELS)
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type", "value", "cast(ts as timestamp) AS ts",
+        "(day(ts) - 1) div 10 AS third", "cast(get_json_object(props, '$.k') as int) AS k",
+    )
+    return rows.selectExpr(
+        "concat('u', user_id, '-', third) AS session_id",
+        f"'{normalize.SOURCE_LEDGER}' AS source",
+        "concat(if(event_id % 97 = 0, 'test-', 'h'), event_id) AS handle",
+        "if(k % 10 <> 0, event_type, null) AS persona",
+        f"get(array({models}), cast(user_id % {len(MODELS)} as int)) AS model_slug",
+        f"try_element_at(map({words}), event_type) AS status_word",
+        "event_type AS role",
+        "ts AS started_at",
+        "timestamp_micros(unix_micros(ts) + k * 1000000L) AS ended_at",
+        "k * 1000L AS input_tokens",
+        "k * 7000L AS cache_read_tokens",
+        "k * 1500L AS cache_write_tokens",
+        "k * 200L AS output_tokens",
+        f"cast(value / 1000 as {schemas.MONEY}) AS cost_usd",
+        "k",
+        "event_id AS ord",
+        "user_id * 3 + third AS session_no",
     )
 
 
+@shared
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_spans(spark, sf_dir)
     return raw.where(~is_test_handle("handle")).withColumn("status", ledger_status("status_word"))
 
 
+@shared
 def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run per session; every 11th has no end and every 13th no start."""
     runs = normalize.merge_sessions(spans(spark, sf_dir))
@@ -94,21 +138,23 @@ def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.price_runs(merged_runs(spark, sf_dir), book(spark))
+    return pricing.price_runs(merged_runs(spark, sf_dir), book(spark, sf_dir))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """spans as the messages of their session, numbered in arrival order (unpriced)."""
+@shared
+def numbered_messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """spans as the messages of their session, numbered in arrival order (unpriced); whether one is hot."""
     s = spans(spark, sf_dir).select(
-        "session_id", "ord", "role", "model_slug", "started_at",
+        run_id("session_id").alias("run_id"), "ord", "role", "model_slug", "started_at",
         "input_tokens", "cache_read_tokens", "cache_write_tokens", "output_tokens",
     )
-    numbered = number_rows(s, ["session_id"], "ord", "sequence")
-    rid = run_id("session_id")
-    return numbered.select(
-        derived_id(rid, F.col("sequence")).alias("id"),
-        rid.alias("run_id"),
+    parts = split_hot(s, ["run_id"])
+    numbered = number_rows(s, ["run_id"], "ord", "sequence", parts=parts)
+    rows = numbered.select(
+        derived_id("run_id", "sequence").alias("id"),
+        "run_id",
         F.col("sequence").cast("int").alias("sequence"),
         "role",
         F.lit(None).cast("string").alias("content"),
@@ -122,12 +168,25 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("started_at").alias("occurred_at"),
         F.lit(1).alias("version"),
     )
+    return rows, parts[1] is not None
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_messages(spark, sf_dir)[0]
 
 
 def priced_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.price_messages(messages(spark, sf_dir), merged_runs(spark, sf_dir), book(spark))
+    return pricing.price_messages(messages(spark, sf_dir), merged_runs(spark, sf_dir), book(spark, sf_dir))
+
+
+def message_frame(spark: SparkSession, sf_dir: str) -> waste.Frame:
+    """Priced messages framed for the detectors. The hot check of the numbering holds here too."""
+    rows, hot = numbered_messages(spark, sf_dir)
+    priced = pricing.price_messages(rows, merged_runs(spark, sf_dir), book(spark, sf_dir))
+    return waste.message_frame(priced, check=hot)
 
 
+@shared
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One run delivery per span; end times jump around, so late, equal and accepted ones all occur."""
     s = spans(spark, sf_dir)
@@ -136,4 +195,4 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = s.withColumn("ended_at", ended).withColumn("external_id", F.col("handle"))
     one = one.withColumn("reported_cost_usd", F.col("cost_usd")).drop("cost_usd")
     arrivals = normalize.to_runs(one.withColumn("arrival", F.col("ord")), extra=("arrival",))
-    return pricing.price_runs(arrivals, book(spark))
+    return pricing.price_runs(arrivals, book(spark, sf_dir))
