@@ -498,6 +498,7 @@ TELEMETRY: dict[str, Query] = {
 # ---------------------------------------------------------------- corpus
 
 PHRASE = "the hand als eden"
+QUESTION = "which purchase runs failed near the hand and eden"
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -704,7 +705,7 @@ def chunk_context(spark: SparkSession, d: str) -> DataFrame:
 
 def ask_context(spark: SparkSession, d: str) -> DataFrame:
     """One question answered from runs and chunks: retrieval, redaction, assembled prompt."""
-    question = "which purchase runs failed near the hand and eden"
+    question = QUESTION
     chunks = _chunks(spark, d).join(
         _corpus(spark, d).select(F.col("doc_id").alias("document_id"), "uri", F.col("source").alias("title")), "document_id"
     )

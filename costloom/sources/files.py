@@ -106,10 +106,13 @@ def require_some(report: DataFrame, what: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(ledger rows with `ord`, malformed lines): bad JSON, a blank handle or an unreadable time is malformed."""
-    parsed = parse_json(read_lines(spark, path, "*"), schemas.LEDGER)
+    lines = read_lines(spark, path, "*").withColumn("ord", F.col("line_no.row"))
+    return split_ledger(parse_json(lines, schemas.LEDGER))
+
+
+def split_ledger(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = F.col(BAD).isNull() & ~is_blank("handle") & parse_time("ts").isNotNull()
-    rows = parsed.where(ok).withColumn("ord", F.col("line_no.row")).drop(BAD)
-    return rows, parsed.where(~ok).select("file", "line_no", BAD)
+    return parsed.where(ok).drop(BAD), parsed.where(~ok)
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
