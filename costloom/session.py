@@ -29,6 +29,11 @@ def build_session(master: str | None = None, app: str = "costloom", **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Streaming state (envelope hashes, admission windows) lives on disk, not in executor heap.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         # Call-site capture costs more than analysing these plans.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

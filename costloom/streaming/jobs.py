@@ -64,11 +64,11 @@ class Lake:
         s, r = self.spark, self.root.rstrip("/")
         self.envelopes = BatchTable(s, f"{r}/envelopes", ENVELOPE_DDL)
         self.rejects = BatchTable(s, f"{r}/rejects", REJECT_DDL)
-        self.runs = MergedTable(s, f"{r}/runs", DELIVERY_DDL, schemas.RUNS, _fold_runs)
-        self.messages = BatchTable(s, f"{r}/messages", MESSAGE_DDL)
+        self.runs = MergedTable(s, f"{r}/runs", DELIVERY_DDL, schemas.RUNS, _fold_runs, key="id")
+        self.messages = BatchTable(s, f"{r}/messages", MESSAGE_DDL, key="run_id")
         self.priced = BatchTable(s, f"{r}/topics/telemetry.priced", TOPIC_DDL)
         self.indexed = BatchTable(s, f"{r}/topics/telemetry.indexed", TOPIC_DDL)
-        self.documents = MergedTable(s, f"{r}/documents", DOC_DDL, DOC_STATE_DDL, latest(["id"]))
+        self.documents = MergedTable(s, f"{r}/documents", DOC_DDL, DOC_STATE_DDL, latest(["id"]), key="id")
         self.embeddings = MergedTable(s, f"{r}/embeddings", EMBED_DDL, EMBED_STATE_DDL, latest(["id"]))
         self.findings = MergedTable(s, f"{r}/findings", schemas.FINDINGS, schemas.FINDINGS, _fold_findings)
         self.aggregates = MergedTable(
@@ -79,13 +79,18 @@ class Lake:
         """A written topic as a stream, offsets included."""
         return self.spark.readStream.schema(f"{TOPIC_DDL}, batch_id bigint").parquet(table.path)
 
-    def current_messages(self) -> DataFrame:
-        """Messages of accepted, priced deliveries, last write per (run, sequence)."""
-        accepted = merge.accepted_deliveries(self.runs.batches.read().drop("batch_id"))
-        accepted = accepted.withColumn("arrival", F.struct("id", "arrival"))
-        rows = self.messages.read().drop("batch_id").withColumn("arrival", F.struct(F.col("run_id").alias("id"), "arrival"))
-        good = accepted.where(F.col("applied") & (F.col("pricing_status") == "Priced")).select("arrival")
-        return merge.latest_by_key(rows.join(good, "arrival", "left_semi"), ["run_id", "sequence"])
+    def current_messages(self, only: DataFrame | None = None) -> DataFrame:
+        """Messages of accepted, priced deliveries, last write per (run, sequence); of all runs or of `only` (id).
+
+        Acceptance is decided over the runs' delivery batches, so those are kept after a compaction.
+        """
+        deliveries = self.runs.batches.read(only=only).drop("batch_id")
+        accepted = merge.accepted_deliveries(deliveries)
+        good = accepted.where(F.col("applied") & (F.col("pricing_status") == "Priced"))
+        ids = None if only is None else only.select(F.col("id").alias("run_id"))
+        rows = self.messages.read(only=ids).drop("batch_id")
+        kept = rows.join(good.select(F.col("id").alias("run_id"), "arrival"), ["run_id", "arrival"], "left_semi")
+        return merge.latest_by_key(kept, ["run_id", "sequence"])
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -120,22 +125,21 @@ def stream_priced(
 ) -> StreamingQuery:
     """raw envelopes -> dedupe -> normalize -> price -> run deliveries -> priced topic.
 
-    Bad payloads go to `rejects` with a reason. Hashes seen in earlier batches are dropped; the envelope
-    table is written last of the tables, so a crash in between replays the same batch with the same result.
+    Hashes seen before, in this batch or any earlier one, are dropped by keyed streaming state, so a batch
+    never looks back at the stored envelopes. Bad payloads go to `rejects` with a reason.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         good, bad = envelopes.quarantine(batch)
         lake.rejects.write(bad, batch_id)
-        seen = lake.envelopes.read().where(F.col("batch_id") < batch_id)
-        fresh = envelopes.dedupe_envelopes(good.select("payload", "content_hash", "arrival"), seen)
+        fresh = good.select("payload", "content_hash", "arrival")
         lake.runs.write(pricing.price_runs(deliveries_of(fresh, batch_id, prefix), book), batch_id)
-        written = lake.runs.batches.read().where(F.col("batch_id") == batch_id)
         key = envelopes.envelope_session_key(F.col("trace.resourceSpans"))
         lake.envelopes.write(envelopes.parse_trace(fresh).withColumn("session_key", key), batch_id)
+        written = lake.runs.batches.read().where(F.col("batch_id") == batch_id)
         lake.priced.write(topics.priced_topic(written.withColumn("offset", F.col("arrival"))), batch_id)
 
-    return _each_batch(raw, handle, checkpoint, available_now)
+    return _each_batch(raw.dropDuplicates(["content_hash"]), handle, checkpoint, available_now)
 
 
 def stream_indexed(priced: DataFrame, lake: Lake, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -164,8 +168,7 @@ def stream_embedded(
     def handle(batch: DataFrame, batch_id: int) -> None:
         acked = topics.from_topic(batch.drop("batch_id"), topics.INDEXED)
         ids = acked.groupBy(F.col("run_id").alias("id")).agg(F.max("offset").alias("offset"))
-        docs = lake.documents.current().join(ids.select("id"), "id", "left_semi")
-        messages = lake.current_messages().join(ids.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+        docs, messages = lake.documents.current(ids), lake.current_messages(ids)
         texts = search.embedding_text(messages, docs)
         lake.embeddings.write(search.embed(texts, "embedding_text", embedder, dims).join(ids, "id"), batch_id)
 
@@ -184,8 +187,7 @@ def stream_findings(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         ids = topics.from_topic(batch.drop("batch_id"), topics.PRICED).select("id").distinct()
-        runs = lake.runs.current().join(ids, "id", "left_semi")
-        messages = lake.current_messages().join(ids.select(F.col("id").alias("run_id")), "run_id", "left_semi")
+        runs, messages = lake.runs.current(ids), lake.current_messages(ids)
         found = waste.detect_waste(runs, messages, book, F.current_timestamp(), opts)
         lake.findings.write(found, batch_id)
 

@@ -10,32 +10,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from costloom.operators import merge
 
 
+# Tables looked up by key are split into this many buckets, so that a small batch reads few of them.
+BUCKETS = 64
+
+
 class BatchTable:
-    def __init__(self, spark: SparkSession, path: str, ddl: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """Rows per batch; with a `key`, each batch is further split by a hash bucket of it."""
+
+    def __init__(self, spark: SparkSession, path: str, ddl: str, key: str | None = None):
+        self.spark, self.path, self.ddl, self.key = spark, path.rstrip("/"), ddl, key
         self.schema = StructType.fromDDL(ddl)
-        self.ddl = ddl
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        df.select(*cols).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
 
-    def read(self, after: int | None = None) -> DataFrame:
-        """All batches (or those after a batch id), with their `batch_id`; empty when nothing was written."""
-        schema = StructType.fromDDL(f"{self.ddl}, batch_id bigint")
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        target = f"{self.path}/batch_id={batch_id}"
+        if self.key is None:
+            rows.write.mode("overwrite").parquet(target)
+            return
+        # Rebalancing gathers a bucket's rows into few files and splits a bucket that holds a hot key.
+        rows = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(target)
+
+    def read(self, after: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """All batches (or those after a batch id), with their `batch_id`; empty when nothing was written.
+
+        `only` (distinct keys) restricts a keyed table: its buckets are pruned by folder, the rest by a
+        semi-join, before anything is merged.
+        """
+        schema = StructType.fromDDL(f"{self.ddl}, batch_id bigint" + (", bucket int" if self.key else ""))
         try:
             df = self.spark.read.schema(schema).parquet(self.path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
-        return df if after is None else df.where(F.col("batch_id") > after)
+            df = self.spark.createDataFrame([], schema)
+        if after is not None:
+            df = df.where(F.col("batch_id") > after)
+        if only is not None:
+            buckets = [r[0] for r in only.select(self._bucket()).distinct().collect()]  # at most BUCKETS
+            df = df.where(F.col("bucket").isin(buckets)).join(only.select(self.key), self.key, "left_semi")
+        return df.drop("bucket")
 
 
 class MergedTable:
@@ -48,24 +71,25 @@ class MergedTable:
         ddl: str,
         state_ddl: str,
         fold: Callable[[DataFrame, DataFrame | None], DataFrame],
+        key: str | None = None,
     ):
-        self.batches = BatchTable(spark, f"{path.rstrip('/')}/batches", ddl)
-        self.snapshots = BatchTable(spark, f"{path.rstrip('/')}/snapshots", state_ddl)
+        self.batches = BatchTable(spark, f"{path.rstrip('/')}/batches", ddl, key)
+        self.snapshots = BatchTable(spark, f"{path.rstrip('/')}/snapshots", state_ddl, key)
         self.fold = fold
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         self.batches.write(df, batch_id)
 
     def _last_snapshot(self) -> int | None:
-        row = self.snapshots.read().agg(F.max("batch_id").alias("b")).first()
-        return row["b"]
+        return self.snapshots.read().agg(F.max("batch_id").alias("b")).first()["b"]
 
-    def current(self) -> DataFrame:
+    def current(self, only: DataFrame | None = None) -> DataFrame:
+        """The state of all keys, or of the given ones."""
         last = self._last_snapshot()
         if last is None:
-            return self.fold(self.batches.read(), None)
-        state = self.snapshots.read().where(F.col("batch_id") == last).drop("batch_id")
-        return self.fold(self.batches.read(after=last), state)
+            return self.fold(self.batches.read(only=only), None)
+        state = self.snapshots.read(only=only).where(F.col("batch_id") == last).drop("batch_id")
+        return self.fold(self.batches.read(after=last, only=only), state)
 
     def compact(self) -> int | None:
         """Writes the state up to the newest batch as a snapshot; later reads start from it."""
