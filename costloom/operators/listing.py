@@ -17,8 +17,9 @@ class Cursor:
     id: str
 
 
-def _ts(value: datetime | str) -> Column:
-    return F.lit(str(value)).cast("timestamp")
+def _ts(df: DataFrame, at: str, value: datetime | str) -> Column:
+    """The bound in the column's own type: a cast column would keep the predicate from reaching the scan."""
+    return F.lit(str(value)).cast(df.schema[at].dataType)
 
 
 def after_cursor(df: DataFrame, cursor: Cursor | None, at: str = "started_at") -> DataFrame:
@@ -28,7 +29,7 @@ def after_cursor(df: DataFrame, cursor: Cursor | None, at: str = "started_at") -
     lower_id = F.col("id") < F.lit(cursor.id)
     if cursor.at is None:
         return df.where(F.col(at).isNull() & lower_id)
-    key = _ts(cursor.at)
+    key = _ts(df, at, cursor.at)
     return df.where(F.col(at).isNull() | (F.col(at) < key) | ((F.col(at) == key) & lower_id))
 
 
@@ -58,9 +59,9 @@ def list_runs(
 ) -> DataFrame:
     out = runs
     if start is not None:
-        out = out.where(F.col("started_at") >= _ts(start))
+        out = out.where(F.col("started_at") >= _ts(runs, "started_at", start))
     if end is not None:
-        out = out.where(F.col("started_at") <= _ts(end))
+        out = out.where(F.col("started_at") <= _ts(runs, "started_at", end))
     for column, value in (("model_slug", model), ("persona", persona), ("source", source)):
         if value is not None:
             out = out.where(F.col(column) == value)

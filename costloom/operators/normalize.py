@@ -372,12 +372,14 @@ def is_otlp(payload: Column | str) -> Column:
     return F.coalesce(F.array_contains(keys, "resourceSpans"), F.lit(False))
 
 
-def dispatch(envelopes: DataFrame, source: str = "source", payload: str = "payload") -> DataFrame:
+def dispatch(
+    envelopes: DataFrame, source: str = "source", payload: str = "payload", ring_source: str = SOURCE_USAGE_RING
+) -> DataFrame:
     """Adds `route`: the adapter of the row's source; rows without one are `otlp` or `unknown`.
 
     Unknown rows are never an error; keep them for the quarantine table.
     """
-    routes = (SOURCE_LEDGER, SOURCE_RUN_LOG, SOURCE_TRANSCRIPT, SOURCE_USAGE_RING)
+    routes = (SOURCE_LEDGER, SOURCE_RUN_LOG, SOURCE_TRANSCRIPT, ring_source)
     return envelopes.withColumn(
         "route",
         F.when(F.col(source).isin(*routes), F.col(source))

@@ -738,7 +738,7 @@ def admission_budget(spark: SparkSession, d: str) -> DataFrame:
 def orders_page(spark: SparkSession, d: str) -> DataFrame:
     """Keyset paging over the orders table itself; the cursor reaches the scan."""
     rows = feeds.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), "o_totalprice"
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("started_at"), "o_totalprice"
     )
     cursor = listing.Cursor("1996-06-01 00:00:00", 5000)
     return flat(listing.page(listing.after_cursor(rows, cursor), 50))
