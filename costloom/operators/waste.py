@@ -50,14 +50,30 @@ _ROW = ("sequence", "role", "model_slug", *money.TOKEN_FIELDS, "cost_usd")
 
 @dataclass(frozen=True)
 class Frame:
-    """Messages with `p1`, `p2`, ...: the one, two, ... positions earlier message of the same run (or null)."""
+    """Messages that take part in a replay or a loop.
+
+    `writes` are the large cache writes within the replay window before a large read, `parent` is the
+    nearest earlier repeat (null for none); both are message structs.
+    """
 
     rows: DataFrame
     cut: bool  # some hot run was cut into blocks
 
 
+def _is_repeat(earlier: str, opts: WasteOptions) -> str:
+    """SQL condition: `earlier` has the row's role and model, and every counter within the tolerance.
+
+    The tolerance is compared as a ratio of integers, exactly.
+    """
+    top, bottom = opts.loop_tolerance.as_integer_ratio()
+    near = [
+        f"abs({earlier}.{f} - {f}) * {bottom}L <= greatest({earlier}.{f}, {f}) * {top}L" for f in money.TOKEN_FIELDS
+    ]
+    return " AND ".join([f"{earlier}.role <=> role", f"{earlier}.model_slug <=> model_slug", *near])
+
+
 def message_frame(messages: DataFrame, opts: WasteOptions = WasteOptions(), check: bool = True) -> Frame:
-    """One window over (run, block) serves both ordered detectors.
+    """One shuffle and one window over (run, block) for both ordered detectors; most messages drop out here.
 
     Its groups are bounded even when a single run owns most messages; pass `check` = False only where the
     caller knows that no run has more than `opts.hot_rows` of them.
@@ -68,92 +84,72 @@ def message_frame(messages: DataFrame, opts: WasteOptions = WasteOptions(), chec
     w = Window.partitionBy("run_id", "_blk").orderBy("sequence")
     entry = F.struct(*_ROW, F.col("_own").alias("own"))
     earlier = {f"p{k}": F.lag("_e", k).over(w) for k in range(1, span + 1)}
-    return Frame(placed.withColumn("_e", entry).withColumns(earlier).where("_own").drop("_e"), cut)
+    framed = placed.withColumn("_e", entry).withColumns(earlier).where("_own")
+
+    big = [f"if(p{k}.cache_write_tokens >= {opts.replay_min_write_tokens}, p{k}, null)" for k in range(1, opts.replay_window + 1)]
+    writes = f"if(cache_read_tokens >= {opts.replay_min_read_tokens}, filter(array({', '.join(big)}), x -> x IS NOT NULL), null)"
+    repeats = " ".join(
+        f"WHEN p{k} IS NOT NULL AND {_is_repeat(f'p{k}', opts)} THEN p{k}" for k in range(1, opts.loop_window + 1)
+    )
+    parent = f"CASE WHEN input_tokens < {opts.loop_min_input_tokens} THEN null {repeats} END"
+    rows = framed.selectExpr(
+        "run_id", "_blk", "sequence", "cost_usd", *money.TOKEN_FIELDS, f"{writes} AS writes", f"{parent} AS parent"
+    )
+    return Frame(rows.where((F.size("writes") > 0) | F.col("parent").isNotNull()), cut)
 
 
 # ---------------------------------------------------------------- context replay
 
+# Common shape of the ordered detectors' drafts: cost known so far, and the tokens of members without a cost.
+_UNKNOWN = tuple(f"unknown_{f}" for f in money.TOKEN_FIELDS)
+
 
-def replay_pairs(frame: Frame, opts: WasteOptions = WasteOptions()) -> DataFrame:
+def replay_pairs(frame: Frame) -> DataFrame:
     """(write, read) message pairs: a large cache write read back within the window."""
-    reads = frame.rows.where(F.col("cache_read_tokens") >= opts.replay_min_read_tokens)
-    earlier = [F.col(f"p{k}") for k in range(1, opts.replay_window + 1)]
-    writes = F.array(*[F.when(m["cache_write_tokens"] >= opts.replay_min_write_tokens, m) for m in earlier])
-    pairs = reads.select(
+    return frame.rows.where(F.size("writes") > 0).select(
         "run_id",
-        F.explode(writes).alias("w"),
+        F.explode("writes").alias("w"),
         F.col("sequence").alias("read_sequence"),
         F.col("cache_read_tokens").alias("read_tokens"),
     )
-    return pairs.where(F.col("w").isNotNull())
 
 
-def detect_context_replay(
-    frame: Frame, priced_runs: DataFrame, opts: WasteOptions = WasteOptions()
-) -> DataFrame:
-    """Drafts (run_id, kind, evidence, wasted_cost_usd) of the replay rule."""
-    joined = replay_pairs(frame, opts).join(priced_runs, "run_id")
-    tokens = [F.col(f"w.{f}") for f in money.TOKEN_FIELDS]
-    wasted = F.coalesce(F.col("w.cost_usd"), money.cost_expr(tokens, F.col("price"), F.col("multiplier")))
-    evidence = F.struct(
-        F.lit("ContextReplay").alias("kind"),
-        F.lit("context-replay").alias("rule"),
-        F.array(F.col("w.sequence"), F.col("read_sequence")).alias("messageSequences"),
-        F.coalesce(F.col("w.model_slug"), F.col("run_model")).alias("modelSlug"),
-        F.col("w.cache_write_tokens").alias("cacheWriteTokens"),
-        F.col("read_tokens").alias("cacheReadTokens"),
-        F.struct(
-            F.col("run_input").alias("input"),
-            F.col("run_cache_read").alias("cacheRead"),
-            F.col("run_cache_write").alias("cacheWrite"),
-            F.col("run_output").alias("output"),
-        ).alias("runTotals"),
+def _replay_drafts(frame: Frame) -> DataFrame:
+    unknown = F.col("w.cost_usd").isNull()
+    zero = F.lit(0).cast("bigint")
+    counters = F.struct(
+        zero.alias("input"), F.col("read_tokens").alias("cacheRead"), F.col("w.cache_write_tokens").alias("cacheWrite"), zero.alias("output")
     )
-    return joined.select(
+    return replay_pairs(frame).select(
         "run_id",
         F.lit("ContextReplay").alias("kind"),
-        F.to_json(evidence).alias("evidence"),
-        wasted.alias("wasted_cost_usd"),
+        F.coalesce("w.cost_usd", F.lit(0)).cast("decimal(30,10)").alias("known_cost"),
+        unknown.alias("any_unknown"),
+        *[F.when(unknown, F.col(f"w.{f}")).otherwise(zero).alias(u) for f, u in zip(money.TOKEN_FIELDS, _UNKNOWN, strict=True)],
+        F.array("w.sequence", "read_sequence").alias("sequences"),
+        F.col("w.model_slug").alias("model_slug"),
+        counters.alias("tokens"),
     )
 
 
 # ---------------------------------------------------------------- loops
 
 
-def _is_repeat(earlier: str, opts: WasteOptions) -> str:
-    """SQL condition: `earlier` has the row's role and model, and every counter within the tolerance.
-
-    The tolerance is compared as a ratio of integers, exactly.
-    """
-    top, bottom = opts.loop_tolerance.as_integer_ratio()
-    near = [
-        f"abs({earlier}.{f} - {f}) * {bottom}L <= greatest({earlier}.{f}, {f}) * {top}L" for f in money.TOKEN_FIELDS
-    ]
-    return " AND ".join([f"{earlier}.role <=> role", f"{earlier}.model_slug <=> model_slug", *near])
-
-
-def loop_links(frame: Frame, opts: WasteOptions = WasteOptions()) -> DataFrame:
+def loop_links(frame: Frame) -> DataFrame:
     """Each repeating message linked to its nearest earlier repeat within the window.
 
     Columns: run_id, _blk, child, parent (sequences), outside (the parent lies in the block before),
     and `c` / `p`: cost and token counters of both ends.
     """
-    current = frame.rows.where(F.col("input_tokens") >= opts.loop_min_input_tokens)
-    nearest = " ".join(
-        f"WHEN p{k} IS NOT NULL AND {_is_repeat(f'p{k}', opts)} THEN {k}" for k in range(1, opts.loop_window + 1)
-    )
-    at = F.expr(f"CASE {nearest} END")
-    parents = F.array(*[F.col(f"p{k}") for k in range(1, opts.loop_window + 1)])
-    linked = current.withColumn("_k", at).where(F.col("_k").isNotNull()).withColumn("_p", F.get(parents, F.col("_k") - 1))
     ends = ("cost_usd", *money.TOKEN_FIELDS)
-    return linked.select(
+    return frame.rows.where(F.col("parent").isNotNull()).select(
         "run_id",
         "_blk",
         F.col("sequence").alias("child"),
-        F.col("_p.sequence").alias("parent"),
-        (~F.col("_p.own")).alias("outside"),
+        F.col("parent.sequence").alias("parent"),
+        (~F.col("parent.own")).alias("outside"),
         F.struct(*ends).alias("c"),
-        F.struct(*[F.col(f"_p.{e}").alias(e) for e in ends]).alias("p"),
+        F.struct(*[F.col(f"parent.{e}").alias(e) for e in ends]).alias("p"),
     )
 
 
@@ -197,7 +193,7 @@ def loop_members(frame: Frame, opts: WasteOptions = WasteOptions()) -> DataFrame
     was cut) are joined up by a second pass over the few boundary messages.
     """
     span = opts.loop_window
-    inner = _resolve_chains(loop_links(frame, opts), ["run_id", "_blk"], span, ("c", "p"))
+    inner = _resolve_chains(loop_links(frame), ["run_id", "_blk"], span, ("c", "p"))
     if not frame.cut:
         return inner.withColumnRenamed("top", "root").drop("top_outside", "_blk")
     inner = stage(inner, "loop-links")
@@ -232,40 +228,70 @@ def loop_groups(frame: Frame, opts: WasteOptions = WasteOptions()) -> DataFrame:
     )
 
 
-def detect_loops(
-    frame: Frame, priced_runs: DataFrame, opts: WasteOptions = WasteOptions()
-) -> DataFrame:
-    """Drafts of the loop rule: one per group of at least two messages; wasted = cost of all members."""
-    g = loop_groups(frame, opts).join(priced_runs, "run_id")
+def _loop_drafts(frame: Frame, opts: WasteOptions) -> DataFrame:
     root_unknown = F.col("first.cost_usd").isNull()
-    tokens = [
-        F.col(f"unknown_{f}") + F.when(root_unknown, F.col(f"first.{f}")).otherwise(F.lit(0))
-        for f in money.TOKEN_FIELDS
-    ]
-    known = F.col("known_cost") + F.coalesce(F.col("first.cost_usd"), F.lit(0))
-    recomputed = money.exact_cost(tokens, F.col("price"), F.col("multiplier"))
-    wasted = F.when((F.col("unknown_costs") == 0) & ~root_unknown, known).otherwise(known + recomputed)
-    sequences = F.concat(F.array("root"), F.col("repeats"))
-    evidence = F.struct(
+    zero = F.lit(0).cast("bigint")
+    names = ("input", "cacheRead", "cacheWrite", "output")
+    return loop_groups(frame, opts).select(
+        "run_id",
         F.lit("Loop").alias("kind"),
-        F.lit("loop").alias("rule"),
-        sequences.alias("sequences"),
-        F.size(sequences).alias("occurrences"),
+        (F.col("known_cost") + F.coalesce("first.cost_usd", F.lit(0))).cast("decimal(30,10)").alias("known_cost"),
+        ((F.col("unknown_costs") > 0) | root_unknown).alias("any_unknown"),
+        *[
+            (F.col(u) + F.when(root_unknown, F.col(f"first.{f}")).otherwise(zero)).alias(u)
+            for f, u in zip(money.TOKEN_FIELDS, _UNKNOWN, strict=True)
+        ],
+        F.concat(F.array("root"), F.col("repeats")).alias("sequences"),
+        F.lit(None).cast("string").alias("model_slug"),
+        F.struct(*[F.col(f"first.{f}").alias(n) for f, n in zip(money.TOKEN_FIELDS, names, strict=True)]).alias("tokens"),
+    )
+
+
+def _finish(drafts: DataFrame, context: DataFrame) -> DataFrame:
+    """Joins drafts with their run once: costs of members without one are recomputed (null when the run has
+    no price), and the evidence is written out."""
+    g = drafts.join(context, "run_id")
+    recomputed = money.exact_cost([F.col(u) for u in _UNKNOWN], F.col("price"), F.col("multiplier"))
+    wasted = F.when(F.col("any_unknown"), F.col("known_cost") + recomputed).otherwise(F.col("known_cost"))
+    replay = F.struct(
+        F.col("kind").alias("kind"),
+        F.lit("context-replay").alias("rule"),
+        F.col("sequences").alias("messageSequences"),
+        F.coalesce("model_slug", "run_model").alias("modelSlug"),
+        F.col("tokens.cacheWrite").alias("cacheWriteTokens"),
+        F.col("tokens.cacheRead").alias("cacheReadTokens"),
         F.struct(
-            F.col("first.input_tokens").alias("input"),
-            F.col("first.cache_read_tokens").alias("cacheRead"),
-            F.col("first.cache_write_tokens").alias("cacheWrite"),
-            F.col("first.output_tokens").alias("output"),
-        ).alias("tokens"),
+            F.col("run_input").alias("input"),
+            F.col("run_cache_read").alias("cacheRead"),
+            F.col("run_cache_write").alias("cacheWrite"),
+            F.col("run_output").alias("output"),
+        ).alias("runTotals"),
+    )
+    loop = F.struct(
+        F.col("kind").alias("kind"),
+        F.lit("loop").alias("rule"),
+        "sequences",
+        F.size("sequences").alias("occurrences"),
+        "tokens",
     )
     return g.select(
         "run_id",
-        F.lit("Loop").alias("kind"),
-        F.to_json(evidence).alias("evidence"),
+        "kind",
+        F.when(F.col("kind") == "Loop", F.to_json(loop)).otherwise(F.to_json(replay)).alias("evidence"),
         wasted.cast(schemas.MONEY).alias("wasted_cost_usd"),
     )
 
 
+def detect_context_replay(frame: Frame, context: DataFrame) -> DataFrame:
+    """Drafts (run_id, kind, evidence, wasted_cost_usd) of the replay rule; wasted = cost of the write."""
+    return _finish(_replay_drafts(frame), context)
+
+
+def detect_loops(frame: Frame, context: DataFrame, opts: WasteOptions = WasteOptions()) -> DataFrame:
+    """Drafts of the loop rule: one per group of at least two messages; wasted = cost of all members."""
+    return _finish(_loop_drafts(frame, opts), context)
+
+
 # ---------------------------------------------------------------- cost threshold
 
 
@@ -333,12 +359,13 @@ def detect_waste(
     detected_at: Column,
     opts: WasteOptions = WasteOptions(),
 ) -> DataFrame:
-    """All findings of ended runs. Same input gives the same ids and hashes, so reruns merge to nothing."""
-    context = run_context(runs, book)
+    """All findings of ended runs. Same input gives the same ids and hashes, so reruns merge to nothing.
+
+    The framed messages are written out once for both ordered detectors: that halves the only large
+    shuffle, and few messages are left in it.
+    """
     frame = messages if isinstance(messages, Frame) else message_frame(messages, opts)
-    drafts = (
-        detect_context_replay(frame, context, opts)
-        .unionByName(detect_loops(frame, context, opts))
-        .unionByName(detect_cost_threshold(runs.where(F.col("ended_at").isNotNull()), opts))
-    )
+    frame = Frame(stage(frame.rows, "waste-frame"), frame.cut)
+    ordered = _finish(_replay_drafts(frame).unionByName(_loop_drafts(frame, opts)), run_context(runs, book))
+    drafts = ordered.unionByName(detect_cost_threshold(runs.where(F.col("ended_at").isNotNull()), opts))
     return to_findings(drafts, detected_at, opts)

@@ -94,7 +94,7 @@ def test_detectors_match_brute_force_also_when_runs_are_cut(spark, hot):
     df = messages_df(spark, [m for ms in data.values() for m in ms])
     frame = waste.message_frame(df, opts)
     assert frame.cut == (hot < 90)
-    got_pairs = rows_of(waste.replay_pairs(frame, opts), "run_id", F.col("w.sequence"), "read_sequence")
+    got_pairs = rows_of(waste.replay_pairs(frame), "run_id", F.col("w.sequence"), "read_sequence")
     want_pairs = sorted(((r, *p) for r, ms in data.items() for p in brute_waste(ms, opts)[0]), key=repr)
     assert got_pairs == want_pairs
     groups = waste.loop_groups(frame, opts)
