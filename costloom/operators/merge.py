@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from costloom import schemas
-from costloom.functions.text import derived_id
 from costloom.operators.skew import HOT_ROWS, running_max_before, with_previous_rows
 
 RUN_KEY = ["session_id", "agent_id"]
@@ -212,7 +211,3 @@ def transition_violations(deliveries: DataFrame, hot_rows: int = HOT_ROWS) -> Da
         .where(F.col("_own") & F.col("previous_status").isin(*TERMINAL) & (F.col("status") != F.col("previous_status")))
         .select(*cols, "previous_status")
     )
-
-
-def document_id(uri: Column | str) -> Column:
-    return derived_id(uri)
