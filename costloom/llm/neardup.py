@@ -37,6 +37,12 @@ TOP = 2**16 - 2
 REGISTERS = 255
 ROWS = 5
 SEED = 20_231
+# Low bits of a bucket's key.
+BAND_MASK = 63
+# Orders by which representatives are chosen: ids xor a salt. One unlucky choice does not split a group.
+SALTS = [0, 0x2F6E2B1D5A9C3E71, 0x5DEECE66D1B54A33, 0x7A3C1F0B9E2D4C65]
+# Lists of ids up to this length are broadcast, so that texts stay where they are; longer ones are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 # Members of one side of a tile in the cross-component comparison.
 TILE = 1024
 # Elements x registers hashed at a time: bounds the memory of a very long text.
@@ -69,13 +75,14 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A 63-bit key per band, of an array (..., registers)."""
+    """A 63-bit key per band, of an array (..., registers); its low bits are the band's number."""
     bands = regs.shape[-1] // rows
     cut = regs[..., : bands * rows].reshape(*regs.shape[:-1], bands, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), cut.shape[:-1]).copy()
     for i in range(rows):
         key = wordhash.mix(key * np.uint64(0x9E3779B97F4A7C15) + cut[..., i] + np.uint64(1))
-    return (key >> np.uint64(1)).astype(np.int64)
+    key = (key >> np.uint64(1)) & ~np.uint64(BAND_MASK) | np.arange(bands, dtype=np.uint64)
+    return key.astype(np.int64)
 
 
 def likely_jaccard(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -176,7 +183,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(bkey, band, id): one row per class and band."""
+    """(bkey, id): one row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,17 +191,17 @@ def _bands(classes: DataFrame) -> DataFrame:
                 continue
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
             keys = band_keys(regs)
-            bands = keys.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.ravel()),
-                    pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)),
-                    pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)),
-                ],
-                ["bkey", "band", "id"],
-            )
+            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(owner)], ["bkey", "id"])
+
+    return classes.select("id", "regs").mapInArrow(run, "bkey long, id long")
+
 
-    return classes.select("id", "regs").mapInArrow(run, "bkey long, band int, id long")
+def _texts_of(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of `ids` (distinct, staged)."""
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return reps.join(ids, "id", "left_semi").select("id", "text")
 
 
 def _screen(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -223,8 +230,8 @@ def _confirm(pairs: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
     Sets are made again from the texts of the classes that occur in a pair; the text side of that join carries
     each representative once.
     """
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    sets = stage(_sets(reps.join(ids, "id", "left_semi").select("id", "text"), words), "neardup-sets").select("id", "values")
+    ids = stage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "neardup-ids")
+    sets = stage(_sets(_texts_of(reps, ids), words), "neardup-sets").select("id", "values")
     left = sets.select(F.col("id").alias("a"), F.col("values").alias("va"))
     right = sets.select(F.col("id").alias("b"), F.col("values").alias("vb"))
     both = F.size(F.array_intersect("va", "vb")).cast("long")
@@ -298,13 +305,13 @@ def _find(parent: dict[int, int], x: int) -> int:
 def _cluster_edges(members: DataFrame, threshold: float) -> DataFrame:
     """(a, b) edges that join the rows of mixed buckets whose estimates pass and whose components differ.
 
-    `members` is (bkey, band, id, comp, n, regs, blocks). A tile gives a spanning forest of its passing pairs, never
+    `members` is (bkey, id, comp, n, regs, blocks). A tile gives a spanning forest of its passing pairs, never
     the pairs. A pair is looked at in its first common band only.
     """
 
     def work(tile: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         regs = keys = None
-        n, ids, band = tile["n"].to_numpy(), tile["id"].to_numpy(), int(tile["band"].iloc[0])
+        n, ids, band = tile["n"].to_numpy(), tile["id"].to_numpy(), int(tile["bkey"].iloc[0]) & BAND_MASK
         parent: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
         for i, at in _cross_rows(tile):
@@ -325,7 +332,7 @@ def _cluster_edges(members: DataFrame, threshold: float) -> DataFrame:
             e = np.array(edges)
             yield ids[e[:, 0]], ids[e[:, 1]]
 
-    tiles = _tiles(members, "bkey", ["band", "n", "regs"])
+    tiles = _tiles(members, "bkey", ["n", "regs"])
     return tiles.mapInPandas(_per_tile("bkey", work), "a long, b long").where("a <> b").distinct()
 
 
@@ -394,12 +401,12 @@ def near_duplicates(
     reps = narrow.withColumnRenamed("doc_id", "id")
 
     bands = _bands(classes)
+    salted = F.col("id").bitwiseXOR(F.element_at(F.array(*map(F.lit, SALTS)), (F.col("bkey").bitwiseAND(F.lit(len(SALTS) - 1)) + 1).cast("int")))
     heads = (
         bands.groupBy("bkey")
-        # Representatives by four unrelated orders, so that one unlucky choice does not split a group.
-        .agg(F.min(F.struct(F.xxhash64("id", F.col("band") % 4).alias("h"), F.col("id").alias("id"))).alias("head"), F.count(F.lit(1)).alias("size"))
+        .agg(F.min(salted).alias("id"), F.count(F.lit(1)).alias("size"))
         .where("size > 1")
-        .select("bkey", F.col("head.id").alias("head"), "size")
+        .select("bkey", salted.alias("head"), "size")
     )
     members = stage(bands.join(heads, "bkey"), "neardup-members")
     star = (
@@ -416,7 +423,7 @@ def near_duplicates(
     held = (
         placed.join(mixed, "bkey", "left_semi")
         .withColumn("blocks", F.ceil(F.col("size") / F.lit(tile)).cast("int"))
-        .select("bkey", "band", "id", "comp", "blocks")
+        .select("bkey", "id", "comp", "blocks")
         .join(classes.select("id", "n", "regs"), "id")
     )
     near = connected_components(_cluster_edges(held, threshold), "neardup-clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
@@ -425,7 +432,7 @@ def near_duplicates(
         near.join(sized_clusters, "cluster")
         .join(labels.withColumnRenamed("node", "id"), "id", "left")
         .select("cluster", "id", "blocks", F.coalesce("component", "id").alias("comp"))
-        .join(stage(_sets(reps.join(near, "id", "left_semi").select("id", "text"), words), "neardup-sets").select("id", "values"), "id")
+        .join(stage(_sets(_texts_of(reps, near.select("id")), words), "neardup-sets").select("id", "values"), "id")
     )
     more = stage(_cluster_links(grouped, percent), "neardup-more")
     # Classes of one id with different texts are one node.
@@ -440,3 +447,19 @@ def near_duplicates(
         component.cast("long").alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id leads its group, one row per id, with their columns.
+
+    Rows that go are taken out by an anti-join with their ids, the smaller list in a corpus of mostly different texts. Ids
+    that occur on several rows are few; only their rows are compared with each other. Rows without an id stay.
+    """
+    groups = stage(near_duplicates(docs, words, percent, id_col, text_col), "neardup-groups")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    again = stage(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "neardup-repeats")
+    if again.isEmpty():
+        return left
+    same = F.col(id_col).cast("long") == F.col("_again")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))

@@ -2,21 +2,91 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm import neardup
+from costloom.llm import ann, bpe, chat, licenses, mixing, neardup, quality, secretscan, toxicity, urlfilter
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against rules and block list in one sorted digest array."""
+    return urlfilter.judge_pages(_table(spark, sf_dir, "pages"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth, by multiprobe hashing and exact reranking."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(bpe.decode(spark, F.col("ids"), RANKS), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 2-word shingle sets are 80 % alike."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secretscan.scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line CRF's verdict for every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge_documents(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its examples."""
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat.digests(chat.examples(turns.unionByName(planted)))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in every document."""
+    found = licenses.scan_documents(_table(spark, sf_dir, "documents"))
+    span = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), F.format_number(m["coverage"], 3)))
+    return found.select("doc_id", "n_matches", "licenses", F.array_join(span, ",").alias("spans"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned without the held-out fifth of the labels."""
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_byte_level_bpe": op3_byte_level_bpe,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_secret_scans": op5_secret_scans,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_source_mix": op7_source_mix,
+    "op8_chat_format": op8_chat_format,
+    "op9_license_scans": op9_license_scans,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

@@ -62,3 +62,13 @@ def as_bytes(col: pa.Array) -> list[bytes | None]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
+
+
+class PlainIds(WordIds):
+    """As `WordIds`, of words in lower case (A-Z) and without punctuation at their ends."""
+
+    ENDS = b".,;:!?\"'()[]{}<>*#"
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh3_64_intdigest(word.lower().strip(self.ENDS))
+        return out
