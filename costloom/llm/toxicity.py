@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         return pd.DataFrame({"i": list(w), "w": list(w.values())}).astype({"i": "int32", "w": "float64"})
 
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id long, toxic int, at array<int>").dropDuplicates(["doc_id"])
-    found = rows.withColumn("h", F.xxhash64("doc_id")).groupBy(F.lit(1)).applyInPandas(learn, "i int, w double")
+    found = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "i int, w double")
     # L1 leaves far fewer than 2^BITS weights, which bounds them in any case.
     return {r["i"]: r["w"] for r in found.collect()}
 
