@@ -24,6 +24,8 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 MAX_RANK_BYTES = 64_000_000
 CACHE_PIECES = 300_000
 CACHE_LENGTH = 64
+# Characters cut into pieces at a time.
+CHUNK_CHARS = 1_000_000
 REPLACEMENT = "�".encode()
 
 
@@ -115,14 +117,26 @@ class Encoder:
             if self.spans is not None:
                 del self.spans[piece]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = [np.fromiter(itertools.chain.from_iterable(map(self.ids.__getitem__, p)), np.int32) for p in self.pieces(texts)]
+    def chunks(self, texts: list[str | None]) -> Iterator[list[list[str]]]:
+        """Pieces of the texts, some texts at a time: pieces of a whole batch would not be small."""
+        some, chars = [], 0
+        for text in texts:
+            some.append(text)
+            chars += len(text or "")
+            if chars >= CHUNK_CHARS:
+                yield self.pieces(some)
+                self.forget()
+                some, chars = [], 0
+        yield self.pieces(some)
         self.forget()
-        return out
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        known = self.ids.__getitem__
+        return [np.fromiter(itertools.chain.from_iterable(map(known, p)), np.int32) for cut in self.chunks(texts) for p in cut]
 
     def encode_with_offsets(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         out = []
-        for pieces in self.pieces(texts):
+        for pieces in itertools.chain.from_iterable(self.chunks(texts)):
             ids, starts, ends, at = [], [], [], 0
             for p in pieces:
                 ids.extend(self.ids[p])
@@ -131,7 +145,6 @@ class Encoder:
                     ends.append(at + b)
                 at += len(p)
             out.append((np.array(ids, np.int32), np.array(starts, np.int32), np.array(ends, np.int32)))
-        self.forget()
         return out
 
 
@@ -173,6 +186,13 @@ def token_bytes(model: str) -> dict[int, bytes]:
     return {i: bytes(back[c] for c in name) for name, i in json.loads(model)["model"]["vocab"].items()}
 
 
+def _joined(ids: list[int | None], table: dict[int, bytes]) -> bytes:
+    try:
+        return b"".join(map(table.__getitem__, ids))
+    except KeyError:
+        return b"".join(table.get(i, REPLACEMENT) for i in ids)
+
+
 def decode(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
     """binary: the bytes of the ids in order. Ids outside the vocabulary and nulls give the bytes of U+FFFD; a null
     list gives none. Bytes are joined before any character is read, so characters split over tokens are whole."""
@@ -181,7 +201,10 @@ def decode(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = token_bytes(model.value)
         for lists in batches:
-            yield pa.array([b"".join(table.get(i, REPLACEMENT) for i in row or ()) for row in lists.to_pylist()], pa.binary())
+            values, at = lists.values, np.asarray(lists.offsets).tolist()
+            # Row by row: the ids of a batch as Python numbers would be many times its size.
+            rows = (values.slice(a, b - a).to_pylist() for a, b in itertools.pairwise(at))
+            yield pa.array([_joined(row, table) for row in rows], pa.binary())
 
     return arrow_udf(run, "binary")(ids)
 

@@ -18,7 +18,7 @@ from costloom.llm import wordhash
 # Least share of words in content lines.
 LEAST_SHARE = 0.5
 # Training sample: documents per label, and lines per document.
-SAMPLE = 600
+SAMPLE = 400
 SAMPLE_LINES = 200
 # Fixed values of the base rules.
 WINDOW = 8
@@ -103,7 +103,7 @@ class Chain:
         return np.array(out[::-1])
 
 
-def train(sequences: list[np.ndarray], labels: list[int], steps: int = 120, l2: float = 1.0) -> Chain:
+def train(sequences: list[np.ndarray], labels: list[int], steps: int = 80, l2: float = 1.0) -> Chain:
     """Maximum-likelihood weights with an L2 prior, by gradient steps on all sequences at once.
 
     Sequences are padded to one length; forward and backward sums run over positions, for all sequences together.

@@ -17,9 +17,9 @@ from costloom.llm import wordhash
 
 BITS = 20
 # Training sample: rows per label, chosen by a hash of their ids, and passes over them.
-SAMPLE = 3000
-PASSES = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+SAMPLE = 2000
+PASSES = 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
 
 
 def features(text: bytes, ids: wordhash.PlainIds) -> np.ndarray:
