@@ -40,10 +40,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds token ids, their number, and whether decoding gives the text back."""
-    ids = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
-    text = F.coalesce("text", F.lit(""))
-    same = bpe.decode(spark, F.col("ids"), RANKS) == text.cast("binary")
-    return ids.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same)
+    trip = bpe.round_trip(spark, F.col("text"), RANKS, public_tokenizers.PATTERN, ids=True)
+    done = docs.withColumn("_trip", trip)
+    return done.withColumn("ids", F.col("_trip.ids")).withColumn("n_tokens", F.col("_trip.n_tokens")).withColumn("round_trip", F.col("_trip.same")).drop("_trip")
 
 
 STAGES = [

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
@@ -22,10 +23,10 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 # The vocabulary is sent to every executor; a rank file above this many bytes is refused.
 MAX_RANK_BYTES = 64_000_000
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 CACHE_LENGTH = 64
-# Characters cut into pieces at a time.
-CHUNK_CHARS = 1_000_000
+# Bytes of text that are cut into pieces at a time: the pieces and ids of a whole Arrow batch would not be small.
+CHUNK_BYTES = 1_000_000
 REPLACEMENT = "�".encode()
 
 
@@ -117,26 +118,15 @@ class Encoder:
             if self.spans is not None:
                 del self.spans[piece]
 
-    def chunks(self, texts: list[str | None]) -> Iterator[list[list[str]]]:
-        """Pieces of the texts, some texts at a time: pieces of a whole batch would not be small."""
-        some, chars = [], 0
-        for text in texts:
-            some.append(text)
-            chars += len(text or "")
-            if chars >= CHUNK_CHARS:
-                yield self.pieces(some)
-                self.forget()
-                some, chars = [], 0
-        yield self.pieces(some)
-        self.forget()
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known = self.ids.__getitem__
-        return [np.fromiter(itertools.chain.from_iterable(map(known, p)), np.int32) for cut in self.chunks(texts) for p in cut]
+        out = [np.fromiter(itertools.chain.from_iterable(map(known, p)), np.int32) for p in self.pieces(texts)]
+        self.forget()
+        return out
 
     def encode_with_offsets(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         out = []
-        for pieces in itertools.chain.from_iterable(self.chunks(texts)):
+        for pieces in self.pieces(texts):
             ids, starts, ends, at = [], [], [], 0
             for p in pieces:
                 ids.extend(self.ids[p])
@@ -145,6 +135,7 @@ class Encoder:
                     ends.append(at + b)
                 at += len(p)
             out.append((np.array(ids, np.int32), np.array(starts, np.int32), np.array(ends, np.int32)))
+        self.forget()
         return out
 
 
@@ -153,6 +144,17 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
 
 
+def _parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow batch, about CHUNK_BYTES at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        done = int(sizes[at - 1]) if at else 0
+        upto = max(at + 1, int(np.searchsorted(sizes, done + CHUNK_BYTES)))
+        yield texts.slice(at, upto - at).to_pylist()
+        at = upto
+
+
 def _model(spark: SparkSession, ranks_path: str):
     """The vocabulary as a broadcast: the driver reads the file, executors need not have it."""
     ranks = read_ranks(ranks_path)
@@ -166,13 +168,13 @@ def encode(spark: SparkSession, text: Column, ranks_path: str, pattern: str, off
 
     def ids_only(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(model.value, pattern)
-        for texts in batches:
-            yield _lists(enc.encode(texts.to_pylist()))
+        for part in itertools.chain.from_iterable(map(_parts, batches)):
+            yield _lists(enc.encode(part))
 
     def with_offsets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(model.value, pattern, offsets=True)
-        for texts in batches:
-            rows = enc.encode_with_offsets(texts.to_pylist())
+        for part in itertools.chain.from_iterable(map(_parts, batches)):
+            rows = enc.encode_with_offsets(part)
             yield pa.StructArray.from_arrays([_lists([r[i] for r in rows]) for i in range(3)], ["ids", "starts", "ends"])
 
     if offsets:
@@ -209,6 +211,31 @@ def decode(spark: SparkSession, ids: Column, ranks_path: str) -> Column:
     return arrow_udf(run, "binary")(ids)
 
 
+def round_trip(spark: SparkSession, text: Column, ranks_path: str, pattern: str, ids: bool = False) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256, same[, ids]): encoding and decoding in one pass inside one worker.
+
+    The digests are those of `ids_digest` and of the decoded bytes; `same` tells whether these are the text's.
+    """
+    model = _model(spark, ranks_path)
+    fields = ["n_tokens", "ids_sha256", "decoded_sha256", "same", *["ids"] * ids]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc, table = Encoder(model.value, pattern), token_bytes(model.value)
+        for part in itertools.chain.from_iterable(map(_parts, batches)):
+            rows = enc.encode(part)
+            back = [_joined(r.tolist(), table) for r in rows]
+            cols = [
+                pa.array([len(r) for r in rows], pa.int64()),
+                pa.array([hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()),
+                pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
+                pa.array([b == (t or "").encode() for b, t in zip(back, part, strict=True)], pa.bool_()),
+            ]
+            yield pa.StructArray.from_arrays([*cols, *[_lists(rows)] * ids], fields)
+
+    kinds = ["bigint", "string", "string", "boolean", "array<int>"]
+    return arrow_udf(run, f"struct<{','.join(f'{n}:{k}' for n, k in zip(fields, kinds, strict=False))}>")(text)
+
+
 def stream_texts(ids: list[int], table: dict[int, bytes]) -> list[str]:
     """Text that each token completes: a character split over tokens appears with its last one, bytes that can
     no longer become a character as U+FFFD."""

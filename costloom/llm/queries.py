@@ -26,14 +26,8 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(bpe.decode(spark, F.col("ids"), RANKS), 256).alias("decoded_sha256"),
-    )
+    trip = bpe.round_trip(spark, F.col("text"), RANKS, public_tokenizers.PATTERN)
+    return _table(spark, sf_dir, "documents").select("doc_id", trip.alias("t")).select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
