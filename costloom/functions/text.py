@@ -31,6 +31,11 @@ def blank_to_null(c: Column | str) -> Column:
     return F.when(~is_blank(c), col(c))
 
 
+def trim_all(c: Column | str) -> Column:
+    """Without (Unicode) white space at both ends."""
+    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+
+
 def run_id(session_id: Column | str, agent_id: Column | str = "") -> Column:
     """Deterministic run id of a (session, agent) key, so replays agree without a lookup."""
     agent = F.lit("") if isinstance(agent_id, str) and agent_id == "" else col(agent_id)
@@ -62,7 +67,7 @@ def resolve_session(session_id: Column | str, handle: Column | str) -> Column:
 
 
 def ledger_status(c: Column | str) -> Column:
-    word = F.lower(F.trim(col(c)))
+    word = F.lower(trim_all(c))
     out = F.lit("Unknown")
     for status in sorted(set(LEDGER_STATUS.values())):
         words = [w for w, s in LEDGER_STATUS.items() if s == status]

@@ -34,7 +34,7 @@ def merge_runs(
     """Next state of the runs table, one row per (session_id, agent_id).
 
     Every field is that of the last accepted delivery, except that pricing freezes at the first accepted
-    Priced one. A stored row takes part as a delivery that arrived before all others. `arrival` must be a
+    Priced one and the id is that of the first delivery, for ever: messages and findings refer to it. A stored row takes part as a delivery that arrived before all others. `arrival` must be a
     unique integer per delivery.
     """
     rows = deliveries.select(*schemas.columns(schemas.RUNS), "arrival")
@@ -43,18 +43,26 @@ def merge_runs(
             state.select(*schemas.columns(schemas.RUNS)).withColumn("arrival", F.lit(STATE_ARRIVAL).cast("bigint"))
         )
     taken = accepted_deliveries(rows, hot_rows).where("applied")
-    plain = [c for c in schemas.columns(schemas.RUNS) if c not in (*RUN_KEY, *PRICING)]
+    plain = [c for c in schemas.columns(schemas.RUNS) if c not in ("id", *RUN_KEY, *PRICING)]
     priced = F.when(F.col("pricing_status") == "Priced", F.col("arrival"))
     merged = taken.groupBy(*RUN_KEY).agg(
+        F.min_by("id", "arrival").alias("id"),
         F.max_by(F.struct(*plain), "arrival").alias("_last"),
         F.max_by(F.struct(*PRICING), "arrival").alias("_last_price"),
         F.min_by(F.struct(*PRICING), priced).alias("_first_price"),
     )
     price = F.coalesce("_first_price", "_last_price")
-    out = merged.select(*RUN_KEY, "_last.*", price.alias("_price")).withColumns({c: F.col("_price")[c] for c in PRICING})
+    out = merged.select(*RUN_KEY, "id", "_last.*", price.alias("_price")).withColumns({c: F.col("_price")[c] for c in PRICING})
     return out.select(*schemas.columns(schemas.RUNS))
 
 
+def stored_ids(deliveries: DataFrame) -> DataFrame:
+    """(id, stored_id) of ids that differ from the id their run is stored under, the first delivery's."""
+    firsts = deliveries.groupBy(*RUN_KEY).agg(F.min_by("id", "arrival").alias("stored_id"))
+    other = deliveries.groupBy(*RUN_KEY, "id").agg(F.lit(1).alias("_one")).drop("_one")
+    return other.join(firsts, RUN_KEY).where("id <> stored_id").select("id", "stored_id")
+
+
 def latest_by_key(df: DataFrame, keys: list[str], arrival: str = "arrival") -> DataFrame:
     """Last write wins per key, as a grouped arg-max."""
     rest = [c for c in df.columns if c not in (*keys, arrival)]

@@ -21,6 +21,7 @@ from costloom.functions.text import (
     run_id,
     terminal_status,
 )
+from costloom.operators.merge import merge_runs
 from costloom.operators.skew import number_blocked
 
 # Provenance labels of the row formats.
@@ -70,9 +71,10 @@ def merge_sessions(rows: DataFrame, order: str = "ord", keys: tuple[str, ...] =
     as 0). The reported cost is 0, not null, when no row carries one.
     """
     label = F.struct("source", "handle", "persona", "model_slug", "status")
-    rank = F.struct(F.coalesce(F.col("cost_usd"), F.lit(0)).alias("c"), (-F.col(order)).alias("o"))
+    # Any orderable type will do for `order`, such as (file, block, row).
+    rank = F.struct((-F.coalesce(F.col("cost_usd"), F.lit(0))).alias("c"), F.col(order).alias("o"))
     folded = rows.groupBy(*keys, "session_id").agg(
-        F.max_by(label, rank).alias("_best"),
+        F.min_by(label, rank).alias("_best"),
         F.min("started_at").alias("started_at"),
         F.max("ended_at").alias("ended_at"),
         *[F.sum(F.coalesce(F.col(f), F.lit(0))).alias(f) for f in money.TOKEN_FIELDS],
@@ -159,9 +161,21 @@ def span_rows(spans: DataFrame, prefix: str = ATTR_PREFIX, keep: tuple[str, ...]
     )
 
 
+def otlp_deliveries(envelopes: DataFrame, prefix: str = ATTR_PREFIX) -> DataFrame:
+    """Parsed trace envelopes (`trace`, `content_hash`, `arrival`) to one run per (envelope, session).
+
+    Spans are folded inside their envelope only: positions of different envelopes are not comparable.
+    """
+    keep = ("content_hash", "arrival")
+    return merge_sessions(span_rows(explode_spans(envelopes, keep=keep), prefix, keep=keep), keys=keep)
+
+
 def normalize_otlp(envelopes: DataFrame, prefix: str = ATTR_PREFIX) -> DataFrame:
-    """Parsed trace envelopes (column `trace`) to runs, one per session of the given batch."""
-    return merge_sessions(span_rows(explode_spans(envelopes), prefix))
+    """Parsed trace envelopes (`trace`, `content_hash`, `arrival`) to runs: each envelope is a delivery of its
+    sessions' runs, a later one replaces an earlier one by the rule of `merge_runs`. One run per session."""
+    order = F.row_number().over(Window.partitionBy("session_id").orderBy("arrival", "content_hash"))
+    numbered = otlp_deliveries(envelopes, prefix).withColumn("arrival", order.cast("bigint"))
+    return merge_runs(numbered.drop("content_hash"))
 
 
 # ---------------------------------------------------------------- row adapters

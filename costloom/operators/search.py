@@ -118,11 +118,14 @@ def search_keyword(
 
 
 def highlight(text: Column | str, q: str, size: int = 150, fragments: int = 2) -> Column:
-    """The first fragments that hold a query term, with the terms wrapped in <em>."""
+    """The first fragments that hold a query term, with the terms wrapped in <em>.
+
+    A fragment has `size` characters and goes on to the end of the word it would cut, so every word lies whole in
+    exactly one fragment.
+    """
     terms = F.array(*[F.lit(t) for t in query_terms(q)])
     c = col(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), F.lit(size))
-    pieces = F.transform(starts, lambda i: F.substring(c, i, F.lit(size)))
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{size}}}[\p{{L}}\p{{N}}]*"), F.lit(0))
     hits = F.filter(pieces, lambda p: F.arrays_overlap(tokens(p), terms))
 
     def mark(piece: Column) -> Column:
@@ -324,7 +327,7 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hashed_words(dims: int = EMBED_DIMS) -> Embedder:
-    """Default embedder: signed hashed bag of words, unit length. Deterministic and model-free."""
+    """An embedder for tests and trials: signed hashed bag of words, unit length. Deterministic and model-free."""
     import zlib
 
     def embed_batch(texts: list[str]) -> np.ndarray:
@@ -339,14 +342,12 @@ def hashed_words(dims: int = EMBED_DIMS) -> Embedder:
     return embed_batch
 
 
-def embed(df: DataFrame, text: str, embedder: Embedder | None = None, dims: int = EMBED_DIMS) -> DataFrame:
+def embed(df: DataFrame, text: str, embedder: Embedder, dims: int = EMBED_DIMS) -> DataFrame:
     """Adds `embedding` by calling the embedder on Arrow batches; a wrong width fails the job."""
-    run = embedder or hashed_words(dims)
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = np.asarray(run([t or "" for t in batch]), dtype=np.float32)
+            out = np.asarray(embedder([t or "" for t in batch]), dtype=np.float32)
             if out.shape != (len(batch), dims):
                 raise ValueError(f"embedder gave shape {out.shape}, expected ({len(batch)}, {dims})")
             yield pd.Series(list(out))

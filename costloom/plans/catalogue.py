@@ -65,8 +65,11 @@ def session_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def status_vocab(spark: SparkSession, d: str) -> DataFrame:
+    """Words as they are, and once more in capitals between a tab, a space and a newline."""
+    words = feeds.raw_spans(spark, d).select("status_word")
+    padded = words.where("status_word is not null").select(F.concat(F.lit("\t"), F.upper("status_word"), F.lit(" \n")).alias("status_word"))
     return (
-        feeds.raw_spans(spark, d)
+        words.unionAll(padded)
         .groupBy("status_word", text.ledger_status("status_word").alias("status"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -674,7 +677,7 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
 def embed_runs(spark: SparkSession, d: str) -> DataFrame:
     """Embeds every conversation; one row per run with the vector's width and length."""
     texts = search.embedding_text(_chat_messages(spark, d), _chat_runs(spark, d))
-    docs = search.attach_vectors(_chat_runs(spark, d), search.embed(texts, "embedding_text"))
+    docs = search.attach_vectors(_chat_runs(spark, d), search.embed(texts, "embedding_text", search.hashed_words()))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return docs.select("id", F.size("embedding").alias("dims"), F.round(norm, 3).alias("norm"))
 

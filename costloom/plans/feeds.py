@@ -62,19 +62,10 @@ def fresh(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
-# Key by which a table of few row groups is spread.
-SPREAD = {"events": "event_id", "documents": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A scan with fewer tasks than cores is spread by its key before the per-row work; a
-    table of real size has far more splits than cores and is left as it is."""
+    """A test table, as it lies."""
     pin_utc(spark)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, SPREAD[name])
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def prices(spark: SparkSession) -> DataFrame:

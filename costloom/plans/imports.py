@@ -41,6 +41,9 @@ def import_transcripts(
     costed = _file_messages(events, priced, book)
     good = accepted.where(F.col("applied") & (F.col("pricing_status") == "Priced") & (F.col("arrival") > merge.STATE_ARRIVAL))
     kept = costed.join(good.select(F.col("id").alias("run_id"), "arrival"), ["run_id", "arrival"], "left_semi")
+    # A run keeps the id it was first stored under; its new messages follow.
+    renamed = merge.stored_ids(_with_state(priced.drop("file"), runs)).withColumnRenamed("id", "run_id")
+    kept = kept.join(renamed, "run_id", "left").withColumn("run_id", F.coalesce("stored_id", "run_id")).drop("stored_id")
     if messages is not None:
         stored = messages.withColumn("arrival", F.lit(merge.STATE_ARRIVAL).cast("bigint"))
         kept = kept.unionByName(stored)
@@ -72,11 +75,13 @@ def _file_messages(events: DataFrame, priced: DataFrame, book: pricing.PriceBook
     return out.withColumn("run_id", F.substring_index("run_id", "\x1f", 1)).drop("file")
 
 
-def import_into(lake: Lake, path: str, book: pricing.PriceBook, batch_id: int, **window: str | datetime | None) -> DataFrame:
+def import_into(lake: Lake, path: str, book: pricing.PriceBook, name: str, **window: str | datetime | None) -> DataFrame:
     """The same import as one batch of a lake: run deliveries, their messages and the priced topic.
 
-    `batch_id` must be fresh; repeating an import with the same one replaces it. Returns the report.
+    `name` names the import; repeating one replaces what it wrote before, and nothing that another import or a stream
+    wrote. Returns the report.
     """
+    batch_id = lake.numbers.of(f"import@{name}", 0)
     lines, per_file = files.read_transcripts(lake.spark, path, **window)
     report = files.import_report(per_file)
     files.require_some(report, "Transcript")

@@ -60,8 +60,15 @@ def ledger_malformed(spark: SparkSession, d: str) -> DataFrame:
     return good.agg(F.count(F.lit(1)).alias("rows")).withColumn("malformed", bad.agg(F.count(F.lit(1))).scalar())
 
 
+def _sent(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger as envelopes: payload, content_hash, arrival."""
+    return envelopes.encode_ledger_otlp(_ledger(spark, d)).select(
+        "payload", text.content_hash("payload").alias("content_hash"), F.lit(0).cast("bigint").alias("arrival")
+    )
+
+
 def _traces(spark: SparkSession, d: str) -> DataFrame:
-    return envelopes.parse_trace(envelopes.encode_ledger_otlp(_ledger(spark, d)))
+    return envelopes.parse_trace(_sent(spark, d))
 
 
 def otlp_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -198,10 +205,7 @@ def _fresh_folder(spark: SparkSession, name: str) -> str:
 
 def stream_runs(spark: SparkSession, d: str) -> DataFrame:
     """The envelopes of all sessions through the raw -> priced job; result is the runs table it leaves."""
-    sent = envelopes.encode_ledger_otlp(_ledger(spark, d)).select(
-        "payload", text.content_hash("payload").alias("content_hash"), F.lit(0).cast("bigint").alias("arrival")
-    )
-    raw = stage(sent, "envelopes")
+    raw = stage(_sent(spark, d), "envelopes")
     root = _fresh_folder(spark, "stream-runs")
     lake = jobs.Lake(spark, f"{root}/lake")
     stream = spark.readStream.schema(raw.schema).parquet(raw.inputFiles()[0].rsplit("/", 1)[0])
@@ -210,14 +214,14 @@ def stream_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:
-    """events as a stream; hourly counts of the windows the watermark has passed."""
+    """events as a stream; hourly counts."""
     root = _fresh_folder(spark, "activity")
     schema = feeds.table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = events.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"))
-    jobs.stream_activity(rows, "at", f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    out = spark.read.schema("window_start timestamp, kind string, n bigint").parquet(f"{root}/out")
-    return flat(out)
+    lake = jobs.Lake(spark, f"{root}/lake")
+    jobs.stream_activity(rows, "at", lake, f"{root}/checkpoint").awaitTermination()
+    return flat(lake.activity.current())
 
 
 def stream_aggregate(spark: SparkSession, d: str) -> DataFrame:

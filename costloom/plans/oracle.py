@@ -272,7 +272,8 @@ def telemetry_oracles() -> dict[str, str]:
         f"SELECT id, session_id, source, external_id, persona, model_slug, status, {ts('started_at')}, {ts('ended_at')}, {TOKENS}, {num('reported_cost_usd')} FROM merged0"
     )
     out["status_vocab"] = q(
-        f"SELECT status_word, {_status('status_word')} AS status, count(*) AS n FROM raw_spans GROUP BY ALL"
+        f"SELECT status_word, {_status('status_word')} AS status, count(*) AS n FROM raw_spans GROUP BY ALL UNION ALL "
+        f"SELECT chr(9) || upper(status_word) || ' ' || chr(10), {_status('status_word')}, count(*) FROM raw_spans WHERE status_word IS NOT NULL GROUP BY ALL"
     )
     out["test_handle_filter"] = q(
         "SELECT session_id, count(*) FILTER (WHERE NOT t) AS kept, count(*) FILTER (WHERE t) AS dropped FROM "
@@ -603,7 +604,7 @@ def retrieval_oracles() -> dict[str, str]:
     out["hybrid_search"] = f"{three} SELECT {page_cols} FROM fused f {order}"
     key = "(1.0::DOUBLE / 75)"
     out["hybrid_page2"] = f"{three} SELECT {page_cols} FROM fused f WHERE f.score < {key} OR (f.score = {key} AND f.doc_id < 1099511627776) {order}"
-    pieces = "list_transform(range(1, greatest(length(text), 1) + 1, 150), lambda i: substr(text, i, 150))"
+    pieces = r"regexp_extract_all(text, '(?s).{1,150}[\p{L}\p{N}]*')"
     out["highlight"] = f"""SELECT doc_id, array_to_string(list_transform(list_slice(list_filter({pieces}, lambda p: list_has_any({_tokens('p')}, {_list(terms)})), 1, 2),
       lambda p: array_to_string(list_transform(regexp_extract_all(p, '{_TOKEN}|[^\\p{{L}}\\p{{N}}]+'), lambda w: CASE WHEN list_contains({_list(terms)}, lower(w)) THEN '<em>' || w || '</em>' ELSE w END), '')), ' ... ') AS fragments
       FROM documents WHERE list_has_any({_tokens('text')}, {_list(terms)})"""
@@ -721,8 +722,7 @@ def ingest_oracles() -> dict[str, str]:
     out["stream_runs"] = q(
         f"SELECT {_VIEW}, pricing_status, {num('cost_usd')} FROM otlp_priced", _OTLP, merged("otlp", "otl"), priced("otlp_priced", "otlp", "session_id")
     )
-    out["stream_activity"] = f"""SELECT {ts('w', 'window_start')}, event_type AS kind, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS w, event_type FROM events)
-      WHERE w + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTES FROM events) GROUP BY ALL"""
+    out["stream_activity"] = f"SELECT {ts('w', 'window_start')}, event_type AS kind, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS w, event_type FROM events) GROUP BY ALL"
     out["stream_aggregate"] = telemetry_oracles()["public_aggregate"]
     out["stream_admission"] = retrieval_oracles()["admission_budget"]
     out["embed_runs"] = "SELECT DISTINCT conv_id AS id, 384 AS dims, 1.0::DOUBLE AS norm FROM conversations"

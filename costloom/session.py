@@ -45,12 +45,19 @@ def build_session(master: str | None = None, app: str = "costloom", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is set, a local master gets a fresh folder of its own; on a cluster that is an error, since executors
+    and driver would each write to their own disk.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: master {master} has no common disk")
         shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(shared)
     return shared
@@ -65,4 +72,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/costloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_staged: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes all tables staged so far and returns their number; for the end of a job, when results are written."""
+    done = 0
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        done += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return done

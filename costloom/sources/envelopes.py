@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from costloom import schemas
 from costloom.functions.text import col, content_hash, is_blank
 from costloom.operators.normalize import ATTR_PREFIX, SOURCE_LEDGER, is_otlp, parse_time
-from costloom.operators.skew import number_blocked
 
 # Resource attribute keys that name the session of an envelope.
 SESSION_KEYS = ("session.id", "session_id")
+# About 500 bytes a span: a document of this many stays well below the 2 GB that one value can hold.
+MAX_SPANS = 1_000_000
 
 
 def read_otlp(spark: SparkSession, path: str, stream: bool = False, **options: str) -> DataFrame:
@@ -75,12 +76,13 @@ def _attr(key: str, value: Column, kind: str) -> Column:
     return F.struct(F.lit(key).alias("key"), body.alias("value"))
 
 
-def encode_ledger_otlp(rows: DataFrame, prefix: str = ATTR_PREFIX, max_spans: int = 50_000) -> DataFrame:
-    """Ledger rows to trace payloads: (session_id, part, payload), keyed by session.
+def encode_ledger_otlp(rows: DataFrame, prefix: str = ATTR_PREFIX, max_spans: int = MAX_SPANS) -> DataFrame:
+    """Ledger rows to trace payloads: (session_id, payload), one per session.
 
-    A session is one resource with its spans in (ts, handle) order; rows without a session get an envelope
-    each, with an empty session. A session of more than `max_spans` rows continues in further parts, to be
-    normalized together; its rows are numbered hour by hour, so none is ever sorted in a single task.
+    A session is one resource with all its spans in (ts, handle) order; rows without a session get an envelope
+    each, with an empty session. An envelope is one document, and a later envelope of a session replaces the run
+    of an earlier one, so a session is never cut: one of more than `max_spans` rows, which no single document can
+    hold, fails the job with its name. Sizes are counted before spans are gathered.
     """
     start = F.unix_micros(parse_time("ts")) * 1000
     took = (F.coalesce("duration_s", F.lit(0.0)) * 1_000_000_000).cast("bigint")
@@ -109,16 +111,13 @@ def encode_ledger_otlp(rows: DataFrame, prefix: str = ATTR_PREFIX, max_spans: in
     spans = rows.select(
         F.when(~is_blank("session_id"), F.col("session_id")).alias("session_id"), "ts", "handle", "ord", span.alias("span")
     )
-    loose = spans.where(F.col("session_id").isNull()).select(
-        F.lit("").alias("session_id"), F.lit(0).cast("bigint").alias("part"), F.array("span").alias("spans")
-    )
-    hourly = spans.where(F.col("session_id").isNotNull()).withColumn("_hour", F.left("ts", F.lit(13)))
-    numbered = number_blocked(hourly, ["session_id"], "_hour", ["ts", "handle", "ord"], "n")
-    kept = (
-        numbered.withColumn("part", F.expr(f"(n - 1) div {int(max_spans)}"))
-        .groupBy("session_id", "part")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "span"))), lambda x: x["span"]).alias("spans"))
-    )
+    loose = spans.where(F.col("session_id").isNull()).select(F.lit("").alias("session_id"), F.array("span").alias("spans"))
+    named = spans.where(F.col("session_id").isNotNull())
+    large = named.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_spans).first()
+    if large is not None:
+        raise ValueError(f"session {large['session_id']} has {large['n']} rows; an envelope holds at most {max_spans}")
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "handle", "ord", "span")))
+    kept = named.groupBy("session_id").agg(F.transform(ordered, lambda x: x["span"]).alias("spans"))
     resource = F.struct(
         F.array(
             _attr("session.id", F.col("session_id"), "stringValue"),
@@ -130,4 +129,4 @@ def encode_ledger_otlp(rows: DataFrame, prefix: str = ATTR_PREFIX, max_spans: in
             F.struct(resource.alias("resource"), F.array(F.struct(F.col("spans").alias("spans"))).alias("scopeSpans"))
         ).alias("resourceSpans")
     )
-    return kept.unionByName(loose).select("session_id", "part", F.to_json(document).alias("payload"))
+    return kept.unionByName(loose).select("session_id", F.to_json(document).alias("payload"))

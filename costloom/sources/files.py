@@ -59,6 +59,11 @@ def read_lines(
     )
 
 
+def line_order() -> Column:
+    """Order of a line among all files: by file name, then by place in the file, however files are split and packed."""
+    return F.struct("file", F.col("line_no.block").alias("block"), F.col("line_no.row").alias("row"))
+
+
 def parse_json(lines: DataFrame, ddl: str, value: str = "value", strip_nul: bool = False) -> DataFrame:
     """Adds the fields of `ddl` and `_bad` (the line itself when it is not such a JSON object)."""
     raw = F.translate(F.col(value), "\x00", "") if strip_nul else F.col(value)
@@ -106,7 +111,7 @@ def require_some(report: DataFrame, what: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(ledger rows with `ord`, malformed lines): bad JSON, a blank handle or an unreadable time is malformed."""
-    lines = read_lines(spark, path, "*").withColumn("ord", F.col("line_no.row"))
+    lines = read_lines(spark, path, "*").withColumn("ord", line_order())
     return split_ledger(parse_json(lines, schemas.LEDGER))
 
 
@@ -123,7 +128,7 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
 def read_usage_ring(spark: SparkSession, path: str) -> DataFrame:
     """Usage-ring entries with `ord`; other record types are dropped."""
     parsed = parse_json(read_lines(spark, path), schemas.USAGE_RING)
-    return parsed.where(F.col("record_type") == "entry").withColumn("ord", F.col("line_no.row"))
+    return parsed.where(F.col("record_type") == "entry").withColumn("ord", line_order())
 
 
 def read_document_tree(

@@ -7,9 +7,11 @@ first and its output topic last, and only then is the batch committed by the che
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState
@@ -17,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState
 from costloom import schemas
 from costloom.operators import admission, merge, normalize, pricing, search, waste
 from costloom.sources import envelopes, topics
-from costloom.streaming.tables import BatchTable, MergedTable, latest
+from costloom.streaming.tables import BUCKETS, BatchTable, MergedTable, Numbers, latest
 
 DELIVERY_DDL = f"{schemas.RUNS}, arrival bigint"
 TOPIC_DDL = "key string, value string, offset bigint"
@@ -28,6 +30,7 @@ DOC_DDL = f"{schemas.RUNS}, searchable_text string, offset bigint"
 DOC_STATE_DDL = f"{schemas.RUNS}, searchable_text string"
 EMBED_DDL = "id string, embedding array<float>, embedding_text string, offset bigint"
 EMBED_STATE_DDL = "id string, embedding array<float>, embedding_text string"
+ACTIVITY_DDL = "window_start timestamp, kind string, n bigint"
 AGG_DDL = f"{schemas.AGGREGATE}, offset bigint"
 
 # Arrival numbers: batch id in the high bits, position of the delivery in its session's batch below.
@@ -43,12 +46,20 @@ def _fold_findings(rows: DataFrame, state: DataFrame | None) -> DataFrame:
     return merge.merge_findings(old, rows.drop("batch_id"))
 
 
+def _fold_activity(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+    counts = rows.drop("batch_id")
+    both = counts if state is None else counts.unionByName(state)
+    return both.groupBy("window_start", "kind").agg(F.sum("n").cast("bigint").alias("n"))
+
+
 @dataclass
 class Lake:
     """All tables and topics of one deployment under a root folder."""
 
     spark: SparkSession
     root: str
+    buckets: int = BUCKETS
+    numbers: Numbers = field(init=False)
     envelopes: BatchTable = field(init=False)
     rejects: BatchTable = field(init=False)
     runs: MergedTable = field(init=False)
@@ -59,18 +70,21 @@ class Lake:
     embeddings: MergedTable = field(init=False)
     findings: MergedTable = field(init=False)
     aggregates: MergedTable = field(init=False)
+    activity: MergedTable = field(init=False)
 
     def __post_init__(self) -> None:
         s, r = self.spark, self.root.rstrip("/")
+        self.numbers = Numbers(s, f"{r}/numbers")
         self.envelopes = BatchTable(s, f"{r}/envelopes", ENVELOPE_DDL)
         self.rejects = BatchTable(s, f"{r}/rejects", REJECT_DDL)
-        self.runs = MergedTable(s, f"{r}/runs", DELIVERY_DDL, schemas.RUNS, _fold_runs, key="id")
-        self.messages = BatchTable(s, f"{r}/messages", MESSAGE_DDL, key="run_id")
+        self.runs = MergedTable(s, f"{r}/runs", DELIVERY_DDL, schemas.RUNS, _fold_runs, key="id", buckets=self.buckets)
+        self.messages = BatchTable(s, f"{r}/messages", MESSAGE_DDL, key="run_id", buckets=self.buckets)
         self.priced = BatchTable(s, f"{r}/topics/telemetry.priced", TOPIC_DDL)
         self.indexed = BatchTable(s, f"{r}/topics/telemetry.indexed", TOPIC_DDL)
-        self.documents = MergedTable(s, f"{r}/documents", DOC_DDL, DOC_STATE_DDL, latest(["id"]), key="id")
+        self.documents = MergedTable(s, f"{r}/documents", DOC_DDL, DOC_STATE_DDL, latest(["id"]), key="id", buckets=self.buckets)
         self.embeddings = MergedTable(s, f"{r}/embeddings", EMBED_DDL, EMBED_STATE_DDL, latest(["id"]))
         self.findings = MergedTable(s, f"{r}/findings", schemas.FINDINGS, schemas.FINDINGS, _fold_findings)
+        self.activity = MergedTable(s, f"{r}/activity", ACTIVITY_DDL, ACTIVITY_DDL, _fold_activity)
         self.aggregates = MergedTable(
             s, f"{r}/aggregate", AGG_DDL, schemas.AGGREGATE, latest(["bucket_day", "model_slug", "service"])
         )
@@ -99,18 +113,24 @@ def _start(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> St
 
 
 def _each_batch(
-    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool
+    stream: DataFrame, lake: Lake, job: str, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool
 ) -> StreamingQuery:
-    return _start(stream.writeStream.foreachBatch(handle), checkpoint, available_now)
+    """Runs `handle` on every batch, computed once, under the batch's own number in the lake."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        number = lake.numbers.of(f"{job}@{checkpoint}", batch_id)
+        held = batch.persist()
+        try:
+            handle(held, number)
+        finally:
+            held.unpersist()
+
+    return _start(stream.writeStream.foreachBatch(run), checkpoint, available_now)
 
 
 def deliveries_of(batch: DataFrame, batch_id: int, prefix: str = normalize.ATTR_PREFIX) -> DataFrame:
     """Unpriced run deliveries of a batch of envelopes: one per (envelope, session), in arrival order."""
-    parsed = envelopes.parse_trace(batch)
-    rows = normalize.span_rows(
-        normalize.explode_spans(parsed, keep=("content_hash", "arrival")), prefix, keep=("content_hash", "arrival")
-    )
-    merged = normalize.merge_sessions(rows, keys=("content_hash", "arrival"))
+    merged = normalize.otlp_deliveries(envelopes.parse_trace(batch), prefix)
     order = F.row_number().over(Window.partitionBy("session_id").orderBy("arrival", "content_hash"))
     return merged.withColumn("arrival", F.lit(batch_id * BATCH_SHIFT) + order).drop("content_hash")
 
@@ -139,7 +159,7 @@ def stream_priced(
         written = lake.runs.batches.read().where(F.col("batch_id") == batch_id)
         lake.priced.write(topics.priced_topic(written.withColumn("offset", F.col("arrival"))), batch_id)
 
-    return _each_batch(raw.dropDuplicates(["content_hash"]), handle, checkpoint, available_now)
+    return _each_batch(raw.dropDuplicates(["content_hash"]), lake, "priced", handle, checkpoint, available_now)
 
 
 def stream_indexed(priced: DataFrame, lake: Lake, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -152,14 +172,14 @@ def stream_indexed(priced: DataFrame, lake: Lake, checkpoint: str, available_now
         acks = runs.select(F.col("id").alias("run_id"), "session_id", "offset")
         lake.indexed.write(topics.to_topic(acks, "session_id", topics.INDEXED), batch_id)
 
-    return _each_batch(priced, handle, checkpoint, available_now)
+    return _each_batch(priced, lake, "indexed", handle, checkpoint, available_now)
 
 
 def stream_embedded(
     indexed: DataFrame,
     lake: Lake,
     checkpoint: str,
-    embedder: search.Embedder | None = None,
+    embedder: search.Embedder,
     dims: int = search.EMBED_DIMS,
     available_now: bool = True,
 ) -> StreamingQuery:
@@ -167,12 +187,13 @@ def stream_embedded(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         acked = topics.from_topic(batch.drop("batch_id"), topics.INDEXED)
-        ids = acked.groupBy(F.col("run_id").alias("id")).agg(F.max("offset").alias("offset"))
+        ids = acked.groupBy(F.col("run_id").alias("id")).agg(F.max("offset").alias("offset")).persist()
         docs, messages = lake.documents.current(ids), lake.current_messages(ids)
         texts = search.embedding_text(messages, docs)
         lake.embeddings.write(search.embed(texts, "embedding_text", embedder, dims).join(ids, "id"), batch_id)
+        ids.unpersist()
 
-    return _each_batch(indexed, handle, checkpoint, available_now)
+    return _each_batch(indexed, lake, "embedded", handle, checkpoint, available_now)
 
 
 def stream_findings(
@@ -186,12 +207,13 @@ def stream_findings(
     """priced -> waste findings of the runs in the batch; re-detected findings merge into the stored ones."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ids = topics.from_topic(batch.drop("batch_id"), topics.PRICED).select("id").distinct()
+        ids = topics.from_topic(batch.drop("batch_id"), topics.PRICED).select("id").distinct().persist()
         runs, messages = lake.runs.current(ids), lake.current_messages(ids)
         found = waste.detect_waste(runs, messages, book, F.current_timestamp(), opts)
         lake.findings.write(found, batch_id)
+        ids.unpersist()
 
-    return _each_batch(priced, handle, checkpoint, available_now)
+    return _each_batch(priced, lake, "findings", handle, checkpoint, available_now)
 
 
 def stream_latest_aggregate(
@@ -206,23 +228,29 @@ def stream_latest_aggregate(
     def handle(batch: DataFrame, batch_id: int) -> None:
         lake.aggregates.write(topics.from_topic(batch.drop("batch_id"), topics.PUBLIC_AGGREGATE), batch_id)
         if durable is not None:
-            lake.aggregates.snapshots.write(durable(), batch_id)
+            lake.aggregates.replace(durable(), batch_id)
 
-    return _each_batch(topic, handle, checkpoint, available_now)
+    return _each_batch(topic, lake, "aggregate", handle, checkpoint, available_now)
 
 
 def stream_activity(
-    events: DataFrame, at: str, sink: str, checkpoint: str, minutes: int = 60, lateness: str = "10 minutes", available_now: bool = True
+    events: DataFrame, at: str, lake: Lake, checkpoint: str, minutes: int = 60, available_now: bool = True
 ) -> StreamingQuery:
-    """Counts per tumbling window and kind; windows close once the watermark has passed them."""
-    counts = (
-        events.withWatermark(at, lateness)
-        .groupBy(F.window(at, f"{minutes} minutes").alias("w"), "kind")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), "kind", "n")
-    )
-    writer = counts.writeStream.outputMode("append").format("parquet").option("path", sink)
-    return _start(writer, checkpoint, available_now)
+    """Counts per tumbling window and kind, kept in `lake.activity`.
+
+    Each batch adds its own partial counts; the table's state is their sum. Nothing is dropped: open windows show
+    what has come so far, and rows that come late are added to their window.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        counts = (
+            batch.groupBy(F.window(at, f"{minutes} minutes").alias("w"), "kind")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").alias("window_start"), "kind", "n")
+        )
+        lake.activity.write(counts, batch_id)
+
+    return _each_batch(events, lake, "activity", handle, checkpoint, available_now)
 
 
 def stream_admission(
@@ -230,24 +258,29 @@ def stream_admission(
 ) -> DataFrame:
     """Streaming `admit`: the state of a principal is the times of its accepted requests in the window.
 
-    A micro-batch hands each principal its new requests in Arrow batches; they are decided in time order.
+    A micro-batch hands each principal its new requests in Arrow batches; two numbers of each are held, and they are
+    decided in time order. The state is at most `limit` times.
     """
     width = window_seconds * 1_000_000
 
     def decide(key: tuple, batches: Callable, state: GroupState):  # noqa: ANN202
         import pandas as pd
 
-        rows = pd.concat(list(batches)).sort_values(["us", "arrival"])
-        taken = list(state.get[0]) if state.exists else []
-        flags = []
-        for us in rows["us"]:
-            taken = [t for t in taken if us - t < width]
-            ok = len(taken) < limit
-            if ok:
-                taken.append(int(us))
-            flags.append(ok)
-        state.update((taken,))
-        yield pd.DataFrame({"principal": key[0], "arrival": rows["arrival"].values, "accepted": flags})
+        times, arrivals = [], []
+        for part in batches:
+            times.append(part["us"].to_numpy())
+            arrivals.append(part["arrival"].to_numpy())
+        us, arrival = np.concatenate(times), np.concatenate(arrivals)
+        taken = deque(state.get[0] if state.exists else ())
+        accepted = np.zeros(len(us), bool)
+        for i in np.lexsort((arrival, us)):
+            while taken and us[i] - taken[0] >= width:
+                taken.popleft()
+            if len(taken) < limit:
+                taken.append(int(us[i]))
+                accepted[i] = True
+        state.update((list(taken),))
+        yield pd.DataFrame({"principal": key[0], "arrival": arrival, "accepted": accepted})
 
     keyed = requests.select(
         F.col("principal").cast("string").alias("principal"), F.col("arrival").cast("bigint").alias("arrival"), F.unix_micros("at").alias("us")

@@ -7,6 +7,7 @@ the last snapshot merged with the batches after it; nothing is rewritten per bat
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -16,19 +17,20 @@ from pyspark.sql.types import StructType
 from costloom.operators import merge
 
 
-# Tables looked up by key are split into this many buckets, so that a small batch reads few of them.
+# Tables looked up by key are split into so many buckets by default. A small batch reads few of many; give a large
+# lake thousands.
 BUCKETS = 64
 
 
 class BatchTable:
     """Rows per batch; with a `key`, each batch is further split by a hash bucket of it."""
 
-    def __init__(self, spark: SparkSession, path: str, ddl: str, key: str | None = None):
-        self.spark, self.path, self.ddl, self.key = spark, path.rstrip("/"), ddl, key
+    def __init__(self, spark: SparkSession, path: str, ddl: str, key: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.path, self.ddl, self.key, self.buckets = spark, path.rstrip("/"), ddl, key, buckets
         self.schema = StructType.fromDDL(ddl)
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
@@ -56,11 +58,39 @@ class BatchTable:
         if after is not None:
             df = df.where(F.col("batch_id") > after)
         if only is not None:
-            buckets = [r[0] for r in only.select(self._bucket()).distinct().collect()]  # at most BUCKETS
+            buckets = [r[0] for r in only.select(self._bucket()).distinct().collect()]  # at most self.buckets
             df = df.where(F.col("bucket").isin(buckets)).join(only.select(self.key), self.key, "left_semi")
         return df.drop("bucket")
 
 
+class Numbers:
+    """Lake-wide numbers of (writer, batch): every writer counts its own batches from 0, tables do not.
+
+    A number is claimed once, by creating a file that must not exist yet, and kept for ever: a retried batch gets
+    its own number again and overwrites its own folder only, and no other writer ever gets it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def of(self, writer: str, batch_id: int) -> int:
+        jvm = self.spark._jvm
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *p]))
+        fs = at().getFileSystem(hadoop)
+        name = hashlib.sha256(f"{writer}\x1f{batch_id}".encode()).hexdigest()[:40]
+        known = fs.globStatus(at(f"*-{name}"))
+        if known:
+            return int(known[0].getPath().getName().split("-")[0])
+        fs.mkdirs(at())
+        taken = [int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(at())]
+        number = max(taken, default=-1) + 1
+        while not fs.createNewFile(at(str(number) + "-claimed")):
+            number += 1
+        fs.rename(at(f"{number}-claimed"), at(f"{number}-{name}"))
+        return number
+
+
 class MergedTable:
     """A keyed state: batches plus snapshots, read through `fold(rows, state)`."""
 
@@ -72,16 +102,24 @@ class MergedTable:
         state_ddl: str,
         fold: Callable[[DataFrame, DataFrame | None], DataFrame],
         key: str | None = None,
+        buckets: int = BUCKETS,
     ):
-        self.batches = BatchTable(spark, f"{path.rstrip('/')}/batches", ddl, key)
-        self.snapshots = BatchTable(spark, f"{path.rstrip('/')}/snapshots", state_ddl, key)
+        self.batches = BatchTable(spark, f"{path.rstrip('/')}/batches", ddl, key, buckets)
+        self.snapshots = BatchTable(spark, f"{path.rstrip('/')}/snapshots", state_ddl, key, buckets)
+        # Written after a snapshot's rows: a snapshot without its mark does not exist.
+        self.marks = BatchTable(spark, f"{path.rstrip('/')}/marks", "complete boolean")
         self.fold = fold
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         self.batches.write(df, batch_id)
 
     def _last_snapshot(self) -> int | None:
-        return self.snapshots.read().agg(F.max("batch_id").alias("b")).first()["b"]
+        return self.marks.read().agg(F.max("batch_id").alias("b")).first()["b"]
+
+    def replace(self, state: DataFrame, batch_id: int) -> None:
+        """Makes `state` the state as of a batch: rows first, then the mark."""
+        self.snapshots.write(state, batch_id)
+        self.marks.write(self.marks.spark.createDataFrame([(True,)], "complete boolean"), batch_id)
 
     def current(self, only: DataFrame | None = None) -> DataFrame:
         """The state of all keys, or of the given ones."""
@@ -95,7 +133,7 @@ class MergedTable:
         """Writes the state up to the newest batch as a snapshot; later reads start from it."""
         newest = self.batches.read().agg(F.max("batch_id").alias("b")).first()["b"]
         if newest is not None and newest != self._last_snapshot():
-            self.snapshots.write(self.current(), newest)
+            self.replace(self.current(), newest)
         return newest
 
 

@@ -188,7 +188,11 @@ def test_highlight(spark):
     df = spark.createDataFrame([(text,), ("nothing",)], "t string")
     got = [r[0] for r in df.select(search.highlight("t", "red")).collect()]
     assert len(got[0]) == 1 and "<em>Red</em>-hot and <em>RED</em>. redder" in got[0][0]
-    assert re.sub("</?em>", "", got[0][0]) == text[150:300] and got[1] == []
+    assert re.sub("</?em>", "", got[0][0]) == text[151:301] and got[1] == []
+    # A word on a cut is neither lost nor split into a false hit.
+    cut = spark.createDataFrame([("q" * 148 + " eden tail",), ("q" * 146 + " handle",)], "t string")
+    assert [len(r[0]) for r in cut.select(search.highlight("t", "eden")).collect()] == [1, 0]
+    assert cut.select(search.highlight("t", "hand")).collect()[1][0] == []
 
 
 def test_embedding_text(spark):
@@ -205,7 +209,7 @@ def test_embedding_text(spark):
 def test_embed_checks_width_and_touches_only_its_fields(spark):
     docs = spark.createDataFrame([("a", "x y"), ("b", "z")], "id string, searchable_text string")
     texts = docs.select("id", F.col("searchable_text").alias("embedding_text")).where("id = 'a'")
-    out = search.attach_vectors(docs, search.embed(texts, "embedding_text", dims=16))
+    out = search.attach_vectors(docs, search.embed(texts, "embedding_text", search.hashed_words(16), dims=16))
     got = {r.id: r for r in out.collect()}
     assert abs(np.linalg.norm(got["a"].embedding) - 1) < 1e-6 and got["b"].embedding is None and got["a"].searchable_text == "x y"
     with pytest.raises(PySparkException):

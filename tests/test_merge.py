@@ -149,3 +149,12 @@ def test_integrity_and_transitions(spark):
     want = [(3, "Failed"), (4, "Completed")]
     for hot in (2, 1000):
         assert rows_of(merge.transition_violations(moves, hot), "arrival", "previous_status") == want
+
+
+def test_a_run_keeps_the_id_it_was_stored_under(spark):
+    state = runs_df(spark, [{"id": "stored-id", "session_id": "s", "ended_at": at(1)}])
+    new = runs_df(spark, [{"id": "new-id", "session_id": "s", "ended_at": at(2), "arrival": 5}])
+    merged = merge.merge_runs(new, state).collect()
+    assert [(r.id, r.ended_at) for r in merged] == [("stored-id", at(2))]
+    both = new.unionByName(state.withColumn("arrival", F.lit(-1).cast("bigint")))
+    assert rows_of(merge.stored_ids(both)) == [("new-id", "stored-id")]

@@ -54,7 +54,12 @@ def doc(*resources):
 
 def parsed(spark, *docs):
     df = spark.createDataFrame([(d if isinstance(d, str) else json.dumps(d), i) for i, d in enumerate(docs)], "payload string, arrival bigint")
-    return envelopes.parse_trace(df)
+    return with_envelope(envelopes.parse_trace(df))
+
+
+def with_envelope(df):
+    arrival = F.col("arrival") if "arrival" in df.columns else F.lit(0)
+    return df.withColumn("content_hash", text.content_hash("payload")).withColumn("arrival", arrival.cast("bigint"))
 
 
 MS = 1_700_000_000_000
@@ -136,7 +141,7 @@ def test_ledger_survives_the_trip_through_envelopes(spark, tmp_path):
             for i in range(12)]
     ledger, _ = files.read_ledger(spark, write(tmp_path / "l.jsonl", rows))
     sent = envelopes.encode_ledger_otlp(ledger)
-    assert rows_of(sent, "session_id", "part") == [("", 0), ("s0", 0), ("s1", 0)]
+    assert rows_of(sent, "session_id") == [("",), ("s0",), ("s1",)]
     body = json.loads(sent.where("session_id = 's0'").first().payload)
     spans = body["resourceSpans"][0]["scopeSpans"][0]["spans"]
     keys = [(s["startTimeUnixNano"], s["name"]) for s in spans]
@@ -144,12 +149,30 @@ def test_ledger_survives_the_trip_through_envelopes(spark, tmp_path):
     no_cost = next(s for s in spans if s["name"] == "h04")
     assert "agent.cost_usd" not in [x["key"] for x in no_cost["attributes"]]
     assert body["resourceSpans"][0]["resource"]["attributes"][0] == {"key": "session.id", "value": {"stringValue": "s0"}}
-    back = normalize.normalize_otlp(envelopes.parse_trace(sent))
+    back = normalize.normalize_otlp(with_envelope(envelopes.parse_trace(sent)))
     cols = ("session_id", "external_id", "started_at", "ended_at", "input_tokens", "cache_read_tokens", "output_tokens", "reported_cost_usd")
     assert rows_of(back, *cols) == rows_of(normalize.normalize_ledger(ledger), *cols)
-    parts = envelopes.encode_ledger_otlp(ledger, max_spans=4)
-    assert rows_of(parts, "session_id", "part") == [("", 0), ("s0", 0), ("s0", 1), ("s1", 0), ("s1", 1)]
-    assert rows_of(normalize.normalize_otlp(envelopes.parse_trace(parts)), *cols) == rows_of(back, *cols)
+    # A session is never cut: one that no document can hold is an error, not two envelopes of which one survives.
+    with pytest.raises(ValueError, match="session s"):
+        envelopes.encode_ledger_otlp(ledger, max_spans=4)
+
+
+def test_a_later_envelope_replaces_the_run(spark):
+    ns = MS * 1_000_000
+    first = doc(([a("session.id", "s")], [span("h0", "m", 1.0, ns, ns + 1_000_000)]))
+    later = doc(([a("session.id", "s")], [span("h4", "m", 1.0, ns, ns + 9_000_000)]))
+    older = doc(([a("session.id", "s")], [span("h9", "m", 9.0, ns, ns + 5_000_000)]))
+    run = normalize.normalize_otlp(parsed(spark, first, later, older)).first()
+    assert (run.external_id, run.input_tokens, run.reported_cost_usd) == ("h4", 1, Decimal("1"))
+
+
+def test_ledger_order_does_not_depend_on_file_splits(spark, tmp_path):
+    row = {"ts": "2026-01-01T00:00:00", "persona": None, "model": "m", "status": "\tOK\n", "session_id": "s", "cost_usd": 1.0, "duration_s": 1.0, "hit_tokens": 1, "miss_tokens": 1, "output_tokens": 1}
+    write(tmp_path / "in/a.jsonl", [{**row, "handle": "first"}])
+    write(tmp_path / "in/b.jsonl", [{**row, "handle": f"b{i}"} for i in range(50)])
+    ledger, _ = files.read_ledger(spark, str(tmp_path / "in"))
+    run = normalize.normalize_ledger(ledger).first()
+    assert (run.external_id, run.status) == ("first", "Completed")
 
 
 def test_run_logs(spark, tmp_path):

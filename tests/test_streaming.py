@@ -10,7 +10,7 @@ from test_documents_and_search import brute_admit
 from test_sources_and_adapters import MS, USAGE, a, doc, line, span, write
 
 from costloom import schemas
-from costloom.operators import normalize, pricing, waste
+from costloom.operators import normalize, pricing, search, waste
 from costloom.plans import imports
 from costloom.sources import envelopes, registry, topics
 from costloom.streaming import jobs
@@ -43,7 +43,7 @@ def chain(spark, book, tmp_path_factory):
         for i, q in enumerate((
             lambda: jobs.stream_priced(raw, lake, book, str(root / "c0")),
             lambda: jobs.stream_indexed(lake.topic(lake.priced), lake, str(root / "c1")),
-            lambda: jobs.stream_embedded(lake.topic(lake.indexed), lake, str(root / "c2"), dims=16),
+            lambda: jobs.stream_embedded(lake.topic(lake.indexed), lake, str(root / "c2"), search.hashed_words(16), dims=16),
             lambda: jobs.stream_findings(lake.topic(lake.priced), lake, book, str(root / "c3"), waste.WasteOptions(max_run_cost_usd=Decimal("0.001"))),
         )):
             assert q().awaitTermination(120), i
@@ -104,8 +104,8 @@ def test_transcripts_join_the_lake(spark, book, tmp_path):
     lake = jobs.Lake(spark, str(tmp_path / "tables"))
     w, r = {**USAGE, "cache_creation_input_tokens": 150_000}, {**USAGE, "cache_read_input_tokens": 631_936}
     write(tmp_path / "in/t.jsonl", [line("user", 1, "q"), line("assistant", 2, "w", w), line("user", 3, "again"), line("assistant", 4, "r", r), {"type": "summary"}])
-    imports.import_into(lake, str(tmp_path / "in"), book, 1_000_000)
-    imports.import_into(lake, str(tmp_path / "in"), book, 1_000_000)
+    imports.import_into(lake, str(tmp_path / "in"), book, "history")
+    imports.import_into(lake, str(tmp_path / "in"), book, "history")
     assert lake.runs.current().count() == 1 and lake.current_messages().count() == 4
     q = jobs.stream_findings(lake.topic(lake.priced), lake, book, str(tmp_path / "c"))
     assert q.awaitTermination(120)
@@ -132,14 +132,35 @@ def test_latest_aggregate_and_reconcile(spark, tmp_path):
     assert rows_of(lake.aggregates.current(), "model_slug", "run_count") == [("m", 3), ("other", 7)]
 
 
-def test_activity_windows_close_behind_the_watermark(spark, tmp_path):
+def test_an_import_and_streams_never_overwrite_each_other(spark, book, tmp_path):
+    lake = jobs.Lake(spark, str(tmp_path / "tables"))
+    write(tmp_path / "in/t.jsonl", [line("user", 1, "q"), line("assistant", 2, "w", USAGE), {"type": "summary"}])
+    for n in range(2):  # a second checkpoint counts its batches from 0 again
+        put(tmp_path / f"inbox{n}", "1.json", trace(f"s{n}", 5000))
+        raw = envelopes.read_otlp(spark, str(tmp_path / f"inbox{n}"), stream=True)
+        assert jobs.stream_priced(raw, lake, book, str(tmp_path / f"c{n}")).awaitTermination(120)
+        imports.import_into(lake, str(tmp_path / "in"), book, f"import {n}")
+    assert lake.runs.current().count() == 3
+    arrivals = [r.arrival for r in lake.runs.batches.read().collect()]
+    assert len(arrivals) == len(set(arrivals)) == 4
+    # A snapshot without its mark is not read.
+    lake.runs.snapshots.write(lake.runs.current().limit(0), 99)
+    assert lake.runs.current().count() == 3
+
+
+def test_activity_keeps_open_windows_and_late_rows(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [(at(60 * i), "run" if i % 2 else "message") for i in range(150)] + [(at(86_400), "run")]
     spark.createDataFrame(rows, "at timestamp, kind string").coalesce(1).write.parquet(src)
     events = spark.readStream.schema("at timestamp, kind string").parquet(src)
-    assert jobs.stream_activity(events, "at", str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
-    got = rows_of(spark.read.parquet(str(tmp_path / "out")))
-    assert got == sorted([(at(3600 * h), k, 30 if h < 2 else 15) for h in range(3) for k in ("run", "message")], key=repr)
+    lake = jobs.Lake(spark, str(tmp_path / "t"))
+    assert jobs.stream_activity(events, "at", lake, str(tmp_path / "c")).awaitTermination(120)
+    closed = [(at(3600 * h), k, 30 if h < 2 else 15) for h in range(3) for k in ("run", "message")]
+    assert rows_of(lake.activity.current()) == sorted([*closed, (at(86_400), "run", 1)], key=repr)
+    lake.activity.compact()
+    spark.createDataFrame([(at(0), "run")], "at timestamp, kind string").write.mode("append").parquet(src)  # a day late
+    assert jobs.stream_activity(events, "at", lake, str(tmp_path / "c")).awaitTermination(120)
+    assert (at(0), "run", 31) in rows_of(lake.activity.current())
 
 
 def test_streaming_admission_carries_state_across_batches(spark, tmp_path):
