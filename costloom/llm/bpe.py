@@ -8,9 +8,12 @@ once per task (bounded cache), long pieces every time.
 
 import base64
 import codecs
+import functools
 import hashlib
 import itertools
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 # The vocabulary is sent to every executor; a rank file above this many bytes is refused.
 MAX_RANK_BYTES = 64_000_000
@@ -79,15 +82,33 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
     return tok.to_str()
 
 
+@functools.cache
+def new_letters():
+    """Search for characters that the regex library takes for letters or numbers and Python does not know yet."""
+    known = regex.compile(r"[\p{L}\p{N}]+")
+    unknown = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
+    found = "".join(known.findall(unknown))
+    return re.compile(f"[{re.escape(found)}]" if found else r"(?!)").search
+
+
 class Encoder:
     """Pieces to ids and offsets inside a task."""
 
     def __init__(self, model: str, pattern: str, offsets: bool = False):
         self.tok = Tokenizer.from_str(model)
-        self.cut = regex.compile(pattern).findall
+        self.fast = regex.compile(pattern).findall
+        self.exact = pre_tokenizers.Split(Regex(pattern), behavior="isolated").pre_tokenize_str
+        self.new_letter = new_letters()
         self.ids: dict[str, tuple[int, ...]] = {}
         self.spans: dict[str, list[tuple[int, int]]] | None = {} if offsets else None
 
+    def cut(self, text: str) -> list[str]:
+        """Matches of the pattern. The fast engine may know newer letters and numbers than the tokenizers library; a
+        text with one of them is cut by that library."""
+        if not text.isascii() and self.new_letter(text):
+            return [piece for piece, _ in self.exact(text)]
+        return self.fast(text)
+
     def pieces(self, texts: list[str | None]) -> list[list[str]]:
         """Pieces of each text, all of them known to the cache afterwards."""
         if len(self.ids) > CACHE_PIECES:

@@ -84,9 +84,9 @@ def apportion(units: DataFrame, seats: int, keys: list[str]) -> DataFrame:
         sure = int(counts[at + 1])
         if counts[at] - sure <= 4096:
             break
-    k = F.explode(F.sequence(given(high) , given(low) - 1)).alias("k")
-    between = units.where(given(low) > given(high)).select(*keys, "votes", k)
-    ranked = between.orderBy((F.col("votes") / (2 * F.col("k") + 1)).desc(), *[F.col(c).asc_nulls_last() for c in keys]).limit(seats - sure)
+    seat = F.explode(F.sequence(given(high), given(low) - 1)).alias("_seat")
+    between = units.where(given(low) > given(high)).select(*keys, "votes", seat)
+    ranked = between.orderBy((F.col("votes") / (2 * F.col("_seat") + 1)).desc(), *[F.col(c).asc_nulls_last() for c in keys]).limit(seats - sure)
     extra = ranked.groupBy(*[F.col(c).alias(f"x_{c}") for c in keys]).agg(F.count(F.lit(1)).alias("more"))
     same = None
     for c in keys:
