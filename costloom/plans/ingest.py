@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from costloom import schemas
 from costloom.functions import text
-from costloom.operators import normalize
+from costloom.operators import normalize, pricing
 from costloom.plans import feeds
 from costloom.plans.catalogue import TOK, Query, _aggregate, flat
 from costloom.session import ensure_checkpoint_dir, stage
@@ -71,6 +71,43 @@ def _traces(spark: SparkSession, d: str) -> DataFrame:
     return envelopes.parse_trace(_sent(spark, d))
 
 
+def _as_files(lines: DataFrame, name: str, by: Column, order: str) -> str:
+    """Lines written as text files of a fresh shared folder, a folder for each value of `by`, in order."""
+    path = _fresh_folder(lines.sparkSession, name)
+    parts = lines.withColumn("g", by).repartition("g").sortWithinPartitions("g", order)
+    parts.select("g", "value").write.partitionBy("g").option("compression", "none").text(path)
+    return path
+
+
+def ledger_files(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger as four groups of files, read back by the file source: ties go to the first file, then line."""
+    path = _as_files(_ledger_lines(spark, d), "ledger", F.col("ord") % 4, "ord")
+    return flat(normalize.normalize_ledger(files.read_ledger(spark, path)[0]), *RUN_VIEW)
+
+
+def otlp_redelivery(spark: SparkSession, d: str) -> DataFrame:
+    """Every session sent twice, first in part and then whole: the later envelope replaces the run."""
+    part = envelopes.encode_ledger_otlp(_ledger(spark, d).where(F.col("hit_tokens") % 3 == 0)).where("session_id <> ''")
+    early = part.select("payload", text.content_hash("payload").alias("content_hash"), F.lit(-1).cast("bigint").alias("arrival"))
+    return flat(normalize.normalize_otlp(envelopes.parse_trace(early.unionByName(_sent(spark, d)))), *RUN_VIEW)
+
+
+def quarantine_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Good, broken, blank and foreign payloads by reason."""
+    payloads = F.array(*[F.lit(p) for p in ('{"resourceSpans":[]}', '{"a":"resourceSpans"}', "{bad", " ")])
+    rows = feeds.raw_spans(spark, d).select(F.get(payloads, F.col("k") % 4).alias("payload"))
+    good, bad = envelopes.quarantine(rows)
+    return good.withColumn("reason", F.lit("good")).unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reconcile_eligible(spark: SparkSession, d: str) -> DataFrame:
+    """Ledger rows fit for reconciliation per session; some lack a count or the peak flag."""
+    rows = _ledger(spark, d).withColumn("peak", F.when(F.col("ord") % 7 != 0, F.col("peak"))).withColumn(
+        "hit_tokens", F.when(F.col("ord") % 11 != 0, F.col("hit_tokens"))
+    )
+    return pricing.eligible(rows).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def otlp_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Ledger rows encoded as trace envelopes and normalized from those."""
     return flat(normalize.normalize_otlp(_traces(spark, d)), *RUN_VIEW)
@@ -113,7 +150,7 @@ def run_log_normalize(spark: SparkSession, d: str) -> DataFrame:
     return flat(normalize.normalize_run_log(files.parse_json(lines, schemas.RUN_LOG)), *RUN_VIEW)
 
 
-def usage_ring_normalize(spark: SparkSession, d: str) -> DataFrame:
+def _ring_lines(spark: SparkSession, d: str) -> DataFrame:
     usage = F.struct(
         F.col("input_tokens"), F.col("cache_read_tokens").alias("cache_read_input_tokens"),
         F.col("cache_write_tokens").alias("cache_creation_input_tokens"), F.col("output_tokens"),
@@ -123,8 +160,21 @@ def usage_ring_normalize(spark: SparkSession, d: str) -> DataFrame:
         F.date_format("started_at", SECONDS).alias("ts"), "session_id", "handle", F.col("model_slug").alias("model"),
         usage.alias("usage"), F.col("cost_usd").cast("double").alias("cost_usd"),
     )
-    lines = feeds.raw_spans(spark, d).select("ord", F.to_json(body).alias("value"))
-    return flat(normalize.normalize_usage_ring(files.parse_json(lines, schemas.USAGE_RING)), *RUN_VIEW)
+    return feeds.raw_spans(spark, d).select("ord", F.to_json(body).alias("value"))
+
+
+def usage_ring_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return flat(normalize.normalize_usage_ring(files.parse_json(_ring_lines(spark, d), schemas.USAGE_RING)), *RUN_VIEW)
+
+
+def usage_ring_files(spark: SparkSession, d: str) -> DataFrame:
+    """The usage ring as four groups of files, read back by the file source."""
+    lines = _ring_lines(spark, d)
+    path = _fresh_folder(spark, "ring")
+    parts = lines.withColumn("g", F.col("ord") % 4).repartition("g").sortWithinPartitions("g", "ord")
+    parts.select("g", "value").write.partitionBy("g").option("compression", "none").text(path)
+    entries = files.parse_json(files.read_lines(spark, path, "*.txt"), schemas.USAGE_RING).withColumn("ord", files.line_order())
+    return flat(normalize.normalize_usage_ring(entries), *RUN_VIEW)
 
 
 # ---------------------------------------------------------------- transcripts
@@ -167,6 +217,18 @@ def transcript_runs(spark: SparkSession, d: str) -> DataFrame:
     return flat(runs, "session_id", "source", "model_slug", "status", "started_at", "ended_at", *TOK)
 
 
+def transcript_files(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each conversation, every seventh with a broken line: those are skipped whole."""
+    lines = _transcript_lines(spark, d).withColumn("n", F.col("line_no"))
+    broken = lines.where("n = 0 and cast(file as bigint) % 7 = 3").withColumn("value", F.lit("{broken")).withColumn("n", F.lit(-1).cast("bigint"))
+    path = _fresh_folder(spark, "transcripts")
+    both = lines.unionByName(broken).withColumn("g", F.col("file")).repartition("g").sortWithinPartitions("g", "n")
+    both.select("g", "value").write.partitionBy("g").option("compression", "none").text(path)
+    good, _ = files.skip_bad_files(files.parse_json(files.read_lines(spark, path, "*.txt"), schemas.TRANSCRIPT))
+    runs = normalize.normalize_transcript_runs(normalize.transcript_events(good))
+    return flat(runs, "session_id", "source", "model_slug", "status", "started_at", "ended_at", *TOK)
+
+
 def transcript_messages(spark: SparkSession, d: str) -> DataFrame:
     out = normalize.normalize_transcript_messages(_events(spark, d))
     return flat(
@@ -213,6 +275,18 @@ def stream_runs(spark: SparkSession, d: str) -> DataFrame:
     return flat(lake.runs.current(), *RUN_VIEW, "pricing_status", "cost_usd")
 
 
+def stream_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The priced topic through the search job, in two batches of which the second repeats the first."""
+    root = _fresh_folder(spark, "documents")
+    lake = jobs.Lake(spark, f"{root}/lake")
+    runs = stage(feeds.runs(spark, d), "priced-runs")
+    for n in range(2):
+        offset = F.lit(n).cast("bigint")
+        lake.priced.write(topics.priced_topic(runs.withColumn("offset", offset)), n)
+    jobs.stream_indexed(lake.topic(lake.priced), lake, f"{root}/checkpoint").awaitTermination()
+    return lake.documents.current().select("id", "searchable_text")
+
+
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:
     """events as a stream; hourly counts."""
     root = _fresh_folder(spark, "activity")
@@ -252,6 +326,13 @@ def stream_admission(spark: SparkSession, d: str) -> DataFrame:
 INGEST: dict[str, Query] = {
     "ledger_normalize": ledger_normalize,
     "ledger_malformed": ledger_malformed,
+    "ledger_files": ledger_files,
+    "usage_ring_files": usage_ring_files,
+    "transcript_files": transcript_files,
+    "otlp_redelivery": otlp_redelivery,
+    "quarantine_reasons": quarantine_reasons,
+    "reconcile_eligible": reconcile_eligible,
+    "stream_documents": stream_documents,
     "otlp_normalize": otlp_normalize,
     "envelope_session_key": envelope_session_key,
     "envelope_dedupe": envelope_dedupe,
