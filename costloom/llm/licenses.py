@@ -21,6 +21,8 @@ GRAM = 2
 WINDOW = 2
 BAND = 6
 LEAST_COVERAGE = 0.75
+# Share of a template's fingerprints that must be hit on nearby diagonals; one is enough for short templates.
+LEAST_HITS = 0.1
 # The templates and their index go to every task.
 MAX_TEMPLATE_BYTES = 16_000_000
 _WORD = re.compile(rb"[^ \t-\r]+")
@@ -95,15 +97,30 @@ class Index:
         return cls(names, words, np.array(cols[0], np.uint64), np.array(cols[1], np.int64), np.array(cols[2], np.int64))
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal): places where the template may start, hits within a band taken together."""
+        """(template, diagonal): places where the template may start. Hits whose diagonals lie within a band are one
+        place, and a place needs at least LEAST_HITS of the template's fingerprints: words that all prose shares make
+        single hits everywhere."""
         digests, at = winnow(ids)
-        lo, hi = np.searchsorted(self.keys, digests, "left"), np.searchsorted(self.keys, digests, "right")
-        hits = sorted({(int(self.template[j]), int(at[i] - self.position[j])) for i in np.flatnonzero(hi > lo) for j in range(lo[i], hi[i])})
+        lo = np.searchsorted(self.keys, digests, "left")
+        counts = np.searchsorted(self.keys, digests, "right") - lo
+        some = np.flatnonzero(counts)
+        if not len(some):
+            return []
+        counts = counts[some]
+        row = np.repeat(lo[some] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        template = self.template[row]
+        diagonal = np.repeat(at[some], counts) - self.position[row]
+        need = np.maximum(1, (LEAST_HITS * np.bincount(self.template, minlength=len(self.names))).astype(int))
+        enough = np.bincount(template, minlength=len(need))[template] >= need[template]
+        order = np.lexsort((diagonal[enough], template[enough]))
         out: list[tuple[int, int]] = []
-        for t, d in hits:
+        held: list[int] = []
+        for t, d in zip(template[enough][order].tolist(), diagonal[enough][order].tolist(), strict=True):
             if not out or out[-1][0] != t or d - out[-1][1] > BAND:
                 out.append((t, d))
-        return out
+                held.append(0)
+            held[-1] += 1
+        return [place for place, n in zip(out, held, strict=True) if n >= need[place[0]]]
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
