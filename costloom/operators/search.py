@@ -143,12 +143,11 @@ def highlight(text: Column | str, q: str, size: int = 150, fragments: int = 2) -
 
 
 def bm25_scores(docs: DataFrame, q: str, text: str, id_col: str, filters: Filters | None = None) -> DataFrame:
-    """(id, `score`) of every document by BM25; null for those that hold no query term.
+    """(id, `score`) by BM25 of the documents whose text contains a query term; null where no word equals one.
 
     Document count, mean length and per-term document counts are one aggregate over the text column, read
-    back as a scalar subquery; scoring is a second scan. Non-matching rows stay in (they sort last), since
-    filtering on a token test would tokenize each text once more. Scores are rounded, so that summation
-    order cannot flip a tie.
+    back as a scalar subquery; scoring is a second scan, in which only texts that contain a term are cut into
+    words. Scores are rounded, so that summation order cannot flip a tie.
     """
     terms = query_terms(q)
     if not terms:
@@ -164,8 +163,12 @@ def bm25_scores(docs: DataFrame, q: str, text: str, id_col: str, filters: Filter
         .select(F.struct("n", "avgdl", *[f"df{i}" for i in range(len(terms))]).alias("s"))
         .scalar()
     )
+    near = F.lit(False)
+    for t in terms:
+        near = near | F.lower(col(text)).contains(t)
     counted = (
         search_filters(docs, filters)
+        .where(near)
         .select(id_col, tokens(text).alias("_t"))
         .select(
             id_col,
@@ -233,12 +236,12 @@ def fused_page(
     fused: DataFrame, limit: int, after: tuple[float, str] | None = None, id_col: str = "id"
 ) -> DataFrame:
     """A page of a fused ranking, strictly after (score, id); `total` is the size of the whole ranking."""
-    total = fused.agg(F.count(F.lit(1))).scalar()
-    rest = fused
+    # The ranking holds at most the rows of its legs, so its size is counted beside them, without a second scan.
+    rest = fused.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
     if after is not None:
         score, last = after
-        rest = fused.where((F.col("score") < score) | ((F.col("score") == score) & (F.col(id_col) < last)))
-    return rest.orderBy(F.col("score").desc(), F.col(id_col).desc()).limit(limit).withColumn("total", total)
+        rest = rest.where((F.col("score") < score) | ((F.col("score") == score) & (F.col(id_col) < last)))
+    return rest.orderBy(F.col("score").desc(), F.col(id_col).desc()).limit(limit)
 
 
 def search_hybrid(

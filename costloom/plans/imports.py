@@ -7,7 +7,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from costloom import schemas
 from costloom.operators import documents, merge, normalize, pricing
+from costloom.session import stage
 from costloom.sources import files, topics
 from costloom.streaming.jobs import BATCH_SHIFT, Lake
 
@@ -32,11 +34,8 @@ def import_transcripts(
 
     Fails when every file was skipped. Two files of one session are deliveries in file-name order.
     """
-    lines, per_file = files.read_transcripts(spark, path, since, now)
-    report = files.import_report(per_file)
-    files.require_some(report, "Transcript")
-    events = normalize.transcript_events(lines)
-    priced = _file_deliveries(events, book)
+    events, report = _read_events(spark, path, since, now)
+    priced = stage(_file_deliveries(events, book), "deliveries")
     accepted = merge.accepted_deliveries(_with_state(priced.drop("file"), runs))
     costed = _file_messages(events, priced, book)
     good = accepted.where(F.col("applied") & (F.col("pricing_status") == "Priced") & (F.col("arrival") > merge.STATE_ARRIVAL))
@@ -52,6 +51,15 @@ def import_transcripts(
     )
 
 
+def _read_events(spark: SparkSession, path: str, since: str | datetime | None, now: datetime | None) -> tuple[DataFrame, DataFrame]:
+    """(events of clean files, report). Texts are read and parsed once: the typed lines are staged."""
+    parsed = files.parse_json(files.read_lines(spark, path, "*.jsonl", since, now), schemas.TRANSCRIPT)
+    lines, per_file = files.skip_bad_files(stage(parsed, "transcript-lines"))
+    report = files.import_report(per_file)
+    files.require_some(report, "Transcript")
+    return normalize.transcript_events(lines), report
+
+
 def _with_state(deliveries: DataFrame, state: DataFrame | None) -> DataFrame:
     if state is None:
         return deliveries
@@ -82,11 +90,8 @@ def import_into(lake: Lake, path: str, book: pricing.PriceBook, name: str, **win
     wrote. Returns the report.
     """
     batch_id = lake.numbers.of(f"import@{name}", 0)
-    lines, per_file = files.read_transcripts(lake.spark, path, **window)
-    report = files.import_report(per_file)
-    files.require_some(report, "Transcript")
-    events = normalize.transcript_events(lines)
-    priced = _file_deliveries(events, book, batch_id * BATCH_SHIFT)
+    events, report = _read_events(lake.spark, path, window.get("since"), window.get("now"))
+    priced = stage(_file_deliveries(events, book, batch_id * BATCH_SHIFT), "deliveries")
     lake.runs.write(priced, batch_id)
     lake.messages.write(_file_messages(events, priced, book), batch_id)
     lake.priced.write(topics.priced_topic(priced.withColumn("offset", F.col("arrival"))), batch_id)

@@ -66,5 +66,9 @@ def test_no_plan_crosses_tables(spark):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
+def test_hybrid_search_scans_each_input_once_and_texts_once_more(spark):
+    assert plan(entry.queries()["hybrid_search"](spark, SF)).count("FileScan parquet") <= 3
+
+
 def test_first_lines_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(entry.queries()["embedding_text"](spark, SF))
