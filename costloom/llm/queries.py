@@ -83,4 +83,34 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _op1_sql() -> str:
+    entries = ", ".join(f"('{e.text}', '{e.verdict}', {str(e.is_rule).lower()})" for e in urlfilter.entries_of())
+    return f"""WITH entries(entry, verdict, is_rule) AS (VALUES {entries}),
+      split AS (SELECT *, substr(entry, 1, strpos(entry, '/') - 1) AS h, substr(entry, strpos(entry, '/')) AS p FROM entries),
+      cut AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+      urls AS (SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_CAPITALS}', '{_CAPITALS.lower()}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+      best AS (SELECT n, arg_max({{'entry': entry, 'verdict': verdict, 'is_rule': is_rule}}, (is_rule, length(entry), length(h), verdict = 'block')) AS b
+        FROM urls JOIN split ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n)
+      SELECT page_id, host, path, CASE WHEN b.is_rule THEN b.entry END AS rule, coalesce(b.verdict, 'allow') AS verdict, CASE WHEN NOT b.is_rule THEN b.entry END AS listed
+      FROM urls LEFT JOIN best USING (n)"""
+
+
+def _op8_sql() -> str:
+    chars = lambda c: f"length(regexp_replace({c}, '{chat._INSIDE}', '\\1\\\\\\2\\3', 'g'))"
+    marks = len(chat.TURN + chat.BODY + chat.END)
+    said = "'</s>[INST] ok [/INST]'"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', {said}), (-7, 1, 'assistant', {said})),
+      n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS c FROM t),
+      p AS (SELECT *, sum({marks} + {chars('role')} + {chars('text')}) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n)
+      SELECT conv_id, max(c) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{chat.ASSISTANT}'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = '{chat.ASSISTANT}'), '')) AS loss_sha256,
+        CAST(sum(upto) FILTER (WHERE role = '{chat.ASSISTANT}' OR i = c) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
+
+
+# The other methods hash, sketch, train or align, which SQL can't say; tests compare them with plain versions.
+ORACLES: dict[str, str] = {"op1_url_filters": _op1_sql(), "op8_chat_format": _op8_sql()}
