@@ -87,7 +87,8 @@ class Numbers:
         number = max(taken, default=-1) + 1
         while not fs.createNewFile(at(str(number) + "-claimed")):
             number += 1
-        fs.rename(at(f"{number}-claimed"), at(f"{number}-{name}"))
+        # The claim stays, so that a number is never claimed twice.
+        fs.createNewFile(at(f"{number}-{name}"))
         return number
 
 
