@@ -85,10 +85,14 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
 @functools.cache
 def new_letters():
     """Search for characters that the regex library takes for letters or numbers and Python does not know yet."""
-    known = regex.compile(r"[\p{L}\p{N}]+")
     unknown = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn")
-    found = "".join(known.findall(unknown))
-    return re.compile(f"[{re.escape(found)}]" if found else r"(?!)").search
+    runs = []
+    for c in map(ord, "".join(regex.findall(r"[\p{L}\p{N}]+", unknown))):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]" if runs else r"(?!)").search
 
 
 class Encoder:
@@ -99,24 +103,33 @@ class Encoder:
         self.fast = regex.compile(pattern).findall
         self.exact = pre_tokenizers.Split(Regex(pattern), behavior="isolated").pre_tokenize_str
         self.new_letter = new_letters()
+        self.passing: list[str] = []
         self.ids: dict[str, tuple[int, ...]] = {}
         self.spans: dict[str, list[tuple[int, int]]] | None = {} if offsets else None
 
-    def cut(self, text: str) -> list[str]:
-        """Matches of the pattern. The fast engine may know newer letters and numbers than the tokenizers library; a
-        text with one of them is cut by that library."""
-        if not text.isascii() and self.new_letter(text):
-            return [piece for piece, _ in self.exact(text)]
-        return self.fast(text)
-
     def pieces(self, texts: list[str | None]) -> list[list[str]]:
-        """Pieces of each text, all of them known to the cache afterwards."""
+        """Matches of the pattern in each text, all of them known to the cache afterwards.
+
+        The fast engine may know newer letters and numbers than the tokenizers library. Such pieces never enter the
+        cache unchecked: a text with one of them is cut by that library.
+        """
         if len(self.ids) > CACHE_PIECES:
             self.ids.clear()
             if self.spans:
                 self.spans.clear()
-        cut = [self.cut(t) if t else [] for t in texts]
-        new = [p for p in set(itertools.chain.from_iterable(cut)) if p not in self.ids]
+        cut = [self.fast(t) if t else [] for t in texts]
+        new = {p for p in set(itertools.chain.from_iterable(cut)) if p not in self.ids}
+        odd = {p for p in new if not p.isascii() and self.new_letter(p)}
+        if odd:
+            for i, parts in enumerate(cut):
+                if not odd.isdisjoint(parts):
+                    cut[i] = [piece for piece, _ in self.exact(texts[i])]
+            new = {p for p in set(itertools.chain.from_iterable(cut)) if p not in self.ids}
+        self.passing += [p for p in new if len(p) > CACHE_LENGTH or odd and self.new_letter(p)]
+        self.learn(list(new))
+        return cut
+
+    def learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             # One call for many pieces; word_ids tells which piece a token belongs to.
@@ -130,14 +143,14 @@ class Encoder:
                 if spans is not None:
                     self.spans[piece] = spans[first:end]
                 first = end
-        return cut
 
     def forget(self) -> None:
-        """Long pieces are not worth keeping."""
-        for piece in [p for p in self.ids if len(p) > CACHE_LENGTH]:
-            del self.ids[piece]
+        """Long pieces are not worth keeping, and pieces with new letters must be met again."""
+        for piece in self.passing:
+            self.ids.pop(piece, None)
             if self.spans is not None:
-                del self.spans[piece]
+                self.spans.pop(piece, None)
+        self.passing.clear()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         known = self.ids.__getitem__
