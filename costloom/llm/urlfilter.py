@@ -9,6 +9,7 @@ import mmap
 import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,20 @@ MAX_BYTES = 256_000_000
 
 # The rules of the registered query.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-# Hosts blocked where no rule decides.
-BLOCKED_HOSTS = ["ads-track.example.com/", "spam-farm.example.org/", "casino-win.example.net/", "adult-x.example.com/"]
+
+
+def list_text(line: str) -> str | None:
+    """A line of a block list as host/path-prefix: the host lower-cased, / behind a bare host; None for blanks and # notes."""
+    line = line.strip()
+    if not line or line.startswith("#"):
+        return None
+    host, slash, path = line.partition("/")
+    return f"{host.translate(_LOWER)}/{path if slash else ''}"
+
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# Hosts blocked where no rule decides: the default list, a file beside this module.
+BLOCKED_HOSTS = [t for t in map(list_text, (Path(__file__).parent / "lists" / "blocked_hosts.txt").read_text("utf-8").splitlines()) if t]
 
 
 @dataclass(frozen=True)
@@ -39,6 +52,16 @@ def entries_of(rules: Iterable[tuple[str, str]] = RULES, blocked: Iterable[str]
     return [Entry(v, t, True) for v, t in rules] + [Entry("block", t, False) for t in blocked]
 
 
+def read_block_list(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a block list as `judge_pages` takes them: a text file or folder (a host or host/path-prefix a line, # notes) or
+    a table in Parquet (column `text`). Read by Spark, so any size and any store."""
+    lines = spark.read.parquet(path).select("text") if path.rstrip("/").endswith(".parquet") else spark.read.text(path).toDF("text")
+    host = F.translate(F.substring_index("_line", "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rest = F.when(F.instr("_line", "/") > 0, F.expr("substring(_line, instr(_line, '/'))")).otherwise(F.lit("/"))
+    listed = lines.withColumn("_line", F.regexp_replace("text", r"^\s+|\s+$", "")).where("_line <> '' and not startswith(_line, '#')")
+    return listed.select(F.lit("block").alias("verdict"), F.concat(host, rest).alias("text"), F.lit(False).alias("is_rule")).distinct()
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty where there is none."""
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -171,14 +194,23 @@ def judge_by_join(urls: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def judge_pages(pages: DataFrame, entries: list[Entry] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_pages(
+    pages: DataFrame, entries: list[Entry] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """One row per row of `pages`: page_id, host, path, rule, verdict, listed.
 
-    Rules decide first, the longest that fits; then the block list; else the URL is allowed. Null URLs and URLs without
-    :// have an empty host and path and are allowed. Nulls and repeats of ids, long URLs and extra columns are harmless;
-    an empty table gives no rows.
+    Rules decide first, the longest that fits; then the block list; else the URL is allowed. `entries` may be a table (verdict,
+    text, is_rule; see `read_block_list`): it is measured first and, above `max_bytes`, joined instead of broadcast. Null URLs
+    and URLs without :// have an empty host and path and are allowed. Nulls and repeats of ids, long URLs and extra columns are
+    harmless; an empty table gives no rows.
     """
     url = F.col(url_col).cast("string")
     cut = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    if isinstance(entries, DataFrame):
+        # A string has two marks besides its text, a key and an offset.
+        size = entries.agg(F.coalesce(F.sum(F.octet_length("text") + 18), F.lit(0)) + 16).first()[0]
+        if size > max_bytes:
+            return judge_by_join(cut, entries)
+        entries = [Entry(*r) for r in entries.select("verdict", "text", "is_rule").collect()]
     packed = DigestArray.pack(entries_of() if entries is None else entries)
     return cut.withColumn("j", judge(pages.sparkSession, F.col("host"), F.col("path"), packed)).select("page_id", "host", "path", "j.*")

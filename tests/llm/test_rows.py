@@ -67,6 +67,27 @@ def test_join_gives_what_the_array_gives(spark):
     assert sorted(joined.select(array.columns).collect(), key=key) == sorted(array.collect(), key=key)
 
 
+def test_block_list_holds_every_family_under_every_tld():
+    bad = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    urls = [f"http://{sub}{name}.example.{tld}/en/1" for sub in ("", "m.") for name in bad for tld in ("com", "org")]
+    array = urlfilter.DigestArray(urlfilter.DigestArray.pack(urlfilter.entries_of()))
+    found = array.probe([u.split("/")[2].encode() for u in urls], [b"/en/1"] * len(urls))
+    assert [f and f[0] for f in found] == ["block"] * len(urls)
+    assert array.probe([b"my-free-bets.example.com"], [b"/"]) == [None]
+
+
+def test_block_list_is_read_from_files_and_tables(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# note\n\n Bad.Example.com \nexample.org/Ads\nbad.example.com/\n")
+    listed = urlfilter.read_block_list(spark, str(tmp_path / "list.txt"))
+    assert sorted(tuple(r) for r in listed.collect()) == [("block", "bad.example.com/", False), ("block", "example.org/Ads", False)]
+    spark.createDataFrame([("Bad.example.com",), ("example.org/Ads",)], "text string").write.parquet(str(tmp_path / "list.parquet"))
+    assert urlfilter.read_block_list(spark, str(tmp_path / "list.parquet")).count() == 2
+    pages = spark.createDataFrame([(0, "http://m.bad.example.com/x"), (1, "http://example.org/Adsy"), (2, "http://example.org/ads"), (3, None)], "page_id long, url string")
+    for most in (urlfilter.MAX_BYTES, 10):
+        got = urlfilter.judge_pages(pages, listed, max_bytes=most).orderBy("page_id")
+        assert [(r.verdict, r.listed) for r in got.collect()] == [("block", "bad.example.com/"), ("block", "example.org/Ads"), ("allow", None), ("allow", None)]
+
+
 def test_colliding_digests_are_told_apart_by_their_strings():
     one = lambda text: 7
     packed = urlfilter.DigestArray.pack(urlfilter.entries_of(), key=one)
