@@ -70,16 +70,24 @@ def merge_sessions(rows: DataFrame, order: str = "ord", keys: tuple[str, ...] =
     source come from the row with the highest cost, the earliest by `order` on ties (null cost counts
     as 0). The reported cost is 0, not null, when no row carries one.
     """
+    return _folded_runs(_fold_sessions(rows, order, keys), keys)
+
+
+def _fold_sessions(rows: DataFrame, order: str, keys: tuple[str, ...]) -> DataFrame:
     label = F.struct("source", "handle", "persona", "model_slug", "status")
     # Any orderable type will do for `order`, such as (file, block, row).
     rank = F.struct((-F.coalesce(F.col("cost_usd"), F.lit(0))).alias("c"), F.col(order).alias("o"))
-    folded = rows.groupBy(*keys, "session_id").agg(
+    return rows.groupBy(*keys, "session_id").agg(
         F.min_by(label, rank).alias("_best"),
+        F.min(rank).alias("_rank"),
         F.min("started_at").alias("started_at"),
         F.max("ended_at").alias("ended_at"),
         *[F.sum(F.coalesce(F.col(f), F.lit(0))).alias(f) for f in money.TOKEN_FIELDS],
         F.coalesce(F.sum("cost_usd"), F.lit(0)).cast(schemas.MONEY).alias("reported_cost_usd"),
     )
+
+
+def _folded_runs(folded: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return to_runs(
         folded.select(
             *keys,
@@ -130,6 +138,17 @@ def explode_spans(envelopes: DataFrame, body: str = "trace", keep: tuple[str, ..
     return spans.select(*keep_cols, "resource_attrs", "span", order)
 
 
+def part_of(resources: Column, prefix: str = ATTR_PREFIX) -> Column:
+    """struct(delivery, part, parts) of an envelope's first resource; nulls for an envelope that is a delivery of its own."""
+    return _part(F.get(resources, F.lit(0))["resource"]["attributes"], prefix)
+
+
+def _part(attrs: Column, prefix: str) -> Column:
+    number = lambda name: attr(attrs, f"{prefix}.{name}", "intValue").try_cast("bigint").alias(name)
+    delivery = attr(attrs, f"{prefix}.delivery")
+    return F.struct(delivery.alias("delivery"), number("part"), number("parts"))
+
+
 def span_rows(spans: DataFrame, prefix: str = ATTR_PREFIX, keep: tuple[str, ...] = ()) -> DataFrame:
     """Exploded spans to the common row shape; test handles and blank identities are dropped."""
     attrs, res = F.col("span.attributes"), F.col("resource_attrs")
@@ -162,12 +181,32 @@ def span_rows(spans: DataFrame, prefix: str = ATTR_PREFIX, keep: tuple[str, ...]
 
 
 def otlp_deliveries(envelopes: DataFrame, prefix: str = ATTR_PREFIX) -> DataFrame:
-    """Parsed trace envelopes (`trace`, `content_hash`, `arrival`) to one run per (envelope, session).
+    """Parsed trace envelopes (`trace`, `content_hash`, `arrival`) to one run per (delivery, session).
 
-    Spans are folded inside their envelope only: positions of different envelopes are not comparable.
+    An envelope is a delivery of its own unless it names the delivery it is a part of. Spans are folded inside their
+    envelope, positions of different envelopes being not comparable; then the parts of a delivery are added up, in part
+    order and each part once. A delivery arrives with its last part; parts that are not there do not count.
     """
     keep = ("content_hash", "arrival")
-    return merge_sessions(span_rows(explode_spans(envelopes, keep=keep), prefix, keep=keep), keys=keep)
+    spans = explode_spans(envelopes, keep=keep).withColumn("_part", _part(F.col("resource_attrs"), prefix))
+    rows = span_rows(spans, prefix, keep=(*keep, "_part"))
+    by_envelope = _fold_sessions(rows, "ord", (*keep, "_part"))
+    own = F.struct("content_hash", "arrival")
+    delivery = ("session_id", "_own", "_delivery")
+    named = by_envelope.withColumn("_delivery", F.col("_part.delivery")).withColumn("_own", F.when(F.col("_delivery").isNull(), own))
+    # One shuffle, of one row per envelope and session, for both steps.
+    latest = F.max_by(F.struct(*by_envelope.columns), F.struct("arrival", "content_hash")).alias("_row")
+    by_part = named.repartition(*delivery).groupBy(*delivery, "_part").agg(latest)
+    whole = by_part.groupBy(*delivery).agg(
+        F.min("_row.content_hash").alias("content_hash"),
+        F.max("_row.arrival").alias("arrival"),
+        F.min_by("_row._best", F.struct(F.col("_row._rank.c"), F.col("_part.part"), F.col("_row._rank.o"))).alias("_best"),
+        F.min("_row.started_at").alias("started_at"),
+        F.max("_row.ended_at").alias("ended_at"),
+        *[F.sum(f"_row.{f}").alias(f) for f in money.TOKEN_FIELDS],
+        F.sum("_row.reported_cost_usd").cast(schemas.MONEY).alias("reported_cost_usd"),
+    )
+    return _folded_runs(whole, keep)
 
 
 def normalize_otlp(envelopes: DataFrame, prefix: str = ATTR_PREFIX) -> DataFrame:

@@ -62,7 +62,7 @@ def ledger_malformed(spark: SparkSession, d: str) -> DataFrame:
 
 def _sent(spark: SparkSession, d: str) -> DataFrame:
     """The ledger as envelopes: payload, content_hash, arrival."""
-    return envelopes.encode_ledger_otlp(_ledger(spark, d)).select(
+    return envelopes.encode_ledger_parts(_ledger(spark, d)).select(
         "payload", text.content_hash("payload").alias("content_hash"), F.lit(0).cast("bigint").alias("arrival")
     )
 
@@ -87,7 +87,7 @@ def ledger_files(spark: SparkSession, d: str) -> DataFrame:
 
 def otlp_redelivery(spark: SparkSession, d: str) -> DataFrame:
     """Every session sent twice, first in part and then whole: the later envelope replaces the run."""
-    part = envelopes.encode_ledger_otlp(_ledger(spark, d).where(F.col("hit_tokens") % 3 == 0)).where("session_id <> ''")
+    part = envelopes.encode_ledger_parts(_ledger(spark, d).where(F.col("hit_tokens") % 3 == 0)).where("session_id <> ''")
     early = part.select("payload", text.content_hash("payload").alias("content_hash"), F.lit(-1).cast("bigint").alias("arrival"))
     return flat(normalize.normalize_otlp(envelopes.parse_trace(early.unionByName(_sent(spark, d)))), *RUN_VIEW)
 
@@ -114,8 +114,10 @@ def otlp_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def envelope_session_key(spark: SparkSession, d: str) -> DataFrame:
-    key = envelopes.envelope_session_key(F.col("trace.resourceSpans"))
-    return _traces(spark, d).groupBy(key.alias("session_key")).agg(F.count(F.lit(1)).alias("n"))
+    """Deliveries per session key: the parts of a large session are one."""
+    resources = F.col("trace.resourceSpans")
+    first = F.coalesce(normalize.part_of(resources)["part"], F.lit(0)) == 0
+    return _traces(spark, d).where(first).groupBy(envelopes.envelope_session_key(resources).alias("session_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def envelope_dedupe(spark: SparkSession, d: str) -> DataFrame:

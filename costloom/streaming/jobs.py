@@ -129,7 +129,7 @@ def _each_batch(
 
 
 def deliveries_of(batch: DataFrame, batch_id: int, prefix: str = normalize.ATTR_PREFIX) -> DataFrame:
-    """Unpriced run deliveries of a batch of envelopes: one per (envelope, session), in arrival order."""
+    """Unpriced run deliveries of a batch of envelopes: one per (delivery, session), in arrival order."""
     merged = normalize.otlp_deliveries(envelopes.parse_trace(batch), prefix)
     order = F.row_number().over(Window.partitionBy("session_id").orderBy("arrival", "content_hash"))
     return merged.withColumn("arrival", F.lit(batch_id * BATCH_SHIFT) + order).drop("content_hash")
@@ -146,14 +146,18 @@ def stream_priced(
     """raw envelopes -> dedupe -> normalize -> price -> run deliveries -> priced topic.
 
     Hashes seen before, in this batch or any earlier one, are dropped by keyed streaming state, so a batch
-    never looks back at the stored envelopes. Bad payloads go to `rejects` with a reason.
+    never looks back at the stored envelopes for them. A delivery in several parts counts in the batch that brings its
+    last part; only then are its other parts read back. Bad payloads go to `rejects` with a reason.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         good, bad = envelopes.quarantine(batch)
         lake.rejects.write(bad, batch_id)
         fresh = good.select("payload", "content_hash", "arrival")
-        lake.runs.write(pricing.price_runs(deliveries_of(fresh, batch_id, prefix), book), batch_id)
+        # A retry does not count what its first try stored.
+        stored = lake.envelopes.read().where(F.col("batch_id") != batch_id)
+        whole = envelopes.whole_deliveries(fresh, stored, prefix)
+        lake.runs.write(pricing.price_runs(deliveries_of(whole, batch_id, prefix), book), batch_id)
         key = envelopes.envelope_session_key(F.col("trace.resourceSpans"))
         lake.envelopes.write(envelopes.parse_trace(fresh).withColumn("session_key", key), batch_id)
         written = lake.runs.batches.read().where(F.col("batch_id") == batch_id)

@@ -1,3 +1,4 @@
+import functools
 import json
 import os
 from datetime import datetime, timedelta
@@ -5,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 from helpers import rows_of
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from costloom.functions import text
 from costloom.operators import normalize, pricing
@@ -157,6 +158,38 @@ def test_ledger_survives_the_trip_through_envelopes(spark, tmp_path):
         envelopes.encode_ledger_otlp(ledger, max_spans=4)
 
 
+def big_ledger(spark, path, n=23, price=lambda i: i % 3 / 8):
+    rows = [{"ts": f"2026-01-0{1 + i % 3}T0{i % 7}:00:00", "handle": "test-x" if i < 2 else f"h{i:02d}", "persona": f"p{i}", "model": "m", "status": "ok",
+             "session_id": "" if i == 5 else "big" if i % 4 else f"s{i % 8}", "cost_usd": price(i), "duration_s": 2.5, "hit_tokens": i, "miss_tokens": 1, "output_tokens": 2}
+            for i in range(n)]
+    return files.read_ledger(spark, write(path, rows))[0]
+
+
+def test_a_session_of_any_size_is_one_delivery_in_parts(spark, tmp_path):
+    ledger = big_ledger(spark, tmp_path / "l.jsonl")
+    one, cut = envelopes.encode_ledger_otlp(ledger), envelopes.encode_ledger_parts(ledger, part_spans=4)
+    bodies = [json.loads(r.payload)["resourceSpans"] for r in cut.where("session_id = 'big'").collect()]
+    resource = lambda b: {x["key"]: next(iter(x["value"].values())) for x in b[0]["resource"]["attributes"]}
+    parts = sorted(bodies, key=lambda b: int(resource(b)["agent.part"]))
+    assert [(resource(b)["agent.part"], resource(b)["agent.parts"]) for b in parts] == [(str(i), "4") for i in range(4)]
+    assert len({resource(b)["agent.delivery"] for b in parts}) == 1 and {resource(b)["session.id"] for b in parts} == {"big"}
+    spans = [s for b in parts for s in b[0]["scopeSpans"][0]["spans"]]
+    assert spans == json.loads(one.where("session_id = 'big'").first().payload)["resourceSpans"][0]["scopeSpans"][0]["spans"]
+    assert max(len(b[0]["scopeSpans"][0]["spans"]) for b in parts) == 4
+    assert rows_of(envelopes.encode_ledger_parts(ledger)) == rows_of(one)
+    # Cuts do not depend on how the rows lie, so a repeated delivery has the same bytes.
+    assert rows_of(envelopes.encode_ledger_parts(ledger.repartition(7), part_spans=4)) == rows_of(cut)
+    cols = ("id", "session_id", "external_id", "persona", "started_at", "ended_at", "input_tokens", "cache_read_tokens", "output_tokens", "reported_cost_usd")
+    runs = lambda *sent: rows_of(normalize.normalize_otlp(functools.reduce(DataFrame.unionByName, sent)), *cols)
+    at = lambda sent, n: with_envelope(envelopes.parse_trace(sent).withColumn("arrival", F.lit(n)))
+    assert runs(at(cut, 0)) == runs(at(one, 0))
+    # Copies of parts count once; a later delivery replaces all parts of an earlier one, and in turn.
+    assert runs(at(cut, 0), at(cut, 1)) == runs(at(one, 0))
+    dearer = big_ledger(spark, tmp_path / "m.jsonl", price=lambda i: 1.0 + i % 3)
+    later = envelopes.encode_ledger_parts(dearer, part_spans=6)
+    assert runs(at(cut, 0), at(later, 1)) == runs(at(later, 1)) != runs(at(cut, 0)) == runs(at(later, 0), at(cut, 1))
+
+
 def test_a_later_envelope_replaces_the_run(spark):
     ns = MS * 1_000_000
     first = doc(([a("session.id", "s")], [span("h0", "m", 1.0, ns, ns + 1_000_000)]))

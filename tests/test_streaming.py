@@ -7,7 +7,7 @@ import pytest
 from helpers import T0, at, rows_of
 from pyspark.sql import functions as F
 from test_documents_and_search import brute_admit
-from test_sources_and_adapters import MS, USAGE, a, doc, line, span, write
+from test_sources_and_adapters import MS, USAGE, a, big_ledger, doc, line, span, write
 
 from costloom import schemas
 from costloom.operators import normalize, pricing, search, waste
@@ -148,6 +148,23 @@ def test_an_import_and_streams_never_overwrite_each_other(spark, book, tmp_path)
     assert lake.runs.current().count() == 3
 
 
+def test_parts_of_a_delivery_count_when_the_last_one_comes(spark, book, tmp_path):
+    lake = jobs.Lake(spark, str(tmp_path / "tables"))
+    ledger = big_ledger(spark, tmp_path / "l.jsonl", price=lambda i: 0.5)
+    sent = [r.payload for r in envelopes.encode_ledger_parts(ledger, part_spans=4).where("session_id = 'big'").collect()]
+    seen = []
+    for n, batch in enumerate([sent[:2], [*sent[2:3], json.dumps(trace("other", 1000))], sent[3:]]):
+        for i, payload in enumerate(batch):
+            put(tmp_path / "inbox", f"{n}-{i}.json", payload)
+        raw = envelopes.read_otlp(spark, str(tmp_path / "inbox"), stream=True)
+        assert jobs.stream_priced(raw, lake, book, str(tmp_path / "c")).awaitTermination(120)
+        seen.append(rows_of(lake.runs.current(), "session_id"))
+    assert seen == [[], [("other",)], [("big",), ("other",)]] and lake.envelopes.read().count() == len(sent) + 1
+    cols = ("session_id", "started_at", "ended_at", "input_tokens", "cache_read_tokens", "output_tokens", "reported_cost_usd")
+    want = normalize.normalize_ledger(ledger).where("session_id = 'big'")
+    assert rows_of(lake.runs.current().where("session_id = 'big'"), *cols) == rows_of(want, *cols)
+
+
 def test_activity_keeps_open_windows_and_late_rows(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [(at(60 * i), "run" if i % 2 else "message") for i in range(150)] + [(at(86_400), "run")]
