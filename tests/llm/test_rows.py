@@ -5,6 +5,7 @@ import collections
 import hashlib
 import re
 import struct
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -314,6 +315,19 @@ def test_licenses_are_found_whole_edited_and_apart(spark):
     assert licenses.scan_documents(odd_docs(spark)).count() == len(ODD) and licenses.scan_documents(empty_docs(spark)).count() == 0
 
 
+def test_standard_licenses_are_named_and_not_their_relatives():
+    index, ids = licenses.Index.build(licenses.load_templates()), wordhash.PlainIds()
+    named = lambda text: {m[0] for m in licenses.matches(text.encode(), index, ids)}
+    for name, texts in licenses.load_templates().items():
+        for text in texts:
+            plain = re.sub(r"(?<!\S)%", "", text)
+            assert named("some words before\n" + plain + "\nand after it") == {name}, (name, text[:80])
+    assert named("This file is licensed under CC BY-SA 4.0.") == {"CC-BY-SA-4.0"}
+    assert named("Released under the Quux License.") == set()
+    whole = (Path(licenses.__file__).parent / "license_texts" / "LGPL-2.1.txt").read_text()
+    assert named("Copyright 2020 A. N. Other\n" + whole.replace("you may", "you can")) == {"LGPL-2.1"}
+
+
 def test_banded_alignment_finds_as_many_matches_as_the_full_table():
     rng = np.random.default_rng(3)
     for _ in range(40):
