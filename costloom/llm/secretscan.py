@@ -28,7 +28,7 @@ _HEX_RUN = re.compile(rb"[0-9a-f]{24,}")
 KINDS = [*BASE, "guess"]
 CONTEXT = re.compile(
     rb"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|auth|bearer|(?:api|access|private|signing)[_-]?key)"""
-    rb"""["']?(?:\x20*[:=]+>?\x20*|\x20+is\x20+|\x20+)["']?([^\s"',;<>()\[\]{}]{8,})""",
+    rb"""(?P<mark>["']?\x20*[:=]+>?\x20*["']?|["']\x20+(?:is\x20+)?["']?|\x20+(?:is\x20+)?["'])?(?(mark)|\x20+(?:is\x20+)?)(?P<value>[^\s"',;<>()\[\]{}]{8,})""",
     re.I,
 )
 # A value is a secret from this cost on (power of ten of guesses).
@@ -106,10 +106,10 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def is_guess(value: str) -> bool:
-    """Costly to guess, and not a plain word of letters: prose has many words that no list holds."""
-    letters = sum(map(str.isalpha, value))
-    varied = any(map(str.isdigit, value)) and letters > 0
+def is_guess(value: str, marked: bool = False) -> bool:
+    """Costly to guess. Where no sign or quote parts the value from its keyword (`marked`), prose may go on, with words that no
+    list holds: there it needs a letter and a digit too."""
+    varied = marked or any(map(str.isdigit, value)) and any(map(str.isalpha, value))
     return varied and guess_cost(value) >= LEAST_COST
 
 
@@ -122,8 +122,8 @@ def find(text: bytes) -> tuple[list[tuple[int, str, int]], list[tuple[int, str,
                 base.append((m.start(), kind, m.end()))
     added = []
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if not any(x < b and a < y for x, _, y in base) and is_guess(m[1].decode("utf-8", "replace")):
+        a, b = m.span("value")
+        if not any(x < b and a < y for x, _, y in base) and is_guess(m["value"].decode("utf-8", "replace"), m["mark"] is not None):
             added.append((a, "guess", b))
     return base, added
 

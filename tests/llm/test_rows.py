@@ -172,6 +172,14 @@ def test_secret_base_spans_match_plain_patterns(spark):
     assert secretscan.scan_documents(odd_docs(spark)).count() == len(ODD) and secretscan.scan_documents(empty_docs(spark)).count() == 0
 
 
+def test_marked_values_need_no_letter_and_digit():
+    for text in ("pwd: xkqzwvbnmrtp", "passphrase: horse-Quartz-velvet-ombre", "pwd = 8492-1037-5521#77", 'private_key "QwbZxKjvRtPl"', "'bearer' is 'QwbZxKjvRtPl'", "auth Zk3!pQ9$vT7xLm2w"):
+        value = text.split()[-1].strip("'\"")
+        assert secretscan.find(text.encode()) == ([], [(text.index(value), "guess", text.index(value) + len(value))]), text
+    for text in ("the secret ingredients of it", "a credential is something", "pwd: passwordpassword", "auth: 20240131"):
+        assert secretscan.find(text.encode()) == ([], []), text
+
+
 def test_guess_cost_orders_what_people_type_below_what_generators_print():
     cost = secretscan.guess_cost
     assert cost("") == 0
