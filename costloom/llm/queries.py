@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm import ann, bpe, chat, licenses, mixing, neardup, quality, secretscan, toxicity, urlfilter
+from costloom.llm import ann, bpe, chat, licenses, merkle, mixing, neardup, quality, secretscan, toxicity, urlfilter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -71,6 +71,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document proven against the root of the manifest, a seventh of them after tampering."""
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.verify_documents(_table(spark, sf_dir, "documents"), marked)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -112,5 +119,37 @@ def _op8_sql() -> str:
         CAST(sum(upto) FILTER (WHERE role = '{chat.ASSISTANT}' OR i = c) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
 
 
+def _op12_sql() -> str:
+    """Levels by a recursion over the rows of all trees, folds by one over the depth; crc32 by its table."""
+    field = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda n: f"sha256(concat({', '.join(map(field, ('doc_id', 'source', 'lang', n, 'text')))}))"
+    up = "sha256(string_agg(h, '' ORDER BY i))"
+    return f"""WITH RECURSIVE
+      crc AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY n) AS t FROM range(256) r(n)),
+      marks AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(t[xor(c & 255, b) + 1], c // 256))) % 7 = 0 AS marked FROM (SELECT DISTINCT doc_id FROM documents), crc),
+      leaves AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf('n_chars')} AS h,
+        CASE WHEN marked AND n_chars IS NOT NULL THEN {leaf('CAST(n_chars AS HUGEINT) + 1')} ELSE {leaf('n_chars')} END AS changed FROM documents LEFT JOIN marks USING (doc_id)),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+      tree AS (SELECT g, 0 AS d, i, h, n FROM placed
+        UNION ALL SELECT g, d + 1, i // 2, {up}, (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, d, i // 2, n),
+      tops AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+      above AS (SELECT 0 AS d, i, h, n FROM tops
+        UNION ALL SELECT d + 1, i // 2, {up}, (n + 1) // 2 FROM above WHERE n > 1 GROUP BY d, i // 2, n),
+      steps AS (SELECT a.g, a.d, a.i, b.h AS sibling FROM tree a LEFT JOIN tree b ON a.g = b.g AND a.d = b.d AND b.i = xor(a.i, 1) WHERE a.n > 1),
+      top_steps AS (SELECT a.d, a.i, b.h AS sibling FROM above a LEFT JOIN above b ON a.d = b.d AND b.i = xor(a.i, 1) WHERE a.n > 1),
+      ways AS (SELECT p.g, p.i AS leaf_i, s.d, (p.i // CAST(pow(2, s.d) AS BIGINT)) % 2 AS side, s.sibling FROM placed p JOIN steps s ON s.g = p.g AND s.i = p.i // CAST(pow(2, s.d) AS BIGINT)
+        UNION ALL SELECT p.g, p.i, 1000 + s.d, (t.i // CAST(pow(2, s.d) AS BIGINT)) % 2, s.sibling FROM placed p JOIN tops t USING (g) JOIN top_steps s ON s.i = t.i // CAST(pow(2, s.d) AS BIGINT)),
+      numbered AS (SELECT *, row_number() OVER (PARTITION BY g, leaf_i ORDER BY d) AS k FROM ways),
+      proofs AS (SELECT g, leaf_i, sha256(string_agg(coalesce(sibling, ''), '' ORDER BY k)) AS proof FROM numbered GROUP BY ALL),
+      folds AS (SELECT g, i, 0 AS k, changed AS h FROM placed
+        UNION ALL SELECT f.g, f.i, f.k + 1, sha256(CASE WHEN w.side = 1 THEN coalesce(w.sibling, '') || f.h ELSE f.h || coalesce(w.sibling, '') END)
+        FROM folds f JOIN numbered w ON w.g = f.g AND w.leaf_i = f.i AND w.k = f.k + 1),
+      ends AS (SELECT g, i, arg_max(h, k) AS folded FROM folds GROUP BY ALL),
+      root AS (SELECT h FROM above WHERE n = 1)
+      SELECT p.doc_id, p.h AS leaf, t.h AS subroot, (SELECT h FROM root) AS root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM root) AS verified
+      FROM placed p JOIN tops t USING (g) JOIN ends e ON e.g = p.g AND e.i = p.i LEFT JOIN proofs q ON q.g = p.g AND q.leaf_i = p.i"""
+
+
 # The other methods hash, sketch, train or align, which SQL can't say; tests compare them with plain versions.
-ORACLES: dict[str, str] = {"op1_url_filters": _op1_sql(), "op8_chat_format": _op8_sql()}
+ORACLES: dict[str, str] = {"op1_url_filters": _op1_sql(), "op8_chat_format": _op8_sql(), "op12_merkle_manifest": _op12_sql()}
