@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costloom.llm import ann, bpe, chat, licenses, merkle, mixing, neardup, quality, secretscan, toxicity, urlfilter
+from costloom.llm import ann, bpe, chat, decontam, licenses, merkle, mixing, neardup, quality, ranked, secretscan, toxicity, urlfilter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -71,12 +71,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in passages of the benchmark."""
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document proven against the root of the manifest, a seventh of them after tampering."""
     marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle.verify_documents(_table(spark, sf_dir, "documents"), marked)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -88,7 +98,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_license_scans": op9_license_scans,
     "op10_toxicity": op10_toxicity,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -119,6 +131,38 @@ def _op8_sql() -> str:
         CAST(sum(upto) FILTER (WHERE role = '{chat.ASSISTANT}' OR i = c) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id"""
 
 
+def _terms_sql(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), '{_CAPITALS}', '{_CAPITALS.lower()}')"
+    return f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _op11_sql() -> str:
+    span = decontam.SPAN
+    return f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_terms_sql('text')} AS w, least(len(w), {span}) AS k FROM benchmark),
+      windows AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items WHERE k > 0)),
+      lengths AS (SELECT DISTINCT k FROM windows),
+      docs AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql('text')} AS w FROM documents),
+      places AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, lengths),
+      grams AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM places),
+      found AS (SELECT r, k, i, item_id FROM grams JOIN windows USING (k, g)),
+      hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM found) GROUP BY r),
+      listed AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY encode(item_id)) AS items FROM (SELECT DISTINCT r, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+      FROM docs LEFT JOIN hit USING (r) LEFT JOIN listed USING (r)"""
+
+
+def _op13_sql() -> str:
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql('text')} AS t FROM documents),
+      c AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS nd, CAST(sum(len(t)) AS BIGINT) AS l FROM d),
+      p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+      f AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, nd),
+      q AS (SELECT n, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS n, item_id, {_terms_sql('text')} AS t FROM benchmark)),
+      m AS (SELECT r, doc_id, CAST(100 - 75 + (75 * len(t) * nd) // l AS BIGINT) AS m FROM d, c),
+      s AS (SELECT n, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL),
+      k AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+      SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
 def _op12_sql() -> str:
     """Levels by a recursion over the rows of all trees, folds by one over the depth; crc32 by its table."""
     field = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
@@ -152,4 +196,4 @@ def _op12_sql() -> str:
 
 
 # The other methods hash, sketch, train or align, which SQL can't say; tests compare them with plain versions.
-ORACLES: dict[str, str] = {"op1_url_filters": _op1_sql(), "op8_chat_format": _op8_sql(), "op12_merkle_manifest": _op12_sql()}
+ORACLES: dict[str, str] = {"op1_url_filters": _op1_sql(), "op8_chat_format": _op8_sql(), "op11_benchmark_decontamination": _op11_sql(), "op12_merkle_manifest": _op12_sql(), "op13_ranked_search": _op13_sql()}
