@@ -7,10 +7,11 @@ ones of both sides, and two registers agree with a chance close to the Jaccard s
 1. Rows with equal sets form one class; only one row per class goes on. A text that is copied a million times
    is one class.
 2. Registers are cut into bands. Classes that agree on a band share a bucket.
-3. Every class of a bucket is compared with the bucket's representative (star edges, at most linear).
-4. Components of the confirmed links. In buckets that still hold several components every pair of classes from
-   different components is compared, in tiles of bounded size. Pairs inside one component can no longer change
-   a result, so nothing is lost, and a group of copies never produces all its pairs.
+3. Every class of a bucket is compared with the bucket's representative (star edges, at most linear); large buckets that
+   still hold several components of the links confirmed so far go through some more rounds with other ones.
+4. In buckets that hold several components after that every pair of classes from different components is compared, in
+   tiles of bounded size. Pairs inside one component can no longer change a result, so nothing is lost. A tile gives its
+   components and the rows that pass, at most linear in its rows, so a group of copies never produces its pairs.
 5. Candidates must pass a joint maximum-likelihood estimate of the similarity, with a wide margin, then the
    exact test on full sets.
 
@@ -20,7 +21,7 @@ the estimate's margin (six standard errors) with 1e-9; more similar pairs are sa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from costloom.llm import wordhash
 from costloom.llm.components import connected_components
-from costloom.session import stage
+from costloom.session import bound_batches, stage
 
 BASE = 1.001
 RATE = 20.0
@@ -43,8 +44,10 @@ BAND_MASK = 63
 SALTS = [0, 0x2F6E2B1D5A9C3E71, 0x5DEECE66D1B54A33, 0x7A3C1F0B9E2D4C65]
 # Lists of ids up to this length are broadcast, so that texts stay where they are; longer ones are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
-# Members of one side of a tile in the cross-component comparison.
-TILE = 1024
+# Further rounds of one representative for each bucket of more than a tile that still holds several components.
+MORE_SALTS = [None, 0x1C69B3F74AC4AE35, 0x3A5F0E9D27B86C41]
+# Rows and set elements of one side of a tile in the cross-component comparison.
+TILE, TILE_ELEMENTS = 1024, 1_000_000
 # Elements x registers hashed at a time: bounds the memory of a very long text.
 CHUNK = 2048
 
@@ -151,35 +154,53 @@ def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = wordhash.WordIds()
         for batch in batches:
-            n, d1, d2, regs = [], [], [], []
-            for text in wordhash.as_bytes(batch.column(1)):
-                values = np.unique(wordhash.shingles(ids.of((text or b"").lower().split()), words))
-                x, y = wordhash.set_digest(values)
-                n.append(len(values)), d1.append(x), d2.append(y)
-                regs.append(truncate(minima(values, mult)).tobytes() if len(values) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "regs"],
-            )
+            for part in wordhash.pieces(batch, 1):
+                n, d1, d2, regs = [], [], [], []
+                for text in wordhash.as_bytes(part.column(1)):
+                    values = np.unique(wordhash.shingles(ids.of((text or b"").lower().split()), words))
+                    x, y = wordhash.set_digest(values)
+                    n.append(len(values)), d1.append(x), d2.append(y)
+                    regs.append(truncate(minima(values, mult)).tobytes() if len(values) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())],
+                    ["doc_id", "n", "d1", "d2", "regs"],
+                )
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary")
+    return narrow.mapInArrow(wordhash.released(run), "doc_id long, n long, d1 long, d2 long, regs binary")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, d1, values): the full set of each document."""
+    """(id, d1, values): the full sets of the documents, empty ones left out, each set of an id once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = wordhash.WordIds()
+        given: set[tuple[int, int]] = set()
         for batch in batches:
-            d1, sets = [], []
-            for text in wordhash.as_bytes(batch.column(1)):
-                values = np.unique(wordhash.shingles(ids.of((text or b"").lower().split()), words))
-                d1.append(wordhash.set_digest(values)[0])
-                sets.append(values.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "d1", "values"])
-
-    return docs.mapInArrow(run, "id long, d1 long, values array<long>")
+            for part in wordhash.pieces(batch, 1):
+                names, d1, sets = [], [], []
+                for name, text in zip(part.column(0).to_pylist(), wordhash.as_bytes(part.column(1))):
+                    values = np.unique(wordhash.shingles(ids.of((text or b"").lower().split()), words))
+                    digest = wordhash.set_digest(values)[0]
+                    if len(values) and (name, digest) not in given:
+                        if len(given) >= MAX_BROADCAST_IDS:
+                            given.clear()
+                        given.add((name, digest))
+                        names.append(name), d1.append(digest), sets.append(values)
+                if sets:
+                    cut = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
+                    values = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(d1, pa.int64()), values], ["id", "d1", "values"])
+
+    return docs.mapInArrow(wordhash.released(run), "id long, d1 long, values array<long>")
+
+
+def _sets_of(reps: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, values) of `ids` (distinct, staged), each set of an id once."""
+    sets = stage(_sets(_texts_of(reps, ids), words), "neardup-sets")
+    if not sets.groupBy("id", "d1").count().where("count > 1").isEmpty():
+        sets = stage(sets.dropDuplicates(["id", "d1"]), "neardup-sets")
+    return sets.select("id", "values")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -194,7 +215,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(owner)], ["bkey", "id"])
 
-    return classes.select("id", "regs").mapInArrow(run, "bkey long, id long")
+    return classes.select("id", "regs").mapInArrow(wordhash.released(run), "bkey long, id long")
 
 
 def _texts_of(reps: DataFrame, ids: DataFrame) -> DataFrame:
@@ -221,7 +242,7 @@ def _screen(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
             ok = pa.array(passes(a, b, na, nb, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(wordhash.released(run), "a long, b long")
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -231,7 +252,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
     each representative once.
     """
     ids = stage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "neardup-ids")
-    sets = stage(_sets(_texts_of(reps, ids), words), "neardup-sets").select("id", "values")
+    sets = _sets_of(reps, ids, words)
     left = sets.select(F.col("id").alias("a"), F.col("values").alias("va"))
     right = sets.select(F.col("id").alias("b"), F.col("values").alias("vb"))
     both = F.size(F.array_intersect("va", "vb")).cast("long")
@@ -243,129 +264,192 @@ def _confirm(pairs: DataFrame, reps: DataFrame, words: int, percent: int) -> Dat
     )
 
 
+def _blocked(rows: DataFrame, key: str, tile: int) -> DataFrame:
+    """`rows` (key, id, comp, n) with `major`, whether their component is the group's largest, and the numbers of blocks of
+    the rows outside (`few`) and inside it (`many`): at most about `tile` rows and TILE_ELEMENTS elements a block."""
+    by_comp = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
+    whole = by_comp.groupBy(key).agg(F.max(F.struct("rows", "elements", "comp")).alias("most"), F.sum("rows").alias("rows"), F.sum("elements").alias("elements"))
+    blocks = lambda r, e: F.greatest(F.ceil(r / F.lit(tile)), F.ceil(e / F.lit(TILE_ELEMENTS)), F.lit(1)).cast("int")
+    dealt = whole.select(
+        key,
+        F.col("most.comp").alias("largest"),
+        blocks(F.col("rows") - F.col("most.rows"), F.col("elements") - F.col("most.elements")).alias("few"),
+        blocks(F.col("most.rows"), F.col("most.elements")).alias("many"),
+    )
+    return rows.join(dealt, key).withColumn("major", F.col("comp") == F.col("largest")).drop("largest")
+
+
 def _tiles(members: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """Rows of `members` (key, id, blocks, ...) dealt to pairs of blocks, sorted so that a pair is contiguous.
+    """Rows of `members` (key, id, comp, major, few, many, ...) dealt to pairs of blocks, sorted so that a pair is contiguous.
 
-    A group of b blocks becomes b(b+1)/2 tiles; every two of its rows meet in exactly one of them, and a task
-    holds one tile at a time, so memory does not grow with a group.
+    Blocks 0 .. few - 1 hold the rows outside the group's largest component, the rest those inside it. Two rows of which one at
+    least lies outside meet in exactly one tile; two inside need no comparison. A task holds one tile at a time, so memory
+    does not grow with a group, and a group with few rows outside is copied few times.
     """
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    deal = F.xxhash64("id")
+    own = F.when(F.col("major"), F.col("few") + F.pmod(deal, F.col("many"))).otherwise(F.pmod(deal, F.col("few"))).cast("int")
+    others = F.when(F.col("major"), F.col("few")).otherwise(F.col("few") + F.col("many"))
     return (
         members.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
         .select(key, F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "id", "comp", *carried)
         .repartition(key, "ti", "tj")
         .sortWithinPartitions(key, "ti", "tj")
     )
 
 
-def _per_tile(key: str, work):
-    """mapInPandas function that hands every tile (contiguous rows) to `work`, which yields (a, b) arrays."""
+Tile = dict[str, np.ndarray]
+
+
+def _per_tile(key: str, work: Callable[[Tile], Iterator[pd.DataFrame]]):
+    """mapInPandas function that hands every tile (contiguous rows) to `work` as its columns, which yields frames."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: Tile | None = None
         for part in batches:
-            part = part if held is None else pd.concat([held, part], ignore_index=True)
-            tiles = [t for _, t in part.groupby([key, "ti", "tj"], sort=False)]
-            for tile in tiles[:-1]:
-                yield from (pd.DataFrame({"a": a, "b": b}) for a, b in work(tile))
-            held = tiles[-1] if tiles else None
+            now = {c: part[c].to_numpy() for c in part.columns}
+            if held is not None:
+                now = {c: np.concatenate([held[c], now[c]]) for c in now}
+            n = len(now[key])
+            if not n:
+                continue
+            new = np.flatnonzero((now[key][1:] != now[key][:-1]) | (now["ti"][1:] != now["ti"][:-1]) | (now["tj"][1:] != now["tj"][:-1])) + 1
+            cuts = [0, *new.tolist()]
+            for at, upto in zip(cuts, cuts[1:]):
+                yield from work({c: v[at:upto] for c, v in now.items()})
+            held = {c: v[cuts[-1] :] for c, v in now.items()}
         if held is not None:
-            yield from (pd.DataFrame({"a": a, "b": b}) for a, b in work(held))
+            yield from work(held)
 
     return run
 
 
-def _cross_rows(tile: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+def _cross_rows(tile: Tile) -> Iterator[tuple[int, np.ndarray]]:
     """(i, positions): every pair of rows of the tile from different components and, in a mixed tile, different
     blocks, seen once. Only rows outside the tile's largest component are visited."""
-    own, comp = tile["own"].to_numpy(), tile["comp"].to_numpy()
-    ti, tj = int(tile["ti"].iloc[0]), int(tile["tj"].iloc[0])
-    names, at, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    if len(names) == 1:
+    own, comp = tile["own"], tile["comp"]
+    if (comp == comp[0]).all():
         return
+    names, at, counts = np.unique(comp, return_inverse=True, return_counts=True)
     minor = at != np.argmax(counts)
-    visited = np.zeros(len(tile), bool)
+    visited = np.zeros(len(comp), bool)
     for i in np.flatnonzero(minor):
         meets = (comp != comp[i]) & ~visited
-        if ti != tj:
+        if tile["ti"][0] != tile["tj"][0]:
             meets &= own != own[i]
         visited[i] = True
         if meets.any():
             yield int(i), np.flatnonzero(meets)
 
 
-def _find(parent: dict[int, int], x: int) -> int:
-    while parent.setdefault(x, x) != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+class _Forest:
+    """Components met in a tile; `roots` names each joined one beside the least it was joined with."""
 
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-def _cluster_edges(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) edges that join the rows of mixed buckets whose estimates pass and whose components differ.
+    def find(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
 
-    `members` is (bkey, id, comp, n, regs, blocks). A tile gives a spanning forest of its passing pairs, never
-    the pairs. A pair is looked at in its first common band only.
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+    def roots(self) -> list[tuple[int, int]]:
+        return [(x, r) for x in list(self.parent) if (r := self.find(x)) != x]
+
+
+def _clusters(members: DataFrame, threshold: float) -> DataFrame:
+    """What the rows of mixed buckets give: (a, b, null) for components that passing estimates join, and (null, null, id)
+    for rows that have such a pair.
+
+    `members` is (bkey, id, comp, n, regs, ...). A tile gives a star over its components, at most one row for each, and
+    its rows once; never the pairs. A pair is looked at in its first common band only.
     """
 
-    def work(tile: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def work(tile: Tile) -> Iterator[pd.DataFrame]:
         regs = keys = None
-        n, ids, band = tile["n"].to_numpy(), tile["id"].to_numpy(), int(tile["bkey"].iloc[0]) & BAND_MASK
-        parent: dict[int, int] = {}
-        edges: list[tuple[int, int]] = []
+        n, ids, comp, band = tile["n"], tile["id"], tile["comp"], int(tile["bkey"][0]) & BAND_MASK
+        forest, met = _Forest(), np.zeros(len(ids), bool)
         for i, at in _cross_rows(tile):
-            if regs is None:
-                regs = np.frombuffer(b"".join(tile["regs"]), np.uint16).reshape(len(tile), -1)
-                keys = band_keys(regs)
             at = at[np.minimum(n[at], n[i]) >= threshold * np.maximum(n[at], n[i]) - 1e-9]
+            if not len(at):
+                continue
+            if regs is None:
+                regs = np.frombuffer(b"".join(tile["regs"]), np.uint16).reshape(len(ids), -1)
+            at = at[passes(np.broadcast_to(regs[i], (len(at), regs.shape[1])), regs[at], np.full(len(at), n[i]), n[at], threshold)]
             if band and len(at):
-                at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
+                if keys is None:
+                    keys = band_keys(regs[:, : band * ROWS])
+                at = at[~(keys[at] == keys[i]).any(axis=1)]
             if len(at):
-                at = at[passes(np.broadcast_to(regs[i], (len(at), regs.shape[1])), regs[at], np.full(len(at), n[i]), n[at], threshold)]
-            for j in at:
-                x, y = _find(parent, i), _find(parent, int(j))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    edges.append((i, int(j)))
-        if edges:
-            e = np.array(edges)
-            yield ids[e[:, 0]], ids[e[:, 1]]
+                met[at] = met[i] = True
+                for c in np.unique(comp[at]):
+                    forest.join(int(comp[i]), int(c))
+        if met.any():
+            a, b = zip(*forest.roots())
+            own = np.unique(ids[met])
+            yield pd.DataFrame({
+                "a": pd.array([*a, *[None] * len(own)], "Int64"), "b": pd.array([*b, *[None] * len(own)], "Int64"), "id": pd.array([*[None] * len(a), *own], "Int64"),
+            })
 
-    tiles = _tiles(members, "bkey", ["n", "regs"])
-    return tiles.mapInPandas(_per_tile("bkey", work), "a long, b long").where("a <> b").distinct()
+    return _tiles(members, "bkey", ["n", "regs"]).mapInPandas(wordhash.released(_per_tile("bkey", work)), "a long, b long, id long").distinct()
 
 
 def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) confirmed links between different components, a spanning forest per tile.
+    """(a, b) confirmed links between different components, a spanning forest of them per tile.
 
-    `members` is (cluster, id, comp, values, blocks). All sets of a tile are laid in one array; one row's
+    `members` is (cluster, id, comp, values, ...). All sets of a tile are laid in one array; one row's
     intersection with every other row is one pass over it.
     """
 
-    def work(tile: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, comp, sizes = tile["id"].to_numpy(), tile["comp"].to_numpy(), tile["values"].map(len).to_numpy()
+    def work(tile: Tile) -> Iterator[pd.DataFrame]:
+        ids, comp, sizes = tile["id"], tile["comp"], np.array([len(v) for v in tile["values"]])
         starts = np.concatenate([[0], np.cumsum(sizes)])
         flat = None
-        parent: dict[int, int] = {}
+        forest = _Forest()
         edges: list[tuple[int, int]] = []
         for i, at in _cross_rows(tile):
             if flat is None:
-                known, flat = np.unique(np.concatenate(tile["values"].to_list()), return_inverse=True)
+                known, flat = np.unique(np.concatenate(list(tile["values"])), return_inverse=True)
                 mark = np.zeros(len(known), bool)
             mark[flat[starts[i] : starts[i + 1]]] = True
             both = np.add.reduceat(mark[flat].astype(np.int64), starts[:-1])[at]
             mark[flat[starts[i] : starts[i + 1]]] = False
-            for j in at[100 * both >= percent * (sizes[i] + sizes[at] - both)]:
-                x, y = _find(parent, int(comp[i])), _find(parent, int(comp[j]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    edges.append((i, int(j)))
+            edges += [(i, int(j)) for j in at[100 * both >= percent * (sizes[i] + sizes[at] - both)] if forest.join(int(comp[i]), int(comp[j]))]
         if edges:
             e = np.array(edges)
-            yield ids[e[:, 0]], ids[e[:, 1]]
+            yield pd.DataFrame({"a": ids[e[:, 0]], "b": ids[e[:, 1]]})
+
+    return _tiles(members, "cluster", ["values"]).mapInPandas(wordhash.released(_per_tile("cluster", work)), "a long, b long")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bkey, id, comp) of the buckets of `members` (bkey, id) that hold several components."""
+    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bkey", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = placed.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bkey")
+    return stage(placed.join(mixed, "bkey", "left_semi"), "neardup-mixed")
+
+
+def _star(held: DataFrame, salt: int | None, tile: int) -> DataFrame:
+    """(a, b): each row of a mixed bucket of more than `tile` rows beside one row of the bucket, where their components differ.
 
-    return _tiles(members, "cluster", ["values"]).mapInPandas(_per_tile("cluster", work), "a long, b long")
+    That row is the bucket's least under a salt; or, without one, the row that shares its buckets with most others:
+    copies that differ from each other in different places meet in the text that they all were made from.
+    """
+    sizes = held.groupBy("bkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    large = held.join(sizes, "bkey")
+    if salt is None:
+        weights = large.groupBy("id").agg(F.sum("n").alias("w"))
+        large, chosen = large.join(weights, "id"), F.struct(-F.col("w"), "id")
+    else:
+        chosen = F.col("id").bitwiseXOR(F.lit(salt))
+    heads = large.groupBy("bkey").agg(F.min_by(F.struct(F.col("id").alias("head"), F.col("comp").alias("over")), chosen).alias("h")).select("bkey", "h.*")
+    return held.join(heads, "bkey").where("comp <> over").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -383,10 +467,12 @@ def near_duplicates(
     percent / 100, confirmed on full sets; component_id is the least doc_id reachable and kept marks its row.
 
     Null or empty texts and texts without words: empty set, linked with nothing, kept. Null ids: returned with
-    their set size, no component, kept, linked with nothing. Repeated rows of one id share its component. Texts
-    of any length are taken whole. An empty table gives no rows; extra columns are ignored.
+    their set size, no component, kept, linked with nothing. Rows of one id share its component, also where their texts
+    differ (an empty one among them keeps its own id). Texts of any length are taken whole. An empty table gives no rows;
+    extra columns are ignored.
     """
     threshold = percent / 100
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stage(sketch(narrow, words), "neardup-sketch")
     sized = rows.where("n > 0 and doc_id is not null")
@@ -399,6 +485,12 @@ def near_duplicates(
     )
     # Texts of class representatives; copies of them are not needed again.
     reps = narrow.withColumnRenamed("doc_id", "id")
+    # An id with several sets is one node.
+    several = sized.groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("doc_id")
+    same_id = stage(
+        sized.select("doc_id", "d1", "d2").join(several, "doc_id", "left_semi").join(least, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct(),
+        "neardup-same-id",
+    )
 
     bands = _bands(classes)
     salted = F.col("id").bitwiseXOR(F.element_at(F.array(*map(F.lit, SALTS)), (F.col("bkey").bitwiseAND(F.lit(len(SALTS) - 1)) + 1).cast("int")))
@@ -406,37 +498,39 @@ def near_duplicates(
         bands.groupBy("bkey")
         .agg(F.min(salted).alias("id"), F.count(F.lit(1)).alias("size"))
         .where("size > 1")
-        .select("bkey", salted.alias("head"), "size")
+        .select("bkey", salted.alias("head"))
     )
     members = stage(bands.join(heads, "bkey"), "neardup-members")
-    star = (
-        members.where("id <> head")
-        .select(F.greatest("id", "head").alias("b"), F.least("id", "head").alias("a"))
-        .distinct()
-    )
-    tested = stage(_screen(star.select("a", "b"), classes, threshold), "neardup-star")
-    links = stage(_confirm(tested, reps, words, percent), "neardup-links")
+    star = members.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    tested = stage(_screen(star, classes, threshold), "neardup-star")
+    links = same_id.unionAll(stage(_confirm(tested, reps, words, percent), "neardup-links"))
     labels = connected_components(links)
-
-    placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = placed.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bkey")
-    held = (
-        placed.join(mixed, "bkey", "left_semi")
-        .withColumn("blocks", F.ceil(F.col("size") / F.lit(tile)).cast("int"))
-        .select("bkey", "id", "comp", "blocks")
-        .join(classes.select("id", "n", "regs"), "id")
-    )
-    near = connected_components(_cluster_edges(held, threshold), "neardup-clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    sized_clusters = near.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("blocks"))
+    held = _mixed(members, labels)
+    for salt in MORE_SALTS:
+        # A bucket of one tile is compared as it is below; larger ones are thinned out first.
+        again = stage(_star(held, salt, tile), "neardup-again")
+        if again.isEmpty():
+            break
+        more = stage(_confirm(stage(_screen(again, classes, threshold), "neardup-star"), reps, words, percent), "neardup-links")
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+        labels = connected_components(links)
+        # A bucket of one component stays one.
+        held = _mixed(held, labels)
+
+    found = stage(_clusters(_blocked(held.join(classes.select("id", "n", "regs"), "id"), "bkey", tile), threshold), "neardup-clusters")
+    joined = connected_components(found.where("id is null").select("a", "b"), "neardup-joined")
+    met = stage(found.where("id is not null").select("id"), "neardup-met")
     grouped = (
-        near.join(sized_clusters, "cluster")
-        .join(labels.withColumnRenamed("node", "id"), "id", "left")
-        .select("cluster", "id", "blocks", F.coalesce("component", "id").alias("comp"))
-        .join(stage(_sets(_texts_of(reps, near.select("id")), words), "neardup-sets").select("id", "values"), "id")
+        met.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        .select("id", F.coalesce("component", "id").alias("comp"))
+        .join(joined.select(F.col("node").alias("comp"), F.col("component").alias("cluster")), "comp")
+        .join(_sets_of(reps, met, words), "id")
+        .withColumn("n", F.size("values").cast("long"))
     )
-    more = stage(_cluster_links(grouped, percent), "neardup-more")
-    # Classes of one id with different texts are one node.
-    final = connected_components(links.unionAll(more), "neardup-components")
+    more = stage(_cluster_links(_blocked(stage(grouped, "neardup-grouped"), "cluster", tile), percent), "neardup-more")
+    final = labels if more.isEmpty() else connected_components(links.unionAll(more))
 
     reach = least.join(final.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     known = rows.select("doc_id", "n", F.when(F.expr("n > 0 and doc_id is not null"), F.col("d1")).alias("d1"), "d2").join(reach, ["d1", "d2"], "left")
@@ -449,17 +543,42 @@ def near_duplicates(
     )
 
 
+def _apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with `_node`: the id, or a number beyond all ids for each text of an id that stands on several texts."""
+    whole = docs.withColumn("_node", F.col(id_col).cast("long"))
+    repeated = stage(whole.where("_node is not null").groupBy("_node").count().where("count > 1").select("_node"), "neardup-repeated")
+    if repeated.isEmpty():
+        return whole
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias("_digest")
+    texts = stage(whole.join(repeated, "_node", "left_semi").select("_node", digest).distinct(), "neardup-texts")
+    several = texts.groupBy("_node").count().where("count > 1").select("_node")
+    least, most = whole.agg(F.min("_node"), F.max("_node")).first()
+    step = F.monotonically_increasing_id()
+    new = step + F.lit(most + 1) if most < 2**62 else F.lit(least - 1) - step
+    ordered = texts.join(several, "_node", "left_semi").repartitionByRange("_node", "_digest").sortWithinPartitions("_node", "_digest")
+    numbered = stage(ordered.withColumn("_new", new), "neardup-numbered")
+    if numbered.isEmpty():
+        return whole
+    ids = numbered.select("_node").distinct()
+    own = whole.withColumn("_digest", digest).join(numbered, ["_node", "_digest"]).withColumn("_node", F.col("_new"))
+    return whole.join(ids, "_node", "left_anti").select(*docs.columns, "_node").unionByName(own.select(*docs.columns, "_node"))
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id leads its group, one row per id, with their columns.
+    """The rows of `docs` that lead their groups, with their columns: one row of each group of near copies.
 
-    Rows that go are taken out by an anti-join with their ids, the smaller list in a corpus of mostly different texts. Ids
-    that occur on several rows are few; only their rows are compared with each other. Rows without an id stay.
+    The least id of a group stays. Texts that share an id are judged each on its own, after all other ids, so that a text
+    which stands nowhere else is never lost; of rows that repeat one id and text, the one whose columns come first as
+    JSON stays. Rows without an id stay. Rows that go are taken out by an anti-join with their ids, the smaller list in a corpus
+    of mostly different texts.
     """
-    groups = stage(near_duplicates(docs, words, percent, id_col, text_col), "neardup-groups")
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    again = stage(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "neardup-repeats")
+    named = _apart(docs, id_col, text_col)
+    groups = stage(near_duplicates(named, words, percent, "_node", text_col), "neardup-groups")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_node")).distinct()
+    left = named.join(gone, "_node", "left_anti").select(*docs.columns, "_node")
+    again = stage(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_node")), "neardup-repeats")
     if again.isEmpty():
-        return left
-    same = F.col(id_col).cast("long") == F.col("_again")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))
+        return left.drop("_node")
+    row = F.struct(*docs.columns)
+    one = left.join(again, "_node", "left_semi").groupBy("_node").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
+    return left.join(again, "_node", "left_anti").drop("_node").unionByName(one)

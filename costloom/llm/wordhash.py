@@ -6,8 +6,15 @@ matches of `[^\\x20\\x09-\\x0D]+` and no other character is touched.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -16,9 +23,9 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 class WordIds(dict):
-    """Word -> 64-bit digest, computed once per distinct word; emptied at `limit` words to bound memory."""
+    """Word -> 64-bit digest, computed once per distinct word; emptied at `limit` words (some 30 MB) to bound memory."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -57,6 +64,16 @@ def set_digest(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about `most` bytes in one string column: what a task holds beside its batch stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def as_bytes(col: pa.Array) -> list[bytes | None]:
     """Texts of an Arrow string column as UTF-8 bytes (no decoding)."""
     if isinstance(col, pa.ChunkedArray):
@@ -64,6 +81,28 @@ def as_bytes(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def _give_back() -> None:
+    """Hands memory that is free but still held back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run):
+    """A task's function over an iterator of batches that gives its memory back when it ends. Workers are reused and several wait
+    idle beside the ones that run, so what one holds on to counts for as long as the executor lives."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 class PlainIds(WordIds):
     """As `WordIds`, of words in lower case (A-Z) and without punctuation at their ends."""
 

@@ -95,6 +95,48 @@ def test_near_duplicates_match_all_pairs(spark, words):
         assert {i: r.n_shingles for i, r in got.items()} == {i: len(shingle_set(t, words)) for i, t in rows}
 
 
+def test_an_id_on_several_texts_is_one_node_and_loses_none(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (5, ""), (5, a), (6, c), (6, c + " more"), (7, None), (8, c)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars int")
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == {(3, 3), (5, 3), (6, 6), (8, 6)}
+    for parts in (1, 5):
+        kept = neardup.keep_one_of_each(docs.repartition(parts, "n_chars"))
+        assert kept.columns == docs.columns
+        texts = sorted((r.text or "" for r in kept.collect()))
+        # One of each group: a, b, one of c and c + more, and the texts without words.
+        assert texts in (sorted([a, b, c, "", ""]), sorted([a, b, c + " more", "", ""]))
+        assert {r.doc_id for r in kept.collect() if r.text == b} == {3}
+        assert rows_of_all(kept) == rows_of_all(neardup.keep_one_of_each(docs.repartition(3)))
+
+
+def rows_of_all(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_edges_of_a_family_grow_with_its_rows(spark, monkeypatch):
+    """Near copies of one text around the threshold: what goes into components grows about in proportion."""
+    seen = []
+    plain = neardup.connected_components
+    monkeypatch.setattr(neardup, "connected_components", lambda edges, *a: (seen.append(edges.count()), plain(edges, *a))[1])
+    sizes = {}
+    for n in (400, 1600):
+        rng = np.random.default_rng(4)
+        words = [f"w{i}" for i in range(60)]
+        rows = []
+        for i in range(n):
+            w = list(words)
+            for at in rng.integers(0, 60, int(rng.integers(0, 4))):
+                w[at] = f"x{rng.integers(10**6)}"
+            rows.append((i, " ".join(w)))
+        seen.clear()
+        neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2, tile=64).count()
+        sizes[n] = sum(seen)
+    assert sizes[1600] < 4.8 * sizes[400], sizes
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = neardup.near_duplicates(docs, words=2).collect()
