@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 # filters up to this many rows per key are applied before the shuffle too.
 PINNED = {"spark.sql.session.timeZone": "UTC", "spark.sql.optimizer.windowGroupLimitThreshold": "2000"}
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 
 def pin_utc(spark: SparkSession) -> SparkSession:
     for key, value in PINNED.items():
@@ -21,6 +23,14 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by bytes too: ten thousand long texts in one batch are tens of megabytes, several times over, on
+    both sides of a Python worker. A bound that the session has been given stays."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+    return spark
+
+
 def build_session(master: str | None = None, app: str = "costloom", **conf: str) -> SparkSession:
     """A session with UTC time, AQE and skew-join handling; `conf` overrides any key (dots as `__`)."""
     builder = (
