@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from costloom.functions.text import col, is_blank
@@ -21,6 +23,27 @@ PATH_PATTERNS = (
     r"~/[^\s|]+",
 )
 
+# Cheap necessary conditions: a text without one of these has no match of its pattern, so the costly Unicode-aware pattern is not
+# run on it. (Without case, s, k and i also stand for the long s, the Kelvin sign and the two Turkish i.)
+NEEDS: dict[str, Callable[[Column], Column]] = {
+    SECRET_PATTERNS[0]: lambda c: c.contains("-"),
+    SECRET_PATTERNS[1]: lambda c: c.contains(":") | c.contains("="),
+    SECRET_PATTERNS[2]: lambda c: c.rlike("[0-9a-fA-F]{32}"),
+    SECRET_PATTERNS[3]: lambda c: c.rlike("[A-Za-z0-9+/\u017f\u212a\u0130\u0131]{40}"),
+    PATH_PATTERNS[0]: lambda c: c.contains("/"),
+    PATH_PATTERNS[1]: lambda c: c.contains(":\\"),
+    PATH_PATTERNS[2]: lambda c: c.contains("~/"),
+}
+
+
+def _replaced(value: Column, pattern: str, flags: str) -> Column:
+    """`value` without matches. A lambda names the value, which would else stand in the plan three times per pattern."""
+    done = lambda c: F.regexp_replace(c, flags + pattern, MARKER)
+    need = NEEDS.get(pattern)
+    if need is None:
+        return done(value)
+    return F.get(F.transform(F.array(value), lambda c: F.when(need(c), done(c)).otherwise(c)), F.lit(0))
+
 
 def redact(
     c: Column | str,
@@ -36,9 +59,9 @@ def redact(
     for d in denied or []:
         out = F.when(is_blank(d), out).otherwise(F.replace(out, col(d), F.lit(MARKER)))
     for pattern in secrets:
-        out = F.regexp_replace(out, "(?iU)" + pattern, MARKER)
+        out = _replaced(out, pattern, "(?iU)")
     for pattern in PATH_PATTERNS:
-        out = F.regexp_replace(out, "(?U)" + pattern, MARKER)
+        out = _replaced(out, pattern, "(?U)")
     if max_chars is not None:
         out = F.left(out, F.lit(max_chars))
     return F.when(is_blank(c), F.lit("")).otherwise(out)

@@ -117,8 +117,7 @@ def import_documents(
 
     The kept copy is the one with the smallest uri; ids derive from the content hash.
     """
-    docs, per_file = files.read_document_tree(spark, path, since, now)
-    report = files.import_report(per_file)
+    docs, report = files.stage_document_tree(spark, path, since, now)
     files.require_some(report, "Documents")
     firsts = docs.groupBy("content_hash").agg(F.min("uri").alias("uri"))
     unique = docs.join(firsts, ["content_hash", "uri"], "left_semi")

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from costloom import schemas
 from costloom.functions import text
-from costloom.operators import normalize, pricing
+from costloom.operators import merge, normalize, pricing, reports, search
 from costloom.plans import feeds
-from costloom.plans.catalogue import TOK, Query, _aggregate, flat
+from costloom.plans.catalogue import TOK, Query, _aggregate, _old_buckets, flat
 from costloom.session import ensure_checkpoint_dir, stage
 from costloom.sources import envelopes, files, topics
-from costloom.streaming import jobs
+from costloom.streaming import jobs, stores
 from costloom.streaming.tables import BatchTable
 
 RUN_VIEW = (
@@ -71,17 +71,29 @@ def _traces(spark: SparkSession, d: str) -> DataFrame:
     return envelopes.parse_trace(_sent(spark, d))
 
 
-def _as_files(lines: DataFrame, name: str, by: Column, order: str) -> str:
-    """Lines written as text files of a fresh shared folder, a folder for each value of `by`, in order."""
+# Lines of a file where a query writes a table as files.
+FILE_LINES = 2_000
+
+
+def _as_files(lines: DataFrame, name: str) -> str:
+    """Lines (ord, value) as text files of a fresh shared folder, so many in a file; names are in the order of `ord`."""
     path = _fresh_folder(lines.sparkSession, name)
-    parts = lines.withColumn("g", by).repartition("g").sortWithinPartitions("g", order)
+    parts = lines.withColumn("g", F.lpad(F.expr(f"ord div {FILE_LINES}").cast("string"), 12, "0")).repartition("g").sortWithinPartitions("g", "ord")
     parts.select("g", "value").write.partitionBy("g").option("compression", "none").text(path)
     return path
 
 
+def _one_file_each(lines: DataFrame, name: str, by: str, order: str) -> str:
+    """A text file for each value of `by`, with its lines in order, all in one folder."""
+    path = _fresh_folder(lines.sparkSession, name)
+    texts = lines.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "value"))), lambda r: r["value"]), "\n").alias("value"))
+    texts.select("value").write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    return path
+
+
 def ledger_files(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger as four groups of files, read back by the file source: ties go to the first file, then line."""
-    path = _as_files(_ledger_lines(spark, d), "ledger", F.col("ord") % 4, "ord")
+    """The ledger as files of some lines each, read back by the file source: ties go to the first file, then line."""
+    path = _as_files(_ledger_lines(spark, d), "ledger")
     return flat(normalize.normalize_ledger(files.read_ledger(spark, path)[0]), *RUN_VIEW)
 
 
@@ -92,14 +104,65 @@ def otlp_redelivery(spark: SparkSession, d: str) -> DataFrame:
     return flat(normalize.normalize_otlp(envelopes.parse_trace(early.unionByName(_sent(spark, d)))), *RUN_VIEW)
 
 
+def _row_payloads(spark: SparkSession, d: str, last: Column) -> DataFrame:
+    """Every span as a payload of its own, by its counter: a trace of it, a foreign object that only mentions one, a trace cut
+    short, or `last`."""
+    key = F.struct(F.lit("session.id").alias("key"), F.struct(F.col("session_id").alias("stringValue")).alias("value"))
+    span = F.struct(F.col("handle").alias("name"), F.unix_micros("started_at").cast("string").alias("startTimeUnixNano"))
+    resource = F.struct(F.struct(F.array(key).alias("attributes")).alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))
+    trace = F.to_json(F.struct(F.array(resource).alias("resourceSpans")))
+    foreign = F.to_json(F.struct(F.lit("resourceSpans").alias("kind"), "handle", "role"))
+    kinds = F.array(trace, foreign, F.left(trace, F.length(trace) - 1 - F.col("k") % 7), last)
+    return feeds.raw_spans(spark, d).withColumn("payload", F.get(kinds, F.col("k") % 4))
+
+
 def quarantine_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Good, broken, blank and foreign payloads by reason."""
-    payloads = F.array(*[F.lit(p) for p in ('{"resourceSpans":[]}', '{"a":"resourceSpans"}', "{bad", " ")])
-    rows = feeds.raw_spans(spark, d).select(F.get(payloads, F.col("k") % 4).alias("payload"))
-    good, bad = envelopes.quarantine(rows)
+    """Payloads of all spans by reason: good, broken, blank and foreign ones."""
+    good, bad = envelopes.quarantine(_row_payloads(spark, d, F.repeat(F.lit(" "), F.col("k") % 5)).select("payload"))
     return good.withColumn("reason", F.lit("good")).unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def log_session_key(spark: SparkSession, d: str) -> DataFrame:
+    """Log payloads of all spans: rejected ones by reason, good ones by session key; every ninth names no session."""
+    name = F.when(F.col("k") % 2 == 0, F.lit("session.id")).otherwise(F.lit("session_id"))
+    value = F.struct(F.col("session_id").alias("stringValue"))
+    attributes = F.array(F.struct(F.lit("host").alias("key"), value.alias("value")), F.struct(name.alias("key"), value.alias("value")))
+    body = F.array(F.struct(F.array(F.struct(F.array(F.struct("role", "handle")).alias("logRecords"))).alias("scopeLogs"), F.struct(attributes.alias("attributes")).alias("resource")))
+    log = F.when(F.col("k") % 9 != 4, F.to_json(F.struct(body.alias("resourceLogs")))).otherwise(F.to_json(F.struct("role")))
+    payload = F.when(F.col("k") % 10 == 3, F.left(log, F.length(log) - 2)).when(F.col("k") % 10 == 5, F.lit(" ")).otherwise(log)
+    good, bad = envelopes.quarantine_logs(feeds.raw_spans(spark, d).select(payload.alias("payload")))
+    rows = good.select(F.lit("good").alias("reason"), "session_key").unionByName(bad.select("reason", F.lit("").alias("session_key")))
+    return rows.groupBy("reason", "session_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def otlp_files(spark: SparkSession, d: str) -> DataFrame:
+    """The envelopes of all sessions as files, one document each, read back by the file source and normalized."""
+    sent = _sent(spark, d).select("payload")
+    path = _fresh_folder(spark, "otlp")
+    sent.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    found, bad = envelopes.quarantine(envelopes.read_otlp(spark, path))
+    unique = envelopes.dedupe_envelopes(found.unionByName(bad.drop("reason")))
+    return flat(normalize.normalize_otlp(envelopes.parse_trace(unique)), *RUN_VIEW)
+
+
+def run_log_files(spark: SparkSession, d: str) -> DataFrame:
+    """`run_log_normalize` with a file for each session, read back by the file source."""
+    lines = _run_log_lines(spark, d)
+    path = _one_file_each(lines, "run-logs", "file", "line_no")
+    return flat(normalize.normalize_run_log(files.read_run_logs(spark, path, "*.txt")), *RUN_VIEW)
+
+
+def document_tree(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as files, read back as a tree; every thirteenth holds a NUL, and long ones are over the size bound."""
+    docs = feeds.table(spark, d, "documents")
+    body = F.when(F.col("doc_id") % 13 == 5, F.concat(F.col("text"), F.lit("\x00"))).otherwise(F.col("text"))
+    path = _fresh_folder(spark, "documents")
+    docs.select(body.alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    found, report = files.read_document_tree(spark, path, max_bytes=4_000)
+    counts = report.groupBy("skipped").agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("skipped"), "skipped").otherwise("read").alias("content_hash"), "n")
+    return found.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).unionByName(counts)
+
+
 def reconcile_eligible(spark: SparkSession, d: str) -> DataFrame:
     """Ledger rows fit for reconciliation per session; some lack a count or the peak flag."""
     rows = _ledger(spark, d).withColumn("peak", F.when(F.col("ord") % 7 != 0, F.col("peak"))).withColumn(
@@ -129,15 +192,16 @@ def envelope_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dispatch(spark: SparkSession, d: str) -> DataFrame:
-    payloads = F.array(*[F.lit(p) for p in ('{"resourceSpans":[]}', '{"a":"resourceSpans"}', "{bad", '["resourceSpans"]')])
+    """Routes of all spans' payloads; every source but the trace one decides alone."""
     source = F.when(F.col("role") == "error", normalize.SOURCE_LEDGER).when(F.col("role") == "click", "odd").when(
         F.col("role") == "signup", normalize.SOURCE_RUN_LOG
     )
-    rows = feeds.raw_spans(spark, d).select(source.alias("source"), F.get(payloads, F.col("k") % 4).alias("payload"))
+    listed = F.to_json(F.array(F.lit("resourceSpans"), F.col("handle")))
+    rows = _row_payloads(spark, d, listed).select(source.alias("source"), "payload")
     return normalize.dispatch(rows).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_log_normalize(spark: SparkSession, d: str) -> DataFrame:
+def _run_log_lines(spark: SparkSession, d: str) -> DataFrame:
     """Each session as a run-log file: views are meta lines, purchases result lines."""
     kind = F.when(F.col("role") == "view", "meta").when(F.col("role") == "purchase", "result").otherwise("user")
     usage = F.struct(
@@ -148,8 +212,11 @@ def run_log_normalize(spark: SparkSession, d: str) -> DataFrame:
         kind.alias("type"), (F.unix_millis("started_at") / 1000.0).alias("started"), "handle", "persona", "session_id",
         (F.col("k") % 2 == 0).alias("is_error"), F.when(F.col("k") % 3 != 0, "end").alias("stop_reason"), usage.alias("usage"),
     )
-    lines = feeds.raw_spans(spark, d).select(F.col("session_id").alias("file"), F.col("ord").alias("line_no"), F.to_json(body).alias("value"))
-    return flat(normalize.normalize_run_log(files.parse_json(lines, schemas.RUN_LOG)), *RUN_VIEW)
+    return feeds.raw_spans(spark, d).select(F.col("session_id").alias("file"), F.col("ord").alias("line_no"), F.to_json(body).alias("value"))
+
+
+def run_log_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return flat(normalize.normalize_run_log(files.parse_json(_run_log_lines(spark, d), schemas.RUN_LOG)), *RUN_VIEW)
 
 
 def _ring_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -170,12 +237,8 @@ def usage_ring_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def usage_ring_files(spark: SparkSession, d: str) -> DataFrame:
-    """The usage ring as four groups of files, read back by the file source."""
-    lines = _ring_lines(spark, d)
-    path = _fresh_folder(spark, "ring")
-    parts = lines.withColumn("g", F.col("ord") % 4).repartition("g").sortWithinPartitions("g", "ord")
-    parts.select("g", "value").write.partitionBy("g").option("compression", "none").text(path)
-    entries = files.parse_json(files.read_lines(spark, path, "*.txt"), schemas.USAGE_RING).withColumn("ord", files.line_order())
+    """The usage ring as files of some lines each, read back by the file source."""
+    entries = files.read_usage_ring(spark, _as_files(_ring_lines(spark, d), "ring"), "*.txt")
     return flat(normalize.normalize_usage_ring(entries), *RUN_VIEW)
 
 
@@ -223,9 +286,7 @@ def transcript_files(spark: SparkSession, d: str) -> DataFrame:
     """A file for each conversation, every seventh with a broken line: those are skipped whole."""
     lines = _transcript_lines(spark, d).withColumn("n", F.col("line_no"))
     broken = lines.where("n = 0 and cast(file as bigint) % 7 = 3").withColumn("value", F.lit("{broken")).withColumn("n", F.lit(-1).cast("bigint"))
-    path = _fresh_folder(spark, "transcripts")
-    both = lines.unionByName(broken).withColumn("g", F.col("file")).repartition("g").sortWithinPartitions("g", "n")
-    both.select("g", "value").write.partitionBy("g").option("compression", "none").text(path)
+    path = _one_file_each(lines.unionByName(broken), "transcripts", "file", "n")
     good, _ = files.skip_bad_files(files.parse_json(files.read_lines(spark, path, "*.txt"), schemas.TRANSCRIPT))
     runs = normalize.normalize_transcript_runs(normalize.transcript_events(good))
     return flat(runs, "session_id", "source", "model_slug", "status", "started_at", "ended_at", *TOK)
@@ -312,6 +373,69 @@ def stream_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return flat(lake.aggregates.current())
 
 
+def stream_admission_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """`admission_budget` as a stream of five batches in which requests come in any order; the last, far later request of each
+    batch file only moves the watermark."""
+    root = _fresh_folder(spark, "ordered")
+    requests = feeds.table(spark, d, "events").select(F.col("user_id").alias("principal"), F.col("event_id").alias("arrival"), F.col("ts").cast("timestamp").alias("at"))
+    # One file a batch; which request comes in which batch has nothing to do with its time.
+    shuffled = requests.withColumn("batch", F.pmod(F.xxhash64("arrival"), F.lit(5)))
+    for n in range(5):
+        shuffled.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    last = requests.agg(F.max("at").alias("at")).select(F.lit(-1).cast("bigint").alias("principal"), F.lit(-1).cast("bigint").alias("arrival"), (F.col("at") + F.expr("INTERVAL 400 DAYS")).alias("at"))
+    for n in range(3):
+        last.select("principal", "arrival", (F.col("at") + F.make_dt_interval(F.lit(n * 10))).alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = jobs.stream_admission_ordered(stream, 3, 86_400, delay="366 days")
+    writer = out.writeStream.format("parquet").option("path", f"{root}/out")
+    jobs._start(writer, f"{root}/checkpoint", True).awaitTermination()
+    done = spark.read.schema("principal string, arrival bigint, accepted boolean").parquet(f"{root}/out").where("arrival >= 0")
+    return flat(done, F.col("principal").cast("bigint").alias("principal"), "arrival", "accepted")
+
+
+def stored_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The aggregate stored by day: old buckets first, then refreshed from half of the runs and from all of them. Days that
+    no run covers keep their old buckets."""
+    table = stores.DayTable(spark, f"{_fresh_folder(spark, 'days')}/aggregate")
+    table.put(_old_buckets(spark, d))
+    runs, messages = feeds.runs(spark, d), feeds.messages(spark, d)
+    for some in (runs.where(F.crc32("id") % 2 == 0), runs):
+        table.refresh(some, reports.public_aggregate(some, messages, min_size=2))
+    return flat(table.read())
+
+
+def stream_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Run documents through the search and the embedding job; without messages a run's text is its searchable one."""
+    root = _fresh_folder(spark, "embeddings")
+    lake = jobs.Lake(spark, f"{root}/lake")
+    lake.priced.write(topics.priced_topic(feeds.runs(spark, d).withColumn("offset", F.lit(0).cast("bigint"))), 0)
+    jobs.stream_indexed(lake.topic(lake.priced), lake, f"{root}/c0").awaitTermination()
+    jobs.stream_embedded(lake.topic(lake.indexed), lake, f"{root}/c1", search.hashed_words()).awaitTermination()
+    return lake.embeddings.current().select("id", F.size("embedding").alias("dims"), "embedding_text")
+
+
+def stream_waste(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the priced runs by the findings job, in two batches of which the second repeats the first."""
+    root = _fresh_folder(spark, "findings")
+    lake = jobs.Lake(spark, f"{root}/lake")
+    arrival = F.lit(0).cast("bigint")
+    runs = stage(feeds.runs(spark, d).where("pricing_status = 'Priced'"), "priced-runs")
+    lake.runs.write(runs.withColumn("arrival", arrival), 0)
+    lake.messages.write(feeds.priced_messages(spark, d).withColumn("arrival", arrival), 0)
+    for n in range(2):
+        lake.priced.write(topics.priced_topic(runs.withColumn("offset", F.lit(n).cast("bigint"))), n)
+        jobs.stream_findings(lake.topic(lake.priced), lake, feeds.book(spark, d), f"{root}/checkpoint").awaitTermination()
+    return flat(lake.findings.current(), "run_id", "kind", "severity", "evidence", "wasted_cost_usd")
+
+
+def cross_source(spark: SparkSession, d: str) -> DataFrame:
+    """Every session from the ledger and from the usage ring: one run for both, decided like two deliveries."""
+    ledger = normalize.normalize_ledger(files.split_ledger(files.parse_json(_ledger_lines(spark, d), schemas.LEDGER))[0])
+    ring = normalize.normalize_usage_ring(files.parse_json(_ring_lines(spark, d), schemas.USAGE_RING))
+    both = ledger.withColumn("arrival", F.lit(0).cast("bigint")).unionByName(ring.withColumn("arrival", F.lit(1).cast("bigint")))
+    return flat(merge.merge_runs(both), *RUN_VIEW)
+
+
 def stream_admission(spark: SparkSession, d: str) -> DataFrame:
     """`admission_budget` as a stream with keyed state."""
     root = _fresh_folder(spark, "admission")
@@ -351,4 +475,13 @@ INGEST: dict[str, Query] = {
     "stream_activity": stream_activity,
     "stream_aggregate": stream_aggregate,
     "stream_admission": stream_admission,
+    "stored_refresh": stored_refresh,
+    "stream_embeddings": stream_embeddings,
+    "stream_waste": stream_waste,
+    "otlp_files": otlp_files,
+    "run_log_files": run_log_files,
+    "document_tree": document_tree,
+    "log_session_key": log_session_key,
+    "cross_source": cross_source,
+    "stream_admission_ordered": stream_admission_ordered,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from costloom import schemas
 from costloom.functions.text import col, content_hash, is_blank
-from costloom.operators.normalize import ATTR_PREFIX, SOURCE_LEDGER, is_otlp, parse_time, part_of
+from costloom.operators.normalize import ATTR_PREFIX, SOURCE_LEDGER, is_otlp, parse_time
 from costloom.session import stage
 
 # Resource attribute keys that name the session of an envelope.
@@ -34,6 +34,21 @@ def parse_trace(envelopes: DataFrame, payload: str = "payload") -> DataFrame:
     return envelopes.withColumn("trace", F.from_json(payload, schemas.OTLP_TRACE))
 
 
+def parse_logs(envelopes: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds `logs`: the typed log payload, of which the resources name the session; unknown fields are ignored."""
+    return envelopes.withColumn("logs", F.from_json(payload, schemas.OTLP_LOGS))
+
+
+def quarantine_logs(envelopes: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(log envelopes with `session_key`, rejected ones with `reason`), as `quarantine` for traces: an object without
+    resourceLogs is a log envelope of no session."""
+    parsed = F.from_json(payload, f"{schemas.OTLP_LOGS}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    reason = F.when(is_blank(payload), F.lit("empty")).when(F.col("_e").isNull() | F.col("_e._bad").isNotNull(), F.lit("malformed"))
+    tagged = envelopes.withColumn("_e", parsed).withColumn("reason", reason)
+    good = tagged.where(F.col("reason").isNull()).withColumn("session_key", envelope_session_key(F.col("_e.resourceLogs")))
+    return good.drop("_e", "reason"), tagged.where(F.col("reason").isNotNull()).drop("_e")
+
+
 def quarantine(envelopes: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(good envelopes, rejected ones with `reason`): nothing is lost and nothing stops the job."""
     parsed = F.from_json(payload, f"{schemas.OTLP_TRACE}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
@@ -195,20 +210,3 @@ def encode_ledger_parts(rows: DataFrame, prefix: str = ATTR_PREFIX, part_spans:
 
 def _sizes(spans: DataFrame) -> DataFrame:
     return spans.where(F.col("session_id").isNotNull()).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-def whole_deliveries(fresh: DataFrame, stored: DataFrame, prefix: str = ATTR_PREFIX) -> DataFrame:
-    """The envelopes of `fresh` (payload, content_hash, arrival) that can be counted now: those that are whole, and the
-    parts of deliveries of which the last part came, with their other parts from `stored` (payload, content_hash)."""
-    mark = F.col("payload").contains(f'"{prefix}.delivery"')
-    tagged = lambda df: parse_trace(df.where(mark)).withColumn("_p", part_of(F.col("trace.resourceSpans"), prefix)).drop("trace")
-    now = tagged(fresh)
-    if now.isEmpty():
-        return fresh
-    ids = now.where("_p.delivery is not null").select("_p.delivery").distinct()
-    earlier = tagged(stored.select("payload", "content_hash", F.lit(None).cast("bigint").alias("arrival")))
-    parts = now.unionByName(earlier).withColumn("delivery", F.col("_p.delivery")).join(ids, "delivery", "left_semi")
-    done = parts.groupBy("delivery").agg(F.count_distinct("_p.part").alias("n"), F.max("_p.parts").alias("of")).where("of is null or n >= of")
-    cols = ["payload", "content_hash", "arrival"]
-    plain = fresh.where(~mark).select(*cols).unionByName(now.where("_p.delivery is null").select(*cols))
-    return plain.unionByName(parts.join(done, "delivery", "left_semi").select(*cols))

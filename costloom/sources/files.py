@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from costloom import schemas
 from costloom.functions.text import content_hash, is_blank
 from costloom.operators.documents import MAX_FILE_BYTES
 from costloom.operators.normalize import parse_time
+from costloom.session import stage
 
 BAD = "_bad"
 
@@ -120,17 +121,38 @@ def split_ledger(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(ok).drop(BAD), parsed.where(~ok)
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_run_logs(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """Run-log lines; each file is one run."""
-    return parse_json(read_lines(spark, path), schemas.RUN_LOG)
+    return parse_json(read_lines(spark, path, glob), schemas.RUN_LOG)
 
 
-def read_usage_ring(spark: SparkSession, path: str) -> DataFrame:
+def read_usage_ring(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """Usage-ring entries with `ord`; other record types are dropped."""
-    parsed = parse_json(read_lines(spark, path), schemas.USAGE_RING)
+    parsed = parse_json(read_lines(spark, path, glob), schemas.USAGE_RING)
     return parsed.where(F.col("record_type") == "entry").withColumn("ord", line_order())
 
 
+def _tree(spark: SparkSession, path: str, since: str | datetime | None, now: datetime | None) -> DataFrame:
+    """All files of a tree within the time window, as the binary source lists them."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if now is not None:
+        listed = listed.where(F.col("modificationTime") <= F.lit(str(now)).cast("timestamp"))
+    since = parse_when(since)
+    if since is not None:
+        listed = listed.where(F.col("modificationTime") >= F.lit(str(since)).cast("timestamp"))
+    return listed
+
+
+def _texts(listed: DataFrame, max_bytes: int) -> DataFrame:
+    """uri, title, text, modified_at of the files that may be opened; the size filter reaches the source."""
+    return listed.where(F.col("length") <= max_bytes).select(
+        F.col("path").alias("uri"),
+        F.element_at(F.split("path", "/"), -1).alias("title"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+        F.col("modificationTime").alias("modified_at"),
+    )
+
+
 def read_document_tree(
     spark: SparkSession,
     path: str,
@@ -142,19 +164,8 @@ def read_document_tree(
 
     Oversized files are never opened (the size filter reaches the source); files with a NUL are binary.
     """
-    base = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    listed = base.load(path)
-    if now is not None:
-        listed = listed.where(F.col("modificationTime") <= F.lit(str(now)).cast("timestamp"))
-    since = parse_when(since)
-    if since is not None:
-        listed = listed.where(F.col("modificationTime") >= F.lit(str(since)).cast("timestamp"))
-    small = listed.where(F.col("length") <= max_bytes).select(
-        F.col("path").alias("uri"),
-        F.element_at(F.split("path", "/"), -1).alias("title"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-        F.col("modificationTime").alias("modified_at"),
-    )
+    listed = _tree(spark, path, since, now)
+    small = _texts(listed, max_bytes)
     binary = F.col("text").contains("\x00")
     docs = small.where(~binary).withColumn("content_hash", content_hash("text"))
     report = (
@@ -163,3 +174,29 @@ def read_document_tree(
         .unionByName(small.select(F.col("uri").alias("file"), binary.alias("skipped")))
     )
     return docs, report
+
+
+def stage_document_tree(
+    spark: SparkSession,
+    path: str,
+    since: str | datetime | None = None,
+    now: datetime | None = None,
+    max_bytes: int = MAX_FILE_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """As `read_document_tree`, opening every file once: the documents staged, and the one-row `import_report`, whose counts
+    are observed while the documents are written. Oversized files are counted from the listing alone."""
+    listed = _tree(spark, path, since, now)
+    binary = F.col("text").contains("\x00")
+    seen = Observation("document-files")
+    watched = _texts(listed, max_bytes).observe(
+        seen, F.count(F.lit(1)).alias("files"), F.count_if(binary).alias("binary"), F.max(F.when(binary, F.col("uri"))).alias("last")
+    )
+    docs = stage(watched.where(~binary).withColumn("content_hash", content_hash("text")), "document-tree")
+    got = seen.get
+    large = listed.where(F.col("length") > max_bytes).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last"))
+    report = large.select(
+        (F.col("n") + F.lit(got["files"])).alias("files_processed"),
+        (F.col("n") + F.lit(got["binary"])).alias("files_skipped"),
+        F.greatest(F.col("last"), F.lit(got["last"]).cast("string")).alias("last_skipped_file"),
+    )
+    return docs, report

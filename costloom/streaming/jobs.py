@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from costloom import schemas
 from costloom.operators import admission, merge, normalize, pricing, search, waste
 from costloom.sources import envelopes, topics
+from costloom.streaming.stores import FencedTable, PendingParts, SeenHashes
 from costloom.streaming.tables import BUCKETS, BatchTable, MergedTable, Numbers, latest
 
 DELIVERY_DDL = f"{schemas.RUNS}, arrival bigint"
@@ -69,7 +70,7 @@ class Lake:
     indexed: BatchTable = field(init=False)
     embeddings: MergedTable = field(init=False)
     findings: MergedTable = field(init=False)
-    aggregates: MergedTable = field(init=False)
+    aggregates: FencedTable = field(init=False)
     activity: MergedTable = field(init=False)
 
     def __post_init__(self) -> None:
@@ -85,9 +86,7 @@ class Lake:
         self.embeddings = MergedTable(s, f"{r}/embeddings", EMBED_DDL, EMBED_STATE_DDL, latest(["id"]))
         self.findings = MergedTable(s, f"{r}/findings", schemas.FINDINGS, schemas.FINDINGS, _fold_findings)
         self.activity = MergedTable(s, f"{r}/activity", ACTIVITY_DDL, ACTIVITY_DDL, _fold_activity)
-        self.aggregates = MergedTable(
-            s, f"{r}/aggregate", AGG_DDL, schemas.AGGREGATE, latest(["bucket_day", "model_slug", "service"])
-        )
+        self.aggregates = FencedTable(s, f"{r}/aggregate", AGG_DDL, schemas.AGGREGATE, ["bucket_day", "model_slug", "service"])
 
     def topic(self, table: BatchTable) -> DataFrame:
         """A written topic as a stream, offsets included."""
@@ -145,25 +144,25 @@ def stream_priced(
 ) -> StreamingQuery:
     """raw envelopes -> dedupe -> normalize -> price -> run deliveries -> priced topic.
 
-    Hashes seen before, in this batch or any earlier one, are dropped by keyed streaming state, so a batch
-    never looks back at the stored envelopes for them. A delivery in several parts counts in the batch that brings its
-    last part; only then are its other parts read back. Bad payloads go to `rejects` with a reason.
+    Hashes seen before are dropped: a Bloom filter of fixed size tells most new ones apart, the rest meet the stored hashes of
+    their buckets. A delivery in several parts counts in the batch that brings its last part; the others wait in a store
+    of open deliveries, so neither lookup reads what is settled. Bad payloads go to `rejects` with a reason.
     """
+    writer = f"priced@{checkpoint}"
+    seen, pending = SeenHashes(lake.spark, lake.root, writer, lake.buckets), PendingParts(lake.spark, lake.root, writer, prefix)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = envelopes.quarantine(batch)
+        good, bad = envelopes.quarantine(seen.first(batch, batch_id))
         lake.rejects.write(bad, batch_id)
         fresh = good.select("payload", "content_hash", "arrival")
-        # A retry does not count what its first try stored.
-        stored = lake.envelopes.read().where(F.col("batch_id") != batch_id)
-        whole = envelopes.whole_deliveries(fresh, stored, prefix)
+        whole = pending.settle(fresh, batch_id)
         lake.runs.write(pricing.price_runs(deliveries_of(whole, batch_id, prefix), book), batch_id)
         key = envelopes.envelope_session_key(F.col("trace.resourceSpans"))
         lake.envelopes.write(envelopes.parse_trace(fresh).withColumn("session_key", key), batch_id)
         written = lake.runs.batches.read().where(F.col("batch_id") == batch_id)
         lake.priced.write(topics.priced_topic(written.withColumn("offset", F.col("arrival"))), batch_id)
 
-    return _each_batch(raw.dropDuplicates(["content_hash"]), lake, "priced", handle, checkpoint, available_now)
+    return _each_batch(raw, lake, "priced", handle, checkpoint, available_now)
 
 
 def stream_indexed(priced: DataFrame, lake: Lake, checkpoint: str, available_now: bool = True) -> StreamingQuery:
@@ -226,17 +225,43 @@ def stream_latest_aggregate(
     """aggregate topic -> latest value per (day, model, service).
 
     With `durable`, every batch also replaces the whole state by the durable table, so withdrawn buckets
-    vanish; run it from a slow trigger beside the plain one.
+    vanish; `stream_reconcile` does that on a trigger of its own.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         lake.aggregates.write(topics.from_topic(batch.drop("batch_id"), topics.PUBLIC_AGGREGATE), batch_id)
         if durable is not None:
-            lake.aggregates.replace(durable(), batch_id)
+            _reconcile(lake, durable, batch_id)
 
     return _each_batch(topic, lake, "aggregate", handle, checkpoint, available_now)
 
 
+def _reconcile(lake: Lake, durable: Callable[[], DataFrame], batch_id: int) -> None:
+    # The durable table is written before its rows are published: read after the fence, it holds all of them up to it.
+    fence = lake.aggregates.newest()
+    lake.aggregates.replace(durable(), batch_id, fence)
+
+
+def stream_reconcile(
+    lake: Lake, durable: Callable[[], DataFrame], checkpoint: str, seconds: int = 300, available_now: bool = False
+) -> StreamingQuery:
+    """Replaces the aggregate's state by the durable table at its own pace, whether or not the topic brings anything.
+
+    Rows that the topic brings later, or brought since the table was read, keep counting: the replacement only stands
+    for versions up to the highest one seen before the table was read.
+    """
+    ticks = lake.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+    def handle(_: DataFrame, batch_id: int) -> None:
+        _reconcile(lake, durable, lake.numbers.of(f"reconcile@{checkpoint}", batch_id))
+
+    writer = ticks.writeStream.foreachBatch(handle)
+    if not available_now:
+        writer = writer.trigger(processingTime=f"{seconds} seconds")
+        return writer.option("checkpointLocation", checkpoint).start()
+    return _start(writer, checkpoint, True)
+
+
 def stream_activity(
     events: DataFrame, at: str, lake: Lake, checkpoint: str, minutes: int = 60, available_now: bool = True
 ) -> StreamingQuery:
@@ -292,3 +317,78 @@ def stream_admission(
     return keyed.groupBy("principal").applyInPandasWithState(
         decide, "principal string, arrival bigint, accepted boolean", "taken array<bigint>", "append", "NoTimeout"
     )
+
+
+class _OrderedAdmission(StatefulProcessor):
+    """Requests wait until the watermark has passed them, are decided in time order, and leave with their window."""
+
+    def __init__(self, limit: int, width: int):
+        self.limit, self.width = limit, width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "us bigint, arrival bigint")
+        self.taken = handle.getListState("taken", "us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
+        first = None
+        for part in rows:
+            us = part["us"].to_numpy()
+            self.pending.appendList(list(zip(us.tolist(), part["arrival"].tolist())))
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+        # The timer goes off once the watermark has reached the earliest of them.
+        self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
+        import pandas as pd
+
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.pending.get())
+        taken = deque(us for (us,) in self.taken.get())
+        arrivals, accepted, at = [], [], 0
+        while at < len(waiting) and waiting[at][0] <= now:
+            us, arrival = waiting[at]
+            while taken and us - taken[0] >= self.width:
+                taken.popleft()
+            accepted.append(len(taken) < self.limit)
+            if accepted[-1]:
+                taken.append(us)
+            arrivals.append(arrival)
+            at += 1
+        while taken and now - taken[0] >= self.width:
+            taken.popleft()
+        for state, held in ((self.pending, waiting[at:]), (self.taken, [(us,) for us in taken])):
+            state.put(held) if held else state.clear()
+        if at < len(waiting):
+            self.handle.registerTimer(waiting[at][0] // 1000 + 1)
+        elif taken:
+            self.handle.registerTimer((taken[-1] + self.width) // 1000 + 1)
+        if arrivals:
+            yield pd.DataFrame({
+                "principal": pd.Series([key[0]] * len(arrivals), dtype=object), "arrival": pd.Series(arrivals, dtype="int64"), "accepted": pd.Series(accepted, dtype=bool),
+            })
+
+    def close(self) -> None:
+        pass
+
+
+def stream_admission_ordered(
+    requests: DataFrame, limit: int = admission.MAX_REQUESTS, window_seconds: int = admission.WINDOW_SECONDS, delay: str = "1 minute"
+) -> DataFrame:
+    """Streaming `admit` in event-time order: requests (principal, arrival, at) that come in any order within `delay` get
+    the answers that they would get in time order.
+
+    A request is answered once the watermark has passed it; one that comes later than `delay` is not answered, and that is a
+    refusal. State is a principal's unanswered requests and the accepted ones still in its window; timers drop both, so a
+    principal that has gone quiet leaves nothing behind.
+    """
+    keyed = requests.select(
+        F.col("principal").cast("string").alias("principal"), F.col("arrival").cast("bigint").alias("arrival"), F.unix_micros("at").alias("us"), "at"
+    )
+    return keyed.withWatermark("at", delay).groupBy("principal").transformWithStateInPandas(
+        statefulProcessor=_OrderedAdmission(limit, window_seconds * 1_000_000),
+        outputStructType="principal string, arrival bigint, accepted boolean",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
