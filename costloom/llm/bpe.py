@@ -24,6 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from costloom.llm.wordhash import released
+from costloom.session import bound_batches
+
 # The vocabulary is sent to every executor; a rank file above this many bytes is refused.
 MAX_RANK_BYTES = 64_000_000
 CACHE_PIECES = 150_000
@@ -192,6 +195,7 @@ def _parts(texts: pa.Array) -> Iterator[list[str | None]]:
 def _model(spark: SparkSession, ranks_path: str):
     """The vocabulary as a broadcast: the driver reads the file, executors need not have it."""
     ranks = read_ranks(ranks_path)
+    bound_batches(spark)
     return spark.sparkContext.broadcast(tokenizer_json(ranks))
 
 
@@ -267,7 +271,7 @@ def round_trip(spark: SparkSession, text: Column, ranks_path: str, pattern: str,
             yield pa.StructArray.from_arrays([*cols, *[_lists(rows)] * ids], fields)
 
     kinds = ["bigint", "string", "string", "boolean", "array<int>"]
-    return arrow_udf(run, f"struct<{','.join(f'{n}:{k}' for n, k in zip(fields, kinds, strict=False))}>")(text)
+    return arrow_udf(released(run), f"struct<{','.join(f'{n}:{k}' for n, k in zip(fields, kinds, strict=False))}>")(text)
 
 
 def stream_texts(ids: list[int], table: dict[int, bytes]) -> list[str]:

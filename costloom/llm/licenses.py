@@ -16,14 +16,16 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from costloom.llm import wordhash
+from costloom.session import bound_batches
 
 GRAM = 2
 WINDOW = 2
-BAND = 6
+BAND, WIDEST = 6, 40
 LEAST_COVERAGE = 0.75
 # Share of a template's fingerprints that must be hit on nearby diagonals; one is enough for short templates.
 LEAST_HITS = 0.1
@@ -35,6 +37,30 @@ SAME_PLACE = 0.8
 MAX_TEMPLATE_BYTES = 16_000_000
 _WORD = re.compile(rb"[^ \t-\r]+")
 
+
+class Words(wordhash.PlainIds):
+    """Digests of words without punctuation and comment marks at their ends. A word of nothing else (`#`, `*`, `//`, `--`, `;`)
+    and a comment word is NOTHING and no part of a text's sequence."""
+
+    # Words that open a comment line.
+    COMMENT_WORDS = (b"rem", b"dnl")
+
+    ENDS = wordhash.PlainIds.ENDS + b"/-_=|~+%\\"
+    NOTHING = np.uint64(xxhash.xxh3_64_intdigest(b""))
+
+    def __missing__(self, word: bytes) -> int:
+        if word.lower().strip(self.ENDS) in self.COMMENT_WORDS:
+            self[word] = int(self.NOTHING)
+            return int(self.NOTHING)
+        return super().__missing__(word)
+
+    def sequence(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(digests, positions) of the words that count."""
+        all_of = self.of(words)
+        at = np.flatnonzero(all_of != self.NOTHING)
+        return all_of[at], at
+
+
 # License statements and notices, id -> texts; those of the files come on top.
 TEMPLATES = {
     "Apache-2.0": [
@@ -117,15 +143,15 @@ class Index:
     def _of(cls, templates: dict[str, list[str]], gram: int, window: int) -> "Index":
         if sum(len(t.encode()) for ts in templates.values() for t in ts) > MAX_TEMPLATE_BYTES:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_BYTES} bytes")
-        ids = wordhash.PlainIds()
+        ids = Words()
         names, words, rows, must = [], [], [], []
         for name, texts in templates.items():
             for text in texts:
                 cut = text.encode().split()
-                w = ids.of([c.removeprefix(b"%") for c in cut])
+                w, at = ids.sequence([c.removeprefix(b"%") for c in cut])
                 if len(w):
                     rows += [(int(d), len(names), int(p)) for d, p in zip(*winnow(w, gram, window), strict=True)]
-                    must.append(w[[c.startswith(b"%") for c in cut]])
+                    must.append(w[[cut[i].startswith(b"%") for i in at]])
                     names.append(name)
                     words.append(w)
         rows.sort()
@@ -133,7 +159,9 @@ class Index:
         return cls(names, words, np.array(cols[0], np.uint64), np.array(cols[1], np.int64), np.array(cols[2], np.int64), must, gram, window)
 
     def band(self, template: int) -> int:
-        return max(BAND, len(self.words[template]) // 100)
+        """Words of drift: an eighth of a short template, for marks that are words (`REM`, `dnl`) or line numbers."""
+        n = len(self.words[template])
+        return max(BAND, min(n // 8, WIDEST), n // 100)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(template, diagonal): places where the template may start. Hits whose diagonals lie within a band are one
@@ -163,36 +191,33 @@ class Index:
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matches, first, last + 1): the alignment with most matching words, then the tightest span.
+    """(matches, first, last + 1): the alignment with most matching words, then the latest start, then the earliest end.
 
-    Cell (i, o) stands for template word i and text word i + diagonal + o, with o inside the band. Words may be skipped on
-    either side; a cell's value is (matches, -first matched position), so that later starts win ties.
+    Cell (i, o) stands for template word i and text word i + diagonal + o - band, with o inside the band. Words may be skipped on
+    either side. A cell is one number: matches, first and negated last matched place in falling weight, so that a row is
+    the larger of the cells above and across, carried along the text by a running maximum.
     """
-    width, none = 2 * band + 1, (0, 1)
-    row: list[tuple[int, int, int]] = [(0, 1, 0)] * width  # matches, -first (1: none yet), last + 1
+    width, low = 2 * band + 1, diagonal - band
+    at = np.arange(low, low + len(template) + width)
+    inside = (at >= 0) & (at < len(text))
+    near = text[np.clip(at, 0, len(text) - 1)]
+    row = np.zeros(width + 1, np.int64)  # one more: nothing lies beyond the band
+    place = np.arange(width, dtype=np.int64)
     for i, word in enumerate(template):
-        new: list[tuple[int, int, int]] = []
-        for o in range(width):
-            j = i + diagonal + o - band
-            best = row[o + 1] if o + 1 < width else (*none, 0)
-            if o and new[o - 1][:2] > best[:2]:
-                best = new[o - 1]
-            if 0 <= j < len(text) and text[j] == word:
-                m, f, _ = row[o]
-                hit = (m + 1, -j if m == 0 else f, j + 1)
-                if hit[:2] > best[:2] or m == 0 and best[0] == 0:
-                    best = hit
-            elif row[o][:2] > best[:2]:
-                best = row[o]
-            new.append(best)
-        row = new
-    m, f, last = max(row, key=lambda c: (c[0], c[1], -c[2]))
-    return (m, -f, last) if m else (0, 0, 0)
-
-
-def matches(text: bytes, index: Index, ids: wordhash.PlainIds, least: float = LEAST_COVERAGE) -> list[tuple[str, int, int, float]]:
+        r = place + i
+        hit = np.where(row[:-1] > 0, (row[:-1] & ~_LAST) + _ONE, _ONE | r << 20) | (_LAST - r)
+        across = np.where((near[i : i + width] == word) & inside[i : i + width], hit, row[:-1])
+        row[:-1] = np.maximum.accumulate(np.maximum(across, row[1:]))
+    best = int(row.max())
+    return (best >> 40, (best >> 20 & _LAST) + low, _LAST - (best & _LAST) + low + 1) if best else (0, 0, 0)
+
+
+_ONE, _LAST = 1 << 40, (1 << 20) - 1
+
+
+def matches(text: bytes, index: Index, ids: Words, least: float = LEAST_COVERAGE) -> list[tuple[str, int, int, float]]:
     """(license, start, end, coverage) in code points, by place; of overlapping reports of one license the best stays."""
-    words = ids.of(text.split())
+    words, own = ids.sequence(text.split())
     if not len(words):
         return []
     best: list[tuple[str, int, int, float, int]] = []
@@ -206,7 +231,7 @@ def matches(text: bytes, index: Index, ids: wordhash.PlainIds, least: float = LE
                 continue
             m, first, end = align(template, words, d, band)
             # The span must not be much longer than the template: matched words far apart are chance.
-            if m and m / len(template) >= least and end - first <= len(template) + band and np.isin(part.must[t], words[first:end]).all():
+            if m and m / len(template) >= least and end - first <= len(template) + max(band, len(template) // 8) and np.isin(part.must[t], words[first:end]).all():
                 best.append((part.names[t], first, end, m / len(template), m))
     kept: list[tuple[str, int, int, float]] = []
     for b in sorted(best, key=lambda b: (-b[4], -b[3], b[1], b[0])):
@@ -217,7 +242,7 @@ def matches(text: bytes, index: Index, ids: wordhash.PlainIds, least: float = LE
         return []
     places = [m.span() for m in _WORD.finditer(text)]
     chars = (lambda p: p) if text.isascii() else (lambda p: len(text[:p].decode("utf-8")))
-    return sorted(((n, chars(places[a][0]), chars(places[b - 1][1]), c) for n, a, b, c in kept), key=lambda r: (r[1], r[2], r[0]))
+    return sorted(((n, chars(places[own[a]][0]), chars(places[own[b - 1]][1]), c) for n, a, b, c in kept), key=lambda r: (r[1], r[2], r[0]))
 
 
 def scan(text: Column, templates: dict[str, list[str]] | None = None) -> Column:
@@ -226,7 +251,7 @@ def scan(text: Column, templates: dict[str, list[str]] | None = None) -> Column:
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = wordhash.PlainIds()
+        ids = Words()
         for texts in batches:
             rows = [matches(t or b"", index, ids) for t in wordhash.as_bytes(texts)]
             yield pa.array([[{"license": n, "start": a, "end": b, "coverage": c} for n, a, b, c in r] for r in rows], kind)
@@ -240,6 +265,7 @@ def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = Non
     Null and empty texts have no matches. Nulls and repeats of ids, very long texts and extra columns are harmless; an empty
     table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col).cast("string"), templates).alias("matches"))
     return found.select(
         "doc_id",

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from costloom.llm.wordhash import as_bytes
+from costloom.llm.wordhash import as_bytes, released
 from costloom.session import stage
 
 # Weights by position of the source, repeating, and the most passes over a source.
@@ -95,6 +95,10 @@ def apportion(units: DataFrame, seats: int, keys: list[str]) -> DataFrame:
     return units.join(extra, same, "left").select(*units.columns, (given(high) + F.coalesce("more", F.lit(0))).cast("long").alias("quota"))
 
 
+# Groups of the rows without words of a shard.
+EMPTY_GROUPS = 4096
+
+
 def plan(docs: DataFrame, carried: list[str], seed: int = SEED) -> DataFrame:
     """`docs` needs source, size and doc_id; adds source_size, target, and of each row its first word's position in
     the shard (`at`), the shard's blocks and quota (`blocks`, `quota`) and the permutation's shift (`shift`)."""
@@ -124,7 +128,9 @@ def plan(docs: DataFrame, carried: list[str], seed: int = SEED) -> DataFrame:
         ),
         "mixing-quotas",
     )
-    order = Window.partitionBy("source", "shard").orderBy(mixed, "doc_id", "size", *[c for c in carried if c == "text"])
+    # Rows without words take no place; they may be any number in one shard, so they are windowed in groups of their own.
+    apart = F.when(F.col("size") == 0, F.pmod(mixed, F.lit(EMPTY_GROUPS))).otherwise(F.lit(-1))
+    order = Window.partitionBy("source", "shard", apart).orderBy(mixed, "doc_id", "size", *[c for c in carried if c == "text"])
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return (
         placed(docs)
@@ -198,7 +204,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     names = docs.columns
     clear = docs.select([F.col(c) if c in ("doc_id", "source", "text") else F.col(c).alias(f"_in_{c}") for c in names]).withColumn("size", n_words(F.col("text")))
     planned = plan(clear, ["text"], seed)
-    texts = planned.withColumn("_passes", arrow_udf(cut, "array<string>")("text", "at", "blocks", "quota", "shift"))
+    texts = planned.withColumn("_passes", arrow_udf(released(cut), "array<string>")("text", "at", "blocks", "quota", "shift"))
     one = texts.withColumn("_pass", F.explode("_passes"))
     chars = lambda: F.char_length("_pass").cast(docs.schema["n_chars"].dataType)
     return one.select(

@@ -1,8 +1,9 @@
 """Quality rules: base counts of every whole text, and a linear-chain CRF that labels its lines.
 
 The CRF gives each line a state, content or boilerplate, from binary features of the line and the state of the
-line before. Its weights are learned from a bounded sample of labelled documents, whose label stands for all their
-lines; Viterbi decoding labels every line of every text, and the share of words in content lines decides.
+line before. Its weights are learned from a bounded sample of labelled documents: as they are, the label standing for all
+their lines, and spliced, with lines of a document of one label inside one of the other, so that training sees where the state
+changes inside a text. Viterbi decoding labels every line of every text, and the share of words in content lines decides.
 """
 
 import operator
@@ -14,12 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from costloom.llm import wordhash
+from costloom.session import bound_batches
 
 # Least share of words in content lines.
 LEAST_SHARE = 0.5
-# Training sample: documents per label, and lines per document.
-SAMPLE = 400
-SAMPLE_LINES = 200
+# Training sample: documents per label, and lines per document, in stretches spread over the whole text.
+SAMPLE = 600
+SAMPLE_LINES, STRETCH = 256, 64
 # Fixed values of the base rules.
 WINDOW = 8
 LEAST_WORDS = 20
@@ -103,60 +105,96 @@ class Chain:
         return np.array(out[::-1])
 
 
-def train(sequences: list[np.ndarray], labels: list[int], steps: int = 80, l2: float = 1.0) -> Chain:
-    """Maximum-likelihood weights with an L2 prior, by gradient steps on all sequences at once.
-
-    Sequences are padded to one length; forward and backward sums run over positions, for all sequences together.
-    """
-    n, longest = len(sequences), max(map(len, sequences))
-    active = np.zeros((n, longest, len(_BINS)), np.int32)
-    there = np.zeros((n, longest), bool)
-    for k, s in enumerate(sequences):
-        active[k, : len(s)], there[k, : len(s)] = s, True
-    gold = np.asarray(labels)
-    w, move, start = np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)
-    params, sums, moments = [w, move, start], [0.0] * 3, [0.0] * 3
-    total = there.sum()
-    flat = active[there]
-    y = np.eye(2)[np.repeat(gold, there.sum(axis=1))]
-
-    def soft(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-    for step in range(1, steps + 1):
-        score = w[active].sum(axis=2)
-        fore, back = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+def stretches(lines: np.ndarray) -> list[np.ndarray]:
+    """All lines of a text in stretches of at most STRETCH, or SAMPLE_LINES of them in stretches evenly spread over it."""
+    n = len(lines)
+    if n <= SAMPLE_LINES:
+        return [lines[i : i + STRETCH] for i in range(0, n, STRETCH)]
+    starts = np.linspace(0, n - STRETCH, SAMPLE_LINES // STRETCH).astype(int)
+    return [lines[i : i + STRETCH] for i in starts]
+
+
+def splice(content: list[np.ndarray], other: list[np.ndarray], seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(sequences, line labels): stretches of both kinds in pairs, a run of lines of one put inside, before or after the other."""
+    rng = np.random.default_rng(seed)
+    sequences, labels = [], []
+    for i in range(max(len(content), len(other)) if content and other else 0):
+        pair = [(content[i % len(content)], 1), (other[i % len(other)], 0)]
+        for (outer, a), (inner, b) in (pair, pair[::-1]):
+            at, n = int(rng.integers(len(outer) + 1)), int(rng.integers(1, len(inner) + 1))
+            first = int(rng.integers(len(inner) - n + 1))
+            sequences.append(np.concatenate([outer[:at], inner[first : first + n], outer[at:]]))
+            labels.append(np.repeat([a, b, a], [at, n, len(outer) - at]))
+    return sequences, labels
+
+
+def _soft(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+
+class _Padded:
+    """Sequences of about one length, padded to the longest; gradients of their log-likelihood."""
+
+    def __init__(self, sequences: list[np.ndarray], labels: list[np.ndarray]):
+        n, self.longest = len(sequences), max(map(len, sequences))
+        self.active = np.zeros((n, self.longest, len(_BINS)), np.int32)
+        self.there = np.zeros((n, self.longest), bool)
+        for k, s in enumerate(sequences):
+            self.active[k, : len(s)], self.there[k, : len(s)] = s, True
+        self.lines = int(self.there.sum())
+        self.flat = self.active[self.there]
+        self.y = np.eye(2)[np.concatenate(labels)]
+        self.starts = np.bincount([a[0] for a in labels], minlength=2)
+        self.moves = np.bincount(np.concatenate([2 * a[:-1] + a[1:] for a in labels]), minlength=4).reshape(2, 2)
+
+    def gradient(self, w: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By forward and backward sums over positions, for all sequences together."""
+        score = w[self.active].sum(axis=2)
+        fore, back = np.zeros_like(score), np.zeros_like(score)
         fore[:, 0] = start + score[:, 0]
-        for t in range(1, longest):
-            on = soft(fore[:, t - 1, :, None] + move, 1) + score[:, t]
-            fore[:, t] = np.where(there[:, t, None], on, fore[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            on = soft(move + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-            back[:, t] = np.where(there[:, t + 1, None], on, 0)
-        z = soft(fore[:, -1], 1)
-        p = np.exp(fore + back - z[:, None, None])[there]
+        for t in range(1, self.longest):
+            on = _soft(fore[:, t - 1, :, None] + move, 1) + score[:, t]
+            fore[:, t] = np.where(self.there[:, t, None], on, fore[:, t - 1])
+        for t in range(self.longest - 2, -1, -1):
+            on = _soft(move + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+            back[:, t] = np.where(self.there[:, t + 1, None], on, 0)
+        z = _soft(fore[:, -1], 1)
+        p = np.exp(fore + back - z[:, None, None])[self.there]
         pair = fore[:, :-1, :, None] + move + (score[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        pair = np.exp(np.minimum(pair, 0))[there[:, 1:]]
-        g_w = np.zeros_like(w)
-        diff = y - p
-        for i in range(active.shape[2]):
-            np.add.at(g_w, flat[:, i], diff)
-        held = np.bincount(gold, weights=there[:, 1:].sum(axis=1), minlength=2)
-        g_move = np.diag(held) - pair.sum(axis=0)
-        first = np.exp(fore[:, 0] + back[:, 0] - z[:, None])
-        g_start = (np.eye(2)[gold] - first).sum(axis=0)
-        for k, g in enumerate((g_w, g_move, g_start)):
-            g = (g - l2 * params[k]) / total
+        pair = np.exp(np.minimum(pair, 0))[self.there[:, 1:]]
+        diff = np.repeat(self.y - p, self.flat.shape[1], axis=0)
+        g_w = np.stack([np.bincount(self.flat.ravel(), weights=diff[:, k], minlength=N_FEATURES) for k in range(2)], axis=1)
+        return g_w, self.moves - pair.sum(axis=0), self.starts - np.exp(fore[:, 0] + back[:, 0] - z[:, None]).sum(axis=0)
+
+
+def train(sequences: list[np.ndarray], labels: list[int | np.ndarray], steps: int = 120, l2: float = 1.0) -> Chain:
+    """Maximum-likelihood weights with an L2 prior, by gradient steps on all sequences at once. A sequence's label is one for
+    all its lines, or one for each. Sequences of like lengths are padded and summed together."""
+    line = [np.broadcast_to(np.asarray(a), len(s)) for a, s in zip(labels, sequences, strict=True)]
+    groups: list[list[int]] = []
+    for k in sorted(range(len(sequences)), key=lambda k: len(sequences[k])):
+        if not groups or len(sequences[k]) > 1.3 * len(sequences[groups[-1][0]]) + 1:
+            groups.append([])
+        groups[-1].append(k)
+    parts = [_Padded([sequences[k] for k in g], [line[k] for k in g]) for g in groups]
+    total = sum(p.lines for p in parts)
+    params = [np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)]
+    sums, moments = [0.0] * 3, [0.0] * 3
+    for step in range(1, steps + 1):
+        found = [p.gradient(*params) for p in parts]
+        for k in range(3):
+            g = (sum(f[k] for f in found) - l2 * params[k]) / total
             sums[k] = 0.9 * sums[k] + 0.1 * g
             moments[k] = 0.99 * moments[k] + 0.01 * g * g
             params[k] += 0.1 * (sums[k] / (1 - 0.9**step)) / (np.sqrt(moments[k] / (1 - 0.99**step)) + 1e-8)
-    return Chain(w, move, start)
+    return Chain(*params)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
-    """The CRF from at most `sample` labelled documents of each quality, chosen by a hash of their ids, and at most
-    SAMPLE_LINES lines of each. None where labels show one quality only: then the base rules decide alone."""
+    """The CRF from at most `sample` labelled documents of each quality, chosen by a hash of their ids, and
+    SAMPLE_LINES lines of each at most, spread over the whole text. None where labels show one quality only: then the base rules decide alone."""
+    bound_batches(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("quality = 0").orderBy(*order).limit(sample).unionAll(known.where("quality = 1").orderBy(*order).limit(sample))
@@ -165,14 +203,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(measures(t or b"")[0][:SAMPLE_LINES]).ravel() for t in wordhash.as_bytes(batch.column(1))]
+            lines = [features(measures(t or b"")[0]) for t in wordhash.as_bytes(batch.column(1))]
+            rows = [np.concatenate(stretches(x)).ravel() if len(x) else x.ravel() for x in lines]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "quality", "active"])
 
-    found = texts.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, active array<int>").dropDuplicates(["doc_id"])
-    rows = sorted((r for r in found.collect() if r["active"]), key=lambda r: r["doc_id"])
-    if len({r["quality"] for r in rows}) < 2:
-        return None
-    return train([np.array(r["active"], np.int32).reshape(-1, len(_BINS)) for r in rows], [r["quality"] for r in rows])
+    found = texts.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, active array<int>")
+    one = found.where("size(active) > 0").groupBy("doc_id").agg(F.min(F.struct("quality", "active")).alias("r")).select("doc_id", "r.*")
+    parts: tuple[list, list] = ([], [])
+    for r in sorted(one.collect(), key=lambda r: r["doc_id"]):
+        lines = np.array(r["active"], np.int32).reshape(-1, len(_BINS))
+        parts[r["quality"]].extend(lines[i : i + STRETCH] for i in range(0, len(lines), STRETCH))
+    return train(*sample_of(*parts)) if all(parts) else None
+
+
+def sample_of(other: list[np.ndarray], content: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Training sequences and line labels of stretches: as they are, and spliced."""
+    sequences, labels = splice(content, other)
+    for kind, own in ((0, other), (1, content)):
+        sequences += own
+        labels += [np.full(len(s), kind) for s in own]
+    return sequences, labels
 
 
 def base_counts(text: bytes, ids: wordhash.WordIds) -> tuple[int, int, int, int, int]:
@@ -221,7 +271,7 @@ def judge(text: Column, chain: Chain | None, least_share: float = LEAST_SHARE) -
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*names, "base_failed", "content_share", "kept"])
 
     ddl = ",".join(f"{n}:bigint" for n in names)
-    return arrow_udf(run, f"struct<{ddl},base_failed:boolean,content_share:double,kept:boolean>")(text)
+    return arrow_udf(wordhash.released(run), f"struct<{ddl},base_failed:boolean,content_share:double,kept:boolean>")(text)
 
 
 def judge_documents(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,11 +280,13 @@ def judge_documents(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id"
     Null and empty texts have no words and fail. Null ids, repeated rows and very long texts pass as they are; extra
     columns are ignored; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), judge(F.col(text_col).cast("string"), chain).alias("q")).select("doc_id", "q.*")
 
 
 def keep_documents(docs: DataFrame, chain: Chain | None, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are kept, with their columns."""
+    bound_batches(docs.sparkSession)
     verdict = judge(F.col(text_col).cast("string"), chain).getField("kept")
     name = "_quality_kept"
     return docs.withColumn(name, verdict).where(F.col(name)).drop(name)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from costloom.llm import ann, bpe, chat, decontam, licenses, merkle, mixing, neardup, quality, ranked, secretscan, toxicity, urlfilter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+# Ranked words for guess costs.
+VOCABULARIES = [public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +39,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
-    return secretscan.scan_documents(_table(spark, sf_dir, "documents"))
+    return secretscan.scan_documents(_table(spark, sf_dir, "documents"), VOCABULARIES)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,18 @@ prints is not. A value whose context names a credential and whose cost is high b
 
 import hashlib
 import math
+import operator
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from costloom.llm.wordhash import as_bytes
+from costloom.llm import lexicon
+from costloom.llm.wordhash import as_bytes, released
+from costloom.session import bound_batches
 
 # Base patterns, kind -> (pattern, group that is measured, least length).
 BASE = {
@@ -42,7 +45,9 @@ WORDS = (
     "tiger eagle soccer hockey ginger pepper cookie cheese coffee computer internet google apple samsung freedom"
 ).split()
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-LONGEST_WORD = 16
+LONGEST_WORD = lexicon.LONGEST
+# Signs that stand for letters in chosen passwords.
+SIGNS = str.maketrans("4@310!$57", "aaeioisst")
 
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _PLACE = {c: (r, i + r * 0.5) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
@@ -62,18 +67,26 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def _spans(value: str) -> dict[int, list[tuple[int, float]]]:
+def _spans(value: str, rank_of: dict[str, int] = _RANK) -> dict[int, list[tuple[int, float]]]:
     """end -> [(start, cost)] of every recognised span."""
     low, out = value.lower(), {}
+    if len(low) != len(value):  # a letter whose lower case is longer
+        low = value
     n = len(low)
+    plain = low.translate(SIGNS)
 
     def add(i: int, j: int, cost: float) -> None:
         out.setdefault(j, []).append((i, cost))
 
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if (rank := _RANK.get(low[i:j])) is not None:
-                add(i, j, math.log10(rank) + (0 if value[i:j].islower() else 0.6))
+            part, extra = low[i:j], 0.0 if value[i:j].islower() else 0.6
+            if (rank := rank_of.get(part)) is not None:
+                add(i, j, math.log10(rank) + extra)
+            if (rank := rank_of.get(part[::-1])) is not None:
+                add(i, j, math.log10(rank) + math.log10(2) + extra)
+            if (meant := plain[i:j]) != part and (rank := rank_of.get(meant)) is not None:
+                add(i, j, math.log10(rank) + math.log10(2) * (1 + sum(map(operator.ne, meant, part))) + extra)
         if m := _DATE.match(low, i):
             add(i, m.end(), 2.0 if m.end() - i == 4 else math.log10(365 * 120))
     for m in _REPEAT.finditer(low):
@@ -89,10 +102,11 @@ def _spans(value: str) -> dict[int, list[tuple[int, float]]]:
     return out
 
 
-def guess_cost(value: str) -> float:
-    """Power of ten of the guesses for the cheapest segmentation; each further segment doubles them. Linear in the
-    length: spans are words of bounded length, dates, and maximal repeats and walks."""
-    known = _spans(value)
+def guess_cost(value: str, rank_of: dict[str, int] = _RANK) -> float:
+    """Power of ten of the guesses for the cheapest segmentation; each further segment doubles them. Linear in the length:
+    spans are words of bounded length (as they are, reversed, or with signs for letters), dates, and maximal repeats and
+    walks."""
+    known = _spans(value, rank_of)
     step = math.log10(2)
     best = [0.0] * (len(value) + 1)
     brute = [False] * (len(value) + 1)
@@ -106,24 +120,31 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def is_guess(value: str, marked: bool = False) -> bool:
+def is_guess(value: str, marked: bool = False, rank_of: dict[str, int] = _RANK) -> bool:
     """Costly to guess. Where no sign or quote parts the value from its keyword (`marked`), prose may go on, with words that no
     list holds: there it needs a letter and a digit too."""
     varied = marked or any(map(str.isdigit, value)) and any(map(str.isalpha, value))
-    return varied and guess_cost(value) >= LEAST_COST
+    return varied and guess_cost(value, rank_of) >= LEAST_COST
 
 
-def find(text: bytes) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+def find(text: bytes, rank_of: dict[str, int] = _RANK) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """(base spans, spans added by guess cost) as (start, kind, end) byte positions."""
     base = []
     for kind, (pattern, group, least) in BASE.items():
         for m in (_HEX_RUN if kind == "hex" else pattern).finditer(text):
             if m.end(group) - m.start(group) >= least:
                 base.append((m.start(), kind, m.end()))
+    # Base spans by their starts, with the furthest end so far: a value overlaps one if one that starts before its end reaches
+    # beyond its start.
+    starts, reach = [], []
+    for x, _, y in sorted(base):
+        starts.append(x)
+        reach.append(max(y, reach[-1] if reach else 0))
     added = []
     for m in CONTEXT.finditer(text):
         a, b = m.span("value")
-        if not any(x < b and a < y for x, _, y in base) and is_guess(m["value"].decode("utf-8", "replace"), m["mark"] is not None):
+        before = bisect_left(starts, b)
+        if not (before and reach[before - 1] > a) and is_guess(m["value"].decode("utf-8", "replace"), m["mark"] is not None, rank_of):
             added.append((a, "guess", b))
     return base, added
 
@@ -149,15 +170,26 @@ def _joined(text: bytes, spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{place(a)}:{place(b)}" for a, k, b in sorted(spans, key=_order))
 
 
-def scan(text: Column) -> Column:
+def fit_lexicon(docs: DataFrame, vocabularies: list[str], text_col: str = "text") -> dict[str, int]:
+    """Ranks of WORDS, then of the words of vocabulary files and of the corpus: one pass over all documents, and at most some
+    ten thousands of words from each."""
+    return lexicon.ranks(WORDS, *map(lexicon.vocabulary_words, vocabularies), lexicon.corpus_words(docs, text_col))
+
+
+def _shared(spark: SparkSession, rank_of: dict[str, int] | None):  # noqa: ANN202
+    return spark.sparkContext.broadcast(_RANK if rank_of is None else rank_of)
+
+
+def scan(spark: SparkSession, text: Column, rank_of: dict[str, int] | None = None) -> Column:
     """struct(n_assign, n_access, n_hex, n_guess, base_sha256, spans) of each whole text; null is empty."""
     fields = [(f"n_{k}", pa.int64()) for k in KINDS] + [("base_sha256", pa.string()), ("spans", pa.string())]
+    words = _shared(spark, rank_of)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = []
             for text in as_bytes(texts):
-                base, added = find(text or b"")
+                base, added = find(text or b"", words.value)
                 counts = [sum(k == kind for _, k, _ in base + added) for kind in KINDS]
                 digest = hashlib.sha256(_joined(text or b"", base).encode()).hexdigest()
                 rows.append((*counts, digest, _joined(text or b"", base + added)))
@@ -165,12 +197,12 @@ def scan(text: Column) -> Column:
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
     kinds = ",".join(f"n_{k}:bigint" for k in KINDS)
-    return arrow_udf(run, f"struct<{kinds},base_sha256:string,spans:string>")(text)
+    return arrow_udf(released(run), f"struct<{kinds},base_sha256:string,spans:string>")(text)
 
 
-def mask(text: bytes) -> bytes:
+def mask(text: bytes, rank_of: dict[str, int] = _RANK) -> bytes:
     """The text with every span, overlapping ones together, replaced by [redacted:kind]."""
-    base, added = find(text)
+    base, added = find(text, rank_of)
     out, done = [], 0
     for a, kind, b in sorted(base + added, key=_order):
         if b <= done:
@@ -181,26 +213,33 @@ def mask(text: bytes) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def redact(text: Column) -> Column:
+def redact(spark: SparkSession, text: Column, rank_of: dict[str, int] | None = None) -> Column:
     """The text without its secrets; null stays null."""
+    words = _shared(spark, rank_of)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([None if t is None else mask(t).decode("utf-8") for t in as_bytes(texts)], pa.string())
+            yield pa.array([None if t is None else mask(t, words.value).decode("utf-8") for t in as_bytes(texts)], pa.string())
 
-    return arrow_udf(run, "string")(text)
+    return arrow_udf(released(run), "string")(text)
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_documents(docs: DataFrame, vocabularies: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, counts per kind, base_sha256, spans.
 
+    With `vocabularies` (files of public tokenizers, possibly none) costs rest on `fit_lexicon`, else on WORDS alone.
+
     Null and empty texts have no spans; null ids, repeated rows and very long texts pass as they are; other columns
     are ignored; an empty table gives no rows.
     """
-    return docs.select(F.col(id_col).alias("doc_id"), scan(F.col(text_col).cast("string")).alias("s")).select("doc_id", "s.*")
+    bound_batches(docs.sparkSession)
+    rank_of = None if vocabularies is None else fit_lexicon(docs, vocabularies, text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), scan(docs.sparkSession, F.col(text_col).cast("string"), rank_of).alias("s")).select("doc_id", "s.*")
 
 
-def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact_documents(docs: DataFrame, vocabularies: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, the text redacted and n_chars, if there is one, measured again."""
-    out = docs.withColumn(text_col, redact(F.col(text_col).cast("string")))
+    bound_batches(docs.sparkSession)
+    rank_of = None if vocabularies is None else fit_lexicon(docs, vocabularies, text_col)
+    out = docs.withColumn(text_col, redact(docs.sparkSession, F.col(text_col).cast("string"), rank_of))
     return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from costloom.llm import wordhash
+from costloom.session import bound_batches
 
 BITS = 20
 # Training sample: rows per label, chosen by a hash of their ids, and passes over them.
@@ -119,7 +120,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
     Labels of held-out ids are never read into the model, nor is any column but the text. Null and empty texts get the score of
     the bias. Repeated rows, null ids and very long texts pass as they are; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = bound_batches(docs.sparkSession)
     weights = fit(docs, labels.where(~held_out(F.col("doc_id"))), sample, id_col, text_col)
     scored = docs.select(F.col(id_col).alias("doc_id"), score(spark, F.col(text_col).cast("string"), weights).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

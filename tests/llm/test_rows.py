@@ -14,7 +14,7 @@ import tiktoken
 from odd import LONG, ODD, empty_docs, odd_docs
 from pyspark.sql import functions as F
 
-from costloom.llm import bpe, chat, licenses, quality, secretscan, toxicity, urlfilter, wordhash
+from costloom.llm import bpe, chat, lexicon, licenses, quality, secretscan, toxicity, urlfilter, wordhash
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -180,6 +180,50 @@ def test_marked_values_need_no_letter_and_digit():
         assert secretscan.find(text.encode()) == ([], []), text
 
 
+VOCABULARIES = [public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")]
+
+
+def test_words_of_a_lexicon_are_no_secrets_and_printed_keys_are(spark):
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"))
+    keys = ["".join(rng.choice(letters, int(rng.integers(12, 30)))) for _ in range(60)]
+    clean = "required availability authentication understanding ingredient certificate configuration infrastructure important documentation".split()
+    # Words that no vocabulary file has, in many documents of the corpus.
+    own = ["qthonblerezz", "wubbalorpix"]
+    rows = [f"pwd: {k} and more" for k in keys] + [f'auth: {w} and "token" {w}' for w in clean] + [f"the {own[0]} of {own[1]} {i}" for i in range(5)] + [f"credentials: {w}" for w in own]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secretscan.scan_documents(docs, VOCABULARIES).collect()}
+    assert all(found[i].endswith(f":5:{5 + len(k)}") for i, k in enumerate(keys))
+    assert [rows[i] for i in range(len(keys), len(rows)) if found[i]] == []
+
+
+def test_words_are_counted_by_documents(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["Alpha beta, beta BETA", "alpha-beta x", "ÄPFEL alpha äpfel", "Äpfel once", "äpfel 12", "", None])], "doc_id long, text string")
+    assert lexicon.corpus_words(docs) == ["alpha", "äpfel"]
+    assert lexicon.corpus_words(empty_docs(spark)) == []
+    assert lexicon.ranks(["x"], ["a", "b"], ["b", "c"]) == {"x": 1, "a": 2, "b": 3, "c": 4}
+
+
+def test_reversed_words_and_signs_for_letters_are_cheap():
+    cost = secretscan.guess_cost
+    for weak in ("drowssap", "p4ssw0rd", "dr@g0n", "$unsh1ne"):
+        assert cost(weak) < 4, weak
+
+
+def test_values_that_touch_base_spans_are_left_to_them():
+    rng = np.random.default_rng(6)
+    pieces = ["secret=abcdef0123", "pwd: xkqzwvbnmrtp", "0a" * 14, " ", "token: QwbZxKjvRtPl9", "AKIA" + "B" * 17, "auth 'Zk3pQ9vT7xLm2w'", "x", "\n"]
+    for _ in range(200):
+        text = " ".join(pieces[i] for i in rng.integers(0, len(pieces), int(rng.integers(1, 30)))).encode()
+        base, added = secretscan.find(text)
+        want = []
+        for m in secretscan.CONTEXT.finditer(text):
+            a, b = m.span("value")
+            if not any(x < b and a < y for x, _, y in base) and secretscan.is_guess(m["value"].decode(), m["mark"] is not None):
+                want.append((a, "guess", b))
+        assert added == want
+
+
 def test_guess_cost_orders_what_people_type_below_what_generators_print():
     cost = secretscan.guess_cost
     assert cost("") == 0
@@ -259,6 +303,54 @@ def test_quality_counts_and_model(spark):
     assert quality.fit(docs, labels.where("quality = 1")) is None and quality.judge_documents(empty_docs(spark), None).count() == 0
 
 
+def test_lines_of_a_mixed_text_get_both_labels(spark):
+    rng = np.random.default_rng(11)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
+    prose = lambda n: [" ".join(rng.choice(vocab, 9)).capitalize() + "." for _ in range(n)]
+    menu = lambda n: [" | ".join(rng.choice(vocab, 9)) for _ in range(n)]
+    docs = spark.createDataFrame([(i, "\n".join(prose(9) if i % 2 else menu(9))) for i in range(80)], "doc_id long, text string")
+    chain = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int"))
+    for before, inside, after in ((6, 6, 0), (0, 5, 5), (4, 8, 4), (40, 60, 20)):
+        lines, words = quality.measures("\n".join(prose(before) + menu(inside) + prose(after)).encode())
+        got = chain.viterbi(quality.features(lines))
+        want = np.repeat([1, 0, 1], [before, inside, after])
+        share = (got * words).sum() / sum(words)
+        assert (got == want).mean() > 0.9 and set(got) == {0, 1}
+        assert abs(share - (want * words).sum() / sum(words)) < 0.1
+
+
+def test_training_reads_whole_texts():
+    lines = np.arange(1000)[:, None]
+    some = quality.stretches(lines)
+    assert sum(map(len, some)) == quality.SAMPLE_LINES and some[0][0] == 0 and some[-1][-1] == 999
+    assert np.concatenate(quality.stretches(lines[:200])).tolist() == lines[:200].tolist()
+
+
+def test_gradient_is_that_of_the_likelihood_over_all_paths():
+    rng = np.random.default_rng(5)
+    sequences = [rng.integers(0, quality.N_FEATURES, (n, 9)) for n in (1, 3, 4)]
+    labels = [rng.integers(0, 2, len(s)) for s in sequences]
+    params = [rng.normal(size=(quality.N_FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)]
+
+    def likelihood(w, move, start):
+        out = 0.0
+        for s, a in zip(sequences, labels, strict=True):
+            score = w[s].sum(axis=1)
+            total = lambda path: start[path[0]] + sum(score[t, k] for t, k in enumerate(path)) + sum(move[x, y] for x, y in zip(path, path[1:], strict=False))  # noqa: B023, E731
+            out += total(tuple(a)) - np.log(sum(np.exp(total(p)) for p in np.ndindex(*[2] * len(s))))
+        return out
+
+    parts = [quality._Padded([s], [a]) for s, a in zip(sequences, labels, strict=True)]
+    found = [sum(p.gradient(*params)[k] for p in parts) for k in range(3)]
+    together = quality._Padded(sequences, labels).gradient(*params)
+    for k in range(3):
+        assert np.allclose(found[k], together[k])
+        for at in list(np.ndindex(params[k].shape))[:: 7 if k == 0 else 1]:
+            moved = [p.copy() for p in params]
+            moved[k][at] += 1e-5
+            assert abs((likelihood(*moved) - likelihood(*params)) / 1e-5 - found[k][at]) < 1e-3
+
+
 def test_viterbi_is_the_best_of_all_paths():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -324,7 +416,7 @@ def test_licenses_are_found_whole_edited_and_apart(spark):
 
 
 def test_standard_licenses_are_named_and_not_their_relatives():
-    index, ids = licenses.Index.build(licenses.load_templates()), wordhash.PlainIds()
+    index, ids = licenses.Index.build(licenses.load_templates()), licenses.Words()
     named = lambda text: {m[0] for m in licenses.matches(text.encode(), index, ids)}
     for name, texts in licenses.load_templates().items():
         for text in texts:
@@ -336,6 +428,60 @@ def test_standard_licenses_are_named_and_not_their_relatives():
     assert named("Copyright 2020 A. N. Other\n" + whole.replace("you may", "you can")) == {"LGPL-2.1"}
 
 
+def _wrapped(text, first, before, after, words=9):
+    """The text in lines of some words, with a comment mark on each."""
+    cut = text.replace("%", "").split()
+    lines = [before + " ".join(cut[i : i + words]) + after for i in range(0, len(cut), words)]
+    return "\n".join([*first, *lines])
+
+
+STYLES = {
+    "hash": ([], "# ", ""), "slashes": ([], "// ", ""), "glued": ([], "//", ""), "block": (["/*"], " * ", ""), "dashes": ([], "-- ", ""),
+    "semicolon": ([], ";; ", ""), "box": (["/*" + "*" * 60], " ** ", " **"), "rem": ([], "REM ", ""), "html": (["<!--"], "  ", ""),
+}
+
+
+@pytest.mark.parametrize("style", STYLES)
+def test_every_template_is_found_under_comment_marks(style):
+    templates = licenses.load_templates()
+    index, ids = licenses.Index.build(templates), licenses.Words()
+    for name, texts in templates.items():
+        for text in texts:
+            cut = text.replace("%", "")
+            bare = [m[0] for m in licenses.matches(cut.encode(), index, ids)]
+            marked = licenses.matches(("import os\n\n" + _wrapped(text, *STYLES[style]) + "\n\ndef main():\n    pass\n").encode(), index, ids)
+            assert set(bare) <= {m[0] for m in marked}, (name, style, bare, marked)
+
+
+def test_candidates_lose_no_report_of_a_full_search():
+    """Every template aligned at every place, beside the index."""
+    templates = {n: [t for t in ts if len(t.split()) < 120] for n, ts in licenses.load_templates().items()}
+    templates = {n: ts for n, ts in templates.items() if ts}
+    index, ids = licenses.Index.build(templates), licenses.Words()
+
+    def full(text):
+        words, _ = ids.sequence(text.split())
+        found = set()
+        for t, template in enumerate(index.words):
+            for d in range(-len(template), len(words)):
+                m, a, b = licenses.align(template, words, d, index.band(t))
+                if m >= licenses.LEAST_COVERAGE * len(template) and b - a <= len(template) + max(index.band(t), len(template) // 8) and np.isin(index.must[t], words[a:b]).all():
+                    found.add(index.names[t])
+        return found
+
+    rng = np.random.default_rng(8)
+    every = [t.replace("%", "").split() for ts in templates.values() for t in ts]
+    for _ in range(8):
+        source = every[rng.integers(len(every))]
+        words = [w if rng.random() < 0.93 else "zzz" for w in source]
+        if rng.random() < 0.5:
+            words = words[: max(1, int(len(words) * rng.uniform(0.6, 1)))]
+        text = " ".join(["some", "prose", "of", "the", "license", *words, "and", "all", "the", "rest"]).encode()
+        got = {m[0] for m in licenses.matches(text, index, ids)}
+        # Of reports of one place the best stays, so every name found by the full search is reported or beaten there.
+        assert got <= full(text) and bool(got) == bool(full(text)), text
+
+
 def test_banded_alignment_finds_as_many_matches_as_the_full_table():
     rng = np.random.default_rng(3)
     for _ in range(40):
