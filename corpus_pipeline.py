@@ -15,6 +15,7 @@ from costloom.llm import bpe, mixing, neardup, quality, secretscan
 from costloom.session import ensure_checkpoint_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARIES = [public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes secrets out of the texts."""
-    return secretscan.redact_documents(docs)
+    return secretscan.redact_documents(docs, VOCABULARIES)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
