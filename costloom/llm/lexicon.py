@@ -12,6 +12,8 @@ from itertools import zip_longest
 
 from pyspark.sql import DataFrame, functions as F
 
+from costloom.session import stage
+
 # Bounds of what goes to the tasks: words of the corpus, and letters of a word.
 CORPUS_WORDS = 50_000
 SHORTEST, LONGEST = 3, 24
@@ -35,15 +37,26 @@ def vocabulary_words(path: str) -> list[str]:
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
-    """The `most` words that stand in most documents, commonest first; ties by the word.
+    """The words that stand in most documents, commonest first, ties by the word: at most `most`, without the last count of
+    documents that would exceed it.
 
-    Counted over all documents with map-side combine; null and empty texts have none. An empty table gives no words.
+    Counted over all documents with map-side combine; null and empty texts have none. How many words have a count decides from
+    which count on words are fetched, so no more than `most` of them ever reach the driver. An empty table gives no words.
     """
     low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     own = docs.select(F.explode(F.array_distinct(F.split(low, r"[^\p{L}]+"))).alias("word"))
     counted = own.where(F.length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in best.collect()]  # at most `most` words
+    counted = stage(counted.where(F.col("n") >= LEAST_DOCUMENTS), "corpus-words")
+    least, held = None, 0
+    for n, words in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
+        held += words
+        if held > most:
+            break
+        least = n
+    if least is None:
+        return []
+    rows = counted.where(F.col("n") >= least).collect()
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
 
 
 def ranks(first: list[str], *lists: list[str]) -> dict[str, int]:

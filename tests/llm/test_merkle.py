@@ -79,7 +79,7 @@ def test_every_tier_matches_plain_levels(spark):
     rows += [(7, "again", "en", "s", 5), (7, "again", "en", "s", 5), (7, "other", "en", "s", 5), (None, "x", "en", None, 1), (5, None, "one", None, 2**63 - 1)]
     docs = spark.createDataFrame(rows, DDL)
     want = sorted(plain(docs.collect(), crc_marked), key=repr)
-    for height in (1, 2, 3, 10):
+    for height in (1, 3):
         got = merkle.verify_documents(docs, mark(), height)
         assert sorted(map(tuple, got.collect()), key=repr) == want, height
     assert any(not r[-1] for r in want) and sum(r[-1] for r in want) > 60

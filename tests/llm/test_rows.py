@@ -200,6 +200,9 @@ def test_words_of_a_lexicon_are_no_secrets_and_printed_keys_are(spark):
 def test_words_are_counted_by_documents(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["Alpha beta, beta BETA", "alpha-beta x", "ÄPFEL alpha äpfel", "Äpfel once", "äpfel 12", "", None])], "doc_id long, text string")
     assert lexicon.corpus_words(docs) == ["alpha", "äpfel"]
+    more = docs.unionByName(spark.createDataFrame([(9, "alpha gamma"), (10, "gamma"), (11, "gamma")], "doc_id long, text string"))
+    # A count whose words don't all fit is left out as a whole.
+    assert lexicon.corpus_words(more) == ["alpha", "gamma", "äpfel"] and lexicon.corpus_words(more, most=2) == ["alpha"] and lexicon.corpus_words(more, most=0) == []
     assert lexicon.corpus_words(empty_docs(spark)) == []
     assert lexicon.ranks(["x"], ["a", "b"], ["b", "c"]) == {"x": 1, "a": 2, "b": 3, "c": 4}
 
