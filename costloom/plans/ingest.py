@@ -14,7 +14,7 @@ from costloom.functions import text
 from costloom.operators import merge, normalize, pricing, reports, search
 from costloom.plans import feeds
 from costloom.plans.catalogue import TOK, Query, _aggregate, _old_buckets, flat
-from costloom.session import ensure_checkpoint_dir, stage
+from costloom.session import ensure_checkpoint_dir, rocksdb_state, stage
 from costloom.sources import envelopes, files, topics
 from costloom.streaming import jobs, stores
 from costloom.streaming.tables import BatchTable
@@ -388,7 +388,9 @@ def stream_admission_ordered(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     out = jobs.stream_admission_ordered(stream, 3, 86_400, delay="366 days")
     writer = out.writeStream.format("parquet").option("path", f"{root}/out")
-    jobs._start(writer, f"{root}/checkpoint", True).awaitTermination()
+    with rocksdb_state(spark):
+        query = jobs._start(writer, f"{root}/checkpoint", True)
+    query.awaitTermination()
     done = spark.read.schema("principal string, arrival bigint, accepted boolean").parquet(f"{root}/out").where("arrival >= 0")
     return flat(done, F.col("principal").cast("bigint").alias("principal"), "arrival", "accepted")
 

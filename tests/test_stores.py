@@ -14,6 +14,7 @@ from test_sources_and_adapters import big_ledger
 from costloom import schemas
 from costloom.operators import merge
 from costloom.sources import envelopes
+from costloom.session import STATE_KEY, rocksdb_state
 from costloom.streaming import jobs, stores
 
 
@@ -147,3 +148,23 @@ def test_requests_in_any_order_are_decided_in_time_order(spark, tmp_path, seed):
     # All windows are over: only the clock's own last requests are still held.
     state = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "taken").load()
     assert {r[0] for r in state.select("key.principal").collect()} <= {"clock"}
+
+
+def test_ordered_admission_runs_in_a_session_with_the_default_state_store(spark, tmp_path):
+    heap = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    own = spark.conf.get(STATE_KEY)
+    spark.conf.set(STATE_KEY, heap)
+    try:
+        ddl, src = "principal string, arrival bigint, at timestamp", str(tmp_path / "in")
+        for rows in ([("p", i, T0 + timedelta(seconds=i)) for i in range(5)], [("clock", -1, T0 + timedelta(days=9))]):
+            spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", "1").parquet(src)
+        out = jobs.stream_admission_ordered(stream, 3, 1800)
+        with rocksdb_state(spark):
+            q = jobs._start(out.writeStream.format("memory").queryName("ordered_default"), str(tmp_path / "c"), True)
+        assert spark.conf.get(STATE_KEY) == heap
+        assert q.awaitTermination(240)
+        got = rows_of(spark.table("ordered_default").where("arrival >= 0"), "arrival", "accepted")
+        assert got == [(i, i < 3) for i in range(5)]
+    finally:
+        spark.conf.set(STATE_KEY, own)
