@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from costloom import schemas
 from costloom.operators.skew import HOT_ROWS, running_max_before, with_previous_rows
+from costloom.session import stage
 
 RUN_KEY = ["session_id", "agent_id"]
 PRICING = ("pricing_status", "cost_usd", "price_multiplier")
@@ -35,14 +36,15 @@ def merge_runs(
 
     Every field is that of the last accepted delivery, except that pricing freezes at the first accepted
     Priced one and the id is that of the first delivery, for ever: messages and findings refer to it. A stored row takes part as a delivery that arrived before all others. `arrival` must be a
-    unique integer per delivery.
+    unique integer per delivery. Deliveries are staged: the search for hot keys and the merge read them, and neither repeats
+    what made them.
     """
     rows = deliveries.select(*schemas.columns(schemas.RUNS), "arrival")
     if state is not None:
         rows = rows.unionByName(
             state.select(*schemas.columns(schemas.RUNS)).withColumn("arrival", F.lit(STATE_ARRIVAL).cast("bigint"))
         )
-    taken = accepted_deliveries(rows, hot_rows).where("applied")
+    taken = accepted_deliveries(stage(rows, "deliveries"), hot_rows).where("applied")
     plain = [c for c in schemas.columns(schemas.RUNS) if c not in ("id", *RUN_KEY, *PRICING)]
     priced = F.when(F.col("pricing_status") == "Priced", F.col("arrival"))
     merged = taken.groupBy(*RUN_KEY).agg(

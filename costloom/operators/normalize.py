@@ -123,16 +123,19 @@ def to_runs(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def explode_spans(envelopes: DataFrame, body: str = "trace", keep: tuple[str, ...] = ()) -> DataFrame:
-    """resourceSpans > scopeSpans > spans to rows; missing levels vanish. `ord` keeps document order."""
+    """resourceSpans > scopeSpans > spans to rows; missing levels vanish. `ord` keeps document order.
+
+    The outer generators keep the optimizer from parsing every payload once more only to see whether it has any rows.
+    """
     keep_cols = [F.col(c) for c in keep]
-    resources = envelopes.select(*keep_cols, F.posexplode(f"{body}.resourceSpans").alias("_r", "_res"))
+    resources = envelopes.select(*keep_cols, F.posexplode_outer(f"{body}.resourceSpans").alias("_r", "_res"))
     scopes = resources.select(
         *keep_cols, "_r", F.col("_res.resource.attributes").alias("resource_attrs"),
-        F.posexplode("_res.scopeSpans").alias("_s", "_scope"),
+        F.posexplode_outer("_res.scopeSpans").alias("_s", "_scope"),
     )
     spans = scopes.select(
-        *keep_cols, "_r", "_s", "resource_attrs", F.posexplode("_scope.spans").alias("_p", "span")
-    )
+        *keep_cols, "_r", "_s", "resource_attrs", F.posexplode_outer("_scope.spans").alias("_p", "span")
+    ).where("_p is not null")
     # Positions are packed into one number: document order within an envelope.
     order = (F.col("_r").cast("bigint") * 2**40 + F.col("_s").cast("bigint") * 2**24 + F.col("_p")).alias("ord")
     return spans.select(*keep_cols, "resource_attrs", "span", order)

@@ -61,10 +61,13 @@ def ledger_malformed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sent(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger as envelopes: payload, content_hash, arrival."""
-    return envelopes.encode_ledger_parts(_ledger(spark, d)).select(
-        "payload", text.content_hash("payload").alias("content_hash"), F.lit(0).cast("bigint").alias("arrival")
-    )
+    """The ledger as envelopes: payload, content_hash, arrival; staged, so that each payload is encoded once."""
+    return _envelopes(envelopes.encode_ledger_parts(_ledger(spark, d)), 0)
+
+
+def _envelopes(encoded: DataFrame, arrival: int) -> DataFrame:
+    payloads = stage(encoded.select("payload"), "payloads")
+    return payloads.select("payload", text.content_hash("payload").alias("content_hash"), F.lit(arrival).cast("bigint").alias("arrival"))
 
 
 def _traces(spark: SparkSession, d: str) -> DataFrame:
@@ -100,8 +103,7 @@ def ledger_files(spark: SparkSession, d: str) -> DataFrame:
 def otlp_redelivery(spark: SparkSession, d: str) -> DataFrame:
     """Every session sent twice, first in part and then whole: the later envelope replaces the run."""
     part = envelopes.encode_ledger_parts(_ledger(spark, d).where(F.col("hit_tokens") % 3 == 0)).where("session_id <> ''")
-    early = part.select("payload", text.content_hash("payload").alias("content_hash"), F.lit(-1).cast("bigint").alias("arrival"))
-    return flat(normalize.normalize_otlp(envelopes.parse_trace(early.unionByName(_sent(spark, d)))), *RUN_VIEW)
+    return flat(normalize.normalize_otlp(envelopes.parse_trace(_envelopes(part, -1).unionByName(_sent(spark, d)))), *RUN_VIEW)
 
 
 def _row_payloads(spark: SparkSession, d: str, last: Column) -> DataFrame:
