@@ -50,6 +50,12 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
     return files.split_ledger(files.parse_json(_ledger_lines(spark, d), schemas.LEDGER))[0]
 
 
+@feeds.shared
+def _ledger_table(spark: SparkSession, d: str) -> DataFrame:
+    """The parsed ledger, staged: sizes of sessions and envelopes of them are read from it, each line is parsed once."""
+    return stage(_ledger(spark, d), "ledger")
+
+
 def ledger_normalize(spark: SparkSession, d: str) -> DataFrame:
     return flat(normalize.normalize_ledger(_ledger(spark, d)), *RUN_VIEW)
 
@@ -62,7 +68,7 @@ def ledger_malformed(spark: SparkSession, d: str) -> DataFrame:
 
 def _sent(spark: SparkSession, d: str) -> DataFrame:
     """The ledger as envelopes: payload, content_hash, arrival; staged, so that each payload is encoded once."""
-    return _envelopes(envelopes.encode_ledger_parts(_ledger(spark, d)), 0)
+    return _envelopes(envelopes.encode_ledger_parts(_ledger_table(spark, d)), 0)
 
 
 def _envelopes(encoded: DataFrame, arrival: int) -> DataFrame:
@@ -102,7 +108,7 @@ def ledger_files(spark: SparkSession, d: str) -> DataFrame:
 
 def otlp_redelivery(spark: SparkSession, d: str) -> DataFrame:
     """Every session sent twice, first in part and then whole: the later envelope replaces the run."""
-    part = envelopes.encode_ledger_parts(_ledger(spark, d).where(F.col("hit_tokens") % 3 == 0)).where("session_id <> ''")
+    part = envelopes.encode_ledger_parts(_ledger_table(spark, d).where(F.col("hit_tokens") % 3 == 0)).where("session_id <> ''")
     return flat(normalize.normalize_otlp(envelopes.parse_trace(_envelopes(part, -1).unionByName(_sent(spark, d)))), *RUN_VIEW)
 
 
