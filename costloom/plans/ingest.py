@@ -165,9 +165,10 @@ def document_tree(spark: SparkSession, d: str) -> DataFrame:
     docs = feeds.table(spark, d, "documents")
     body = F.when(F.col("doc_id") % 13 == 5, F.concat(F.col("text"), F.lit("\x00"))).otherwise(F.col("text"))
     path = _fresh_folder(spark, "documents")
-    docs.select(body.alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
-    found, report = files.read_document_tree(spark, path, max_bytes=4_000)
-    counts = report.groupBy("skipped").agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("skipped"), "skipped").otherwise("read").alias("content_hash"), "n")
+    files.write_tree(docs.select(F.monotonically_increasing_id().alias("name"), body.alias("value")), path)
+    found, report = files.stage_document_tree(spark, path, max_bytes=4_000)
+    read = (F.col("files_processed") - F.col("files_skipped")).alias("read")
+    counts = report.select(read, F.col("files_skipped").alias("skipped")).unpivot([], ["read", "skipped"], "content_hash", "n").where("n > 0")
     return found.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).unionByName(counts)
 
 

@@ -334,6 +334,24 @@ def test_documents(spark, tmp_path):
         imports.import_documents(spark, str(tmp_path / "n"))
 
 
+def test_trees_of_small_files_are_read_in_few_tasks(spark, tmp_path):
+    texts = [None, "", "same", "same", "a\x00b", "ä\r\nz", *(f"t{i}" for i in range(200))]
+    path = str(tmp_path / "tree")
+    files.write_tree(spark.createDataFrame(list(enumerate(texts)), "name bigint, value string").repartition(3), path)
+    found = {f.stem: f.read_bytes() for f in (tmp_path / "tree").rglob("*") if f.is_file()}
+    assert found == {str(i): ((t or "") + "\n").encode() for i, t in enumerate(texts)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        docs, report = files.read_document_tree(spark, path)
+        assert docs.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert docs.count() == len(texts) - 1 and files.import_report(report).first().files_skipped == 1
+        lines = files.read_lines(spark, path, "*.txt")
+        assert lines.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism and lines.count() == len(texts) - 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_event_redaction(spark):
     e = {"type": "user", "timestamp": "t", "sessionId": "s", "cwd": "/secret", "message": {"role": "user", "model": "m", "content": [{"type": "text", "text": "hush"}],
          "usage": USAGE, "id": "secret-id"}}
