@@ -26,6 +26,11 @@ RUN_VIEW = (
 SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 
 
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    """raw spans dealt to all tasks: a compact table lies in few splits, and every row is written and parsed as a line."""
+    return feeds.raw_spans(spark, d).repartition("ord")
+
+
 def _ledger_lines(spark: SparkSession, d: str) -> DataFrame:
     """raw spans as ledger lines: every 50th without a session, every 101st broken."""
     body = F.struct(
@@ -43,7 +48,7 @@ def _ledger_lines(spark: SparkSession, d: str) -> DataFrame:
         F.lit(False).alias("peak"),
     )
     line = F.when(F.col("ord") % 101 != 0, F.to_json(body)).otherwise(F.lit("{broken"))
-    return feeds.raw_spans(spark, d).select("ord", line.alias("value"))
+    return _spread(spark, d).select("ord", line.alias("value"))
 
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -145,12 +150,12 @@ def log_session_key(spark: SparkSession, d: str) -> DataFrame:
 
 def otlp_files(spark: SparkSession, d: str) -> DataFrame:
     """The envelopes of all sessions as files, one document each, read back by the file source and normalized."""
-    sent = _sent(spark, d).select("payload")
+    sent = _sent(spark, d).select(F.monotonically_increasing_id().alias("name"), F.col("payload").alias("value"))
     path = _fresh_folder(spark, "otlp")
-    sent.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
-    found, bad = envelopes.quarantine(envelopes.read_otlp(spark, path))
-    unique = envelopes.dedupe_envelopes(found.unionByName(bad.drop("reason")))
-    return flat(normalize.normalize_otlp(envelopes.parse_trace(unique)), *RUN_VIEW)
+    files.write_tree(sent, path)
+    found = envelopes.read_otlp(spark, path, recursiveFileLookup="true")
+    good, _ = envelopes.quarantine(envelopes.dedupe_envelopes(found))
+    return flat(normalize.normalize_otlp(envelopes.parse_trace(good)), *RUN_VIEW)
 
 
 def run_log_files(spark: SparkSession, d: str) -> DataFrame:

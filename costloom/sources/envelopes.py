@@ -8,6 +8,7 @@ from costloom import schemas
 from costloom.functions.text import col, content_hash, is_blank
 from costloom.operators.normalize import ATTR_PREFIX, SOURCE_LEDGER, is_otlp, parse_time
 from costloom.session import stage
+from costloom.sources.files import packed
 
 # Resource attribute keys that name the session of an envelope.
 SESSION_KEYS = ("session.id", "session_id")
@@ -21,6 +22,7 @@ def read_otlp(spark: SparkSession, path: str, stream: bool = False, **options: s
     """JSON trace payloads, one document per file: payload, content_hash, arrival (when it was written)."""
     reader = spark.readStream if stream else spark.read
     text = reader.options(**options).text(path, wholetext=True)
+    text = text if stream else packed(text)
     # The text source keeps the bytes as they are, so this is the hash of the raw payload.
     return text.select(
         F.col("value").alias("payload"),
