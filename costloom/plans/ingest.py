@@ -98,10 +98,10 @@ def _as_files(lines: DataFrame, name: str) -> str:
 
 
 def _one_file_each(lines: DataFrame, name: str, by: str, order: str) -> str:
-    """A text file for each value of `by`, with its lines in order, all in one folder."""
+    """A text file for each value of `by`, with its lines in order, all in one tree."""
     path = _fresh_folder(lines.sparkSession, name)
     texts = lines.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "value"))), lambda r: r["value"]), "\n").alias("value"))
-    texts.select("value").write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    files.write_tree(texts.select(F.sha2(F.coalesce(F.concat(F.lit("="), by), F.lit("")), 256).alias("name"), "value"), path)
     return path
 
 
@@ -226,7 +226,7 @@ def _run_log_lines(spark: SparkSession, d: str) -> DataFrame:
         kind.alias("type"), (F.unix_millis("started_at") / 1000.0).alias("started"), "handle", "persona", "session_id",
         (F.col("k") % 2 == 0).alias("is_error"), F.when(F.col("k") % 3 != 0, "end").alias("stop_reason"), usage.alias("usage"),
     )
-    return feeds.raw_spans(spark, d).select(F.col("session_id").alias("file"), F.col("ord").alias("line_no"), F.to_json(body).alias("value"))
+    return _spread(spark, d).select(F.col("session_id").alias("file"), F.col("ord").alias("line_no"), F.to_json(body).alias("value"))
 
 
 def run_log_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,7 @@ def _ring_lines(spark: SparkSession, d: str) -> DataFrame:
         F.date_format("started_at", SECONDS).alias("ts"), "session_id", "handle", F.col("model_slug").alias("model"),
         usage.alias("usage"), F.col("cost_usd").cast("double").alias("cost_usd"),
     )
-    return feeds.raw_spans(spark, d).select("ord", F.to_json(body).alias("value"))
+    return _spread(spark, d).select("ord", F.to_json(body).alias("value"))
 
 
 def usage_ring_normalize(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import functools
+import hashlib
 import json
 import os
 from datetime import datetime, timedelta
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from costloom.functions import text
 from costloom.operators import normalize, pricing
-from costloom.plans import imports
+from costloom.plans import imports, ingest
 from costloom.sources import envelopes, files, registry, topics
 
 NOW = datetime(2026, 6, 1)
@@ -352,6 +353,29 @@ def test_trees_of_small_files_are_read_in_few_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_small_trace_files_are_read_in_few_tasks(spark, tmp_path):
+    path = str(tmp_path / "traces")
+    files.write_tree(spark.range(100).select(F.col("id").alias("name"), F.concat(F.lit('{"n":'), "id", F.lit("}")).alias("value")), path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = envelopes.read_otlp(spark, path, recursiveFileLookup="true")
+        assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert rows_of(found, "payload") == sorted((f'{{"n":{i}}}\n',) for i in range(100))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_file_for_each_key_has_the_name_of_its_key(spark):
+    from urllib.parse import urlparse
+
+    rows = [("a", 2, "a2"), ("a", 1, "a1"), (None, 1, "none"), ("", 1, "empty")]
+    path = urlparse(ingest._one_file_each(spark.createDataFrame(rows, "k string, n int, value string"), "test", "k", "n")).path
+    found = {name: open(f"{d}/{name}").read() for d, _, names in os.walk(path) for name in names}
+    named = lambda k: hashlib.sha256(k.encode()).hexdigest() + ".txt"
+    assert found == {named("=a"): "a1\na2\n", named(""): "none\n", named("="): "empty\n"}
+
+
 def test_event_redaction(spark):
     e = {"type": "user", "timestamp": "t", "sessionId": "s", "cwd": "/secret", "message": {"role": "user", "model": "m", "content": [{"type": "text", "text": "hush"}],
          "usage": USAGE, "id": "secret-id"}}
