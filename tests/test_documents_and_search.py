@@ -246,3 +246,16 @@ def test_admission_matches_one_by_one(spark):
     # an accepted request leaves the window after exactly its width
     edge = spark.createDataFrame([("p", 1, T0), ("p", 2, at(3599)), ("p", 3, at(3600))], "principal string, arrival bigint, at timestamp")
     assert rows_of(admission.admit(edge, 1, 3600), "arrival", "accepted") == [(1, True), (2, False), (3, True)]
+
+
+def test_chunks_keep_columns_of_their_document(spark):
+    docs = spark.createDataFrame([(1, "/u/1", "a b\n\nc"), (2, "/u/2", None)], "doc_id bigint, uri string, text string")
+    kept = documents.chunk_documents(docs, max_tokens=1, keep=("uri",))
+    assert rows_of(kept, "chunk_id", "uri", "chunk_text") == [("1:0", "/u/1", "a b"), ("1:1", "/u/1", "c")]
+
+
+def test_one_question_reads_events_and_texts_once(spark):
+    from costloom.plans import catalogue, feeds
+
+    plan = feeds.fresh(catalogue.ask_context)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "event_type" not in plan and "regexp_extract_all" not in plan
