@@ -26,11 +26,6 @@ RUN_VIEW = (
 SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
 
 
-def _spread(spark: SparkSession, d: str) -> DataFrame:
-    """raw spans dealt to all tasks: a compact table lies in few splits, and every row is written and parsed as a line."""
-    return feeds.raw_spans(spark, d).repartition("ord")
-
-
 def _ledger_lines(spark: SparkSession, d: str) -> DataFrame:
     """raw spans as ledger lines: every 50th without a session, every 101st broken."""
     body = F.struct(
@@ -48,7 +43,7 @@ def _ledger_lines(spark: SparkSession, d: str) -> DataFrame:
         F.lit(False).alias("peak"),
     )
     line = F.when(F.col("ord") % 101 != 0, F.to_json(body)).otherwise(F.lit("{broken"))
-    return _spread(spark, d).select("ord", line.alias("value"))
+    return feeds.dealt_spans(spark, d).select("ord", line.alias("value"))
 
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +221,7 @@ def _run_log_lines(spark: SparkSession, d: str) -> DataFrame:
         kind.alias("type"), (F.unix_millis("started_at") / 1000.0).alias("started"), "handle", "persona", "session_id",
         (F.col("k") % 2 == 0).alias("is_error"), F.when(F.col("k") % 3 != 0, "end").alias("stop_reason"), usage.alias("usage"),
     )
-    return _spread(spark, d).select(F.col("session_id").alias("file"), F.col("ord").alias("line_no"), F.to_json(body).alias("value"))
+    return feeds.dealt_spans(spark, d).select(F.col("session_id").alias("file"), F.col("ord").alias("line_no"), F.to_json(body).alias("value"))
 
 
 def run_log_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +238,7 @@ def _ring_lines(spark: SparkSession, d: str) -> DataFrame:
         F.date_format("started_at", SECONDS).alias("ts"), "session_id", "handle", F.col("model_slug").alias("model"),
         usage.alias("usage"), F.col("cost_usd").cast("double").alias("cost_usd"),
     )
-    return _spread(spark, d).select("ord", F.to_json(body).alias("value"))
+    return feeds.dealt_spans(spark, d).select("ord", F.to_json(body).alias("value"))
 
 
 def usage_ring_normalize(spark: SparkSession, d: str) -> DataFrame:

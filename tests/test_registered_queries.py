@@ -13,6 +13,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import TABLES, rows_of  # noqa: E402
+from costloom import schemas  # noqa: E402
+from costloom.operators import normalize  # noqa: E402
+from costloom.plans import ingest  # noqa: E402
+from costloom.sources import files  # noqa: E402
 
 SOME = [
     "session_merge", "run_cost", "merge_runs", "loops", "waste_all", "cost_by_model", "public_aggregate", "runs_page1",
@@ -51,6 +55,27 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cross_source_matches_sql(spark, con):
+    test_matches_sql(spark, con, "cross_source")
+
+
+def test_lines_are_made_and_parsed_once_after_dealing(spark):
+    ledger = normalize.normalize_ledger(ingest._ledger(spark, SF))
+    ring = normalize.normalize_usage_ring(files.parse_json(ingest._ring_lines(spark, SF), schemas.USAGE_RING))
+    for rows in (ledger, ring):
+        optimized = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count("from_json(") == 1 and optimized.count("StructsToJsonEvaluator(") == 1
+        # Nothing but the scan lies below the shuffle: no filter on parsed fields, no making of spans.
+        assert "json" not in optimized.split("RepartitionByExpression")[1]
+
+
+def test_every_line_gives_one_row(spark):
+    lines = ['{"handle": "h", "hit_tokens": 3}', "{broken", "[1]", "", None, '{"hit_tokens": "x"}']
+    parsed = files.parse_json(spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "ord bigint, value string"), schemas.LEDGER)
+    got = {r.ord: (r.handle, r.hit_tokens, r[files.BAD]) for r in parsed.collect()}
+    assert got == {0: ("h", 3, None), 1: (None, None, "{broken"), 2: (None, None, "[1]"), 3: (None, None, ""), 4: (None, None, ""), 5: (None, None, lines[5])}
+
+
 def test_scans_are_pruned_and_filtered(spark):
     page = plan(entry.queries()["orders_page"](spark, SF))
     pushed = page.split("PushedFilters: [")[1].split("]")[0]
