@@ -8,7 +8,7 @@ from costloom import schemas
 from costloom.functions.text import col, content_hash, is_blank
 from costloom.operators.normalize import ATTR_PREFIX, SOURCE_LEDGER, is_otlp, parse_time
 from costloom.session import stage
-from costloom.sources.files import packed
+from costloom.sources.files import list_files, open_files, packed
 
 # Resource attribute keys that name the session of an envelope.
 SESSION_KEYS = ("session.id", "session_id")
@@ -20,6 +20,14 @@ PART_SPANS = 50_000
 
 def read_otlp(spark: SparkSession, path: str, stream: bool = False, **options: str) -> DataFrame:
     """JSON trace payloads, one document per file: payload, content_hash, arrival (when it was written)."""
+    listed = list_files(spark, path) if not stream and options == {"recursiveFileLookup": "true"} else None
+    if listed is not None:
+        found = open_files(listed, unpack=True)
+        return found.select(
+            F.col("content").cast("string").alias("payload"),
+            F.sha2("content", 256).alias("content_hash"),
+            F.unix_micros("modificationTime").alias("arrival"),
+        )
     reader = spark.readStream if stream else spark.read
     text = reader.options(**options).text(path, wholetext=True)
     text = text if stream else packed(text)

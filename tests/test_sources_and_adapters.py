@@ -378,6 +378,19 @@ def test_small_trace_files_are_read_in_few_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_packed_trace_files_are_read_as_spark_reads_them(spark, tmp_path):
+    import gzip
+
+    write(tmp_path / "t/a/one.json", ['{"n": 1}'])
+    (tmp_path / "t/two.json.gz").write_bytes(gzip.compress(b'{"n": 2}'))
+    (tmp_path / "t/odd.json").write_bytes(b"\xff{")
+    found = envelopes.read_otlp(spark, str(tmp_path / "t"), recursiveFileLookup="true")
+    plain = envelopes.read_otlp(spark, str(tmp_path / "t"), recursiveFileLookup="true", pathGlobFilter="*")
+    cells = (F.col("payload").cast("binary").alias("payload"), "content_hash", "arrival")
+    assert rows_of(found.select(*cells), "content_hash", "payload", "arrival") == rows_of(plain.select(*cells), "content_hash", "payload", "arrival")
+    assert found.count() == 3 and not found.inputFiles()
+
+
 def test_a_file_for_each_key_has_the_name_of_its_key(spark):
     from urllib.parse import urlparse
 
